@@ -8,14 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import bpe_digests
 from .common import table, tokenizer_path
+from .language_id import trained_and_identified
+from .quality import trained_and_scored
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trained_and_identified(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trained_and_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 #: op8: SQL has no byte-pair encoding.
