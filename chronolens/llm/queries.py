@@ -10,6 +10,11 @@ from .bpe_automaton import bpe_digests
 from .common import table, tokenizer_path
 from .language_id import trained_and_identified
 from .quality import trained_and_scored
+from .simhash import near_groups
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
