@@ -54,3 +54,11 @@ def dropped(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of tables that are no longer referred to."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -11,6 +11,11 @@ from .common import table, tokenizer_path
 from .language_id import trained_and_identified
 from .quality import trained_and_scored
 from .simhash import near_groups
+from .suffix_dedup import digests
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +35,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
