@@ -194,3 +194,17 @@ def score(docs: DataFrame, model: AttentionBag | None) -> DataFrame:
 def trained_and_scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Learn from the labels of rows that are not held out, then score every row."""
     return score(docs, learn(docs, labels.where(~held_out(F.col("doc_id"))), settings))
+
+
+def kept(docs: DataFrame, model: AttentionBag | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .bpe_automaton import sliced
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            good = [s >= threshold for ts in sliced(texts, 500_000) for s in (model.scores(*passages(ts)) if model else np.full(len(ts), 0.5))]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

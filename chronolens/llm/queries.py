@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import bpe_digests
 from .common import table, tokenizer_path
 from .language_id import trained_and_identified
+from .packing import packed_pieces
 from .quality import trained_and_scored
 from .simhash import near_groups
 from .suffix_dedup import digests
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op8_bpe": op8_bpe,

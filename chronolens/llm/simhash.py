@@ -184,3 +184,21 @@ def near_groups(docs: DataFrame, limit: int = 3, words: int = 3, hot: int = HOT_
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     label = of.join(least, "root").select("fp", "component_id")
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, limit: int = 3, words: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns: of each group of near copies the row of least doc_id, one row if several have that id.
+
+    Only ids and fingerprints are shuffled to find the groups, and only the rows
+    that share a group with another are compared; the texts move once, to meet
+    the ids that go.
+    """
+    groups = written(near_groups(docs, limit, words), "groups")
+    large = groups.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1")
+    member = groups.join(large, "component_id")
+    gone = member.where("doc_id <> component_id or doc_id is null").select("doc_id", "fingerprint").distinct()
+    out = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    # rows that repeat an id of a group are the same document
+    again = member.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    single = out.join(again, "doc_id", "left_anti")
+    return single.unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
