@@ -246,8 +246,11 @@ def folded(rows: DataFrame, by: list[str], schema: str, fold: Callable[[pd.DataF
     """``fold`` over each group's rows; its tuples follow the group's key."""
     names = [c.strip().split(" ")[0].rstrip(":") for c in re.split(r",(?![^<]*>)", schema)]
 
+    kinds = {"string": object, "long": "int64", "int": "int32", "double": "float64", "boolean": bool}
+    none = pd.DataFrame({n: pd.Series([], dtype=kinds.get(c.split()[-1], object)) for n, c in zip(names, re.split(r",(?![^<]*>)", schema))})
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(*key, *r) for r in fold(pdf)]
-        return pd.DataFrame(out, columns=names) if out else pd.DataFrame({n: [] for n in names})
+        return pd.DataFrame(out, columns=names) if out else none
 
     return rows.groupBy(*by).applyInPandas(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 N = 32
 _BASIS = np.cos(np.pi * (2 * np.arange(N)[None, :] + 1) * np.arange(N)[:, None] / (2 * N))
@@ -17,7 +18,7 @@ def perceptual_hash(luma: np.ndarray) -> int:
     return int(np.packbits(bits).view(">u8")[0].astype(np.uint64).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def phash(luma: pd.Series) -> pd.Series:
     """Of a column of 1,024 bytes of luma; null stays null."""
     return luma.map(lambda b: None if b is None else perceptual_hash(np.frombuffer(b, np.uint8))).astype("Int64")

@@ -1,10 +1,718 @@
-"""Registered queries of the library's own operators, with the SQL that each must match."""
+"""Registered queries of the library's own operators, with the SQL that each must match.
+
+The driver's tables stand in for media: conversations are transcripts, documents
+are lines of on-screen text of their source, labelled documents are described,
+events are frames of their user's recording, embeddings are vectors.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from types import SimpleNamespace
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import numbers, text
+from .operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, vector_search, windows
+from .sources import sampling, subtitles
+from .streaming import live
+from .timeq import hms
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+BASE = r"""
+transcript AS (SELECT 'transcript' AS kind, 't' || conv_id || '-' || turn AS id, 'v' || conv_id AS video_id, CAST(turn * 15 AS DOUBLE) AS t0, CAST(turn * 15 + 15 AS DOUBLE) AS t1, text, role AS speaker FROM conversations),
+ocr AS (SELECT 'ocr' AS kind, 'o' || doc_id AS id, source AS video_id, CAST(doc_id * 10 AS DOUBLE) AS t0, CAST(doc_id * 10 AS DOUBLE) AS t1, text FROM documents),
+described AS (SELECT 'description' AS kind, 'd' || doc_id AS id, source AS video_id, CAST(doc_id * 10 AS DOUBLE) AS t0, CAST(doc_id * 10 + 10 AS DOUBLE) AS t1, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+evidence AS (SELECT kind, id, video_id, t0, t1, text FROM transcript UNION ALL SELECT * FROM ocr UNION ALL SELECT * FROM described),
+videos AS (SELECT video_id AS id, CASE WHEN video_id LIKE 'v%' THEN 'channel' || (CAST(substring(video_id, 2) AS BIGINT) % 5) END AS channel, max(t1) AS duration_secs, CASE WHEN video_id LIKE 'v%' THEN 'fine' ELSE 'coarse' END AS index_state FROM evidence GROUP BY video_id),
+segments AS (SELECT DISTINCT 's' || conv_id || '-' || (turn // 2) AS id, 'v' || conv_id AS video_id, 'scene' AS level, CAST((turn // 2) * 30 AS DOUBLE) AS t0_secs, CAST((turn // 2) * 30 + 30 AS DOUBLE) AS t1_secs FROM conversations),
+frames AS (SELECT 'f' || event_id AS id, event_id, 'u' || user_id AS video_id, epoch(ts) - epoch(TIMESTAMP '2024-01-01') AS t, ((event_id % 1000003) * 2654435761) % 4294967296 AS phash, event_type AS kind, value FROM events),
+tok AS (SELECT kind, id, video_id, t0, t1, text, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS toks FROM evidence)
+"""
+
+
+def base(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
+    """The stand-in tables."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    conv, docs, events = t("conversations"), t("documents"), t("events")
+    d = lambda c: c.cast("double")
+    cat = F.concat
+    transcript = conv.select(F.lit("transcript").alias("kind"), cat(F.lit("t"), "conv_id", F.lit("-"), "turn").alias("id"), cat(F.lit("v"), "conv_id").alias("video_id"), d(F.col("turn") * 15).alias("t0"), d(F.col("turn") * 15 + 15).alias("t1"), "text", F.col("role").alias("speaker"))
+    line = docs.select(F.lit("ocr").alias("kind"), cat(F.lit("o"), "doc_id").alias("id"), F.col("source").alias("video_id"), d(F.col("doc_id") * 10).alias("t0"), d(F.col("doc_id") * 10).alias("t1"), "text")
+    described = docs.join(t("labels").select("doc_id"), "doc_id", "left_semi").select(F.lit("description").alias("kind"), cat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("video_id"), d(F.col("doc_id") * 10).alias("t0"), d(F.col("doc_id") * 10 + 10).alias("t1"), "text")
+    evidence = transcript.drop("speaker").unionByName(line).unionByName(described)
+    talk = F.col("video_id").startswith("v")
+    videos = evidence.groupBy("video_id").agg(F.max("t1").alias("duration_secs")).select(F.col("video_id").alias("id"), F.when(talk, cat(F.lit("channel"), F.substring("video_id", 2, 20).cast("long") % 5)).alias("channel"), "duration_secs", F.when(talk, F.lit("fine")).otherwise(F.lit("coarse")).alias("index_state"))
+    half = F.floor(F.col("turn") / 2)
+    segments = conv.select(cat(F.lit("s"), "conv_id", F.lit("-"), half).alias("id"), cat(F.lit("v"), "conv_id").alias("video_id"), F.lit("scene").alias("level"), d(half * 30).alias("t0_secs"), d(half * 30 + 30).alias("t1_secs")).distinct()
+    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lit(1704067200.0)
+    frames = events.select(cat(F.lit("f"), "event_id").alias("id"), "event_id", cat(F.lit("u"), "user_id").alias("video_id"), secs.alias("t"), ((F.col("event_id") % 1000003) * F.lit(2654435761) % F.lit(4294967296)).alias("phash"), F.col("event_type").alias("kind"), "value")
+    return SimpleNamespace(table=t, transcript=transcript, ocr=line, described=described, evidence=evidence, videos=videos, segments=segments, frames=frames)
+
+
+def query(name: str, sql: str | None = None, shared: bool = True):
+    """Register a query over the stand-in tables, and its SQL after their definitions."""
+
+    def add(run: Callable[[SimpleNamespace], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: run(base(spark, sf_dir))
+        if sql is not None:
+            ORACLE[name] = f"WITH {BASE}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}" if shared else sql
+        return run
+
+    return add
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# ---- lexical and hybrid retrieval
+
+QUERY = "ering the estion"
+
+
+def _bm25_sql(source: str = "tok") -> str:
+    """BM25 of QUERY: 'ering' and the prefix 'estion'; 'the' is a stopword."""
+    f0, f1 = "len(list_filter(toks, lambda x: x = 'ering'))", "len(list_filter(toks, lambda x: starts_with(x, 'estion')))"
+    idf = "greatest(ln((n - {0} + 0.5) / ({0} + 0.5)), 1e-6)"
+    part = "{1} * {0} * 2.2 / ({0} + 1.2 * (0.25 + 0.75 * dl / mean))"
+    score = " + ".join(part.format(f"f{i}", idf.format(f"n{i}")) for i in (0, 1))
+    return f"""+ cnt AS (SELECT kind, id, video_id, t0, t1, text, len(toks) AS dl, {f0} AS f0, {f1} AS f1 FROM tok),
+    stat AS (SELECT kind AS k, count(*) AS n, avg(dl) AS mean, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM cnt GROUP BY kind),
+    hits AS (SELECT kind, id, video_id, t0, t1, text, {score} AS score FROM cnt JOIN stat ON kind = k WHERE f0 > 0 OR f1 > 0)"""
+
+
+@query("R01_text_search", _bm25_sql() + " SELECT kind, id, video_id, t0, round(score, 6) AS score FROM hits")
+def r01(b):
+    return lexical.bm25(b.evidence, QUERY).select("kind", "id", "video_id", "t0", r6("score", "score"))
+
+
+@query("T01_text_top_k", _bm25_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS n FROM hits) SELECT kind, id, round(score, 6) AS score FROM r WHERE n <= 20 ORDER BY r.score DESC, id LIMIT 20")
+def t01(b):
+    return lexical.top_by_kind(lexical.bm25(b.evidence, QUERY), 20).select("kind", "id", r6("score", "score"))
+
+
+_UNITS_SQL = """, has AS (SELECT DISTINCT video_id FROM segments), units AS (
+    SELECT video_id, t0_secs AS u0, t1_secs AS u1, id AS segment_id, 'scene' AS how FROM segments
+    UNION ALL SELECT id, i * 60.0, i * 60.0 + 60, NULL, 'window' FROM (SELECT id, unnest(range(CAST(ceil(least(greatest(duration_secs, 60.0), 604800.0) / 60) AS BIGINT))) AS i FROM videos WHERE id NOT IN (SELECT video_id FROM has))),
+    un AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY u0, u1, segment_id) - 1 AS unit FROM units)"""
+
+
+@query("R04_temporal_units", "+ dummy AS (SELECT 1)" + _UNITS_SQL + " SELECT video_id, unit, CAST(u0 AS DOUBLE) AS t0, CAST(u1 AS DOUBLE) AS t1, segment_id, how FROM un")
+def r04(b):
+    return _units(b).select("video_id", F.col("unit").cast("long").alias("unit"), "t0", "t1", "segment_id", "how")
+
+
+def _units(b) -> DataFrame:
+    return hybrid.temporal_units(b.segments, b.videos.select(F.col("id").alias("video_id"), F.col("duration_secs").alias("extent")))
+
+
+_FUSE_SQL = """, lists AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS rank FROM hits),
+    fused AS (SELECT kind, id, video_id, t0, t1, sum(1.0 / (60 + rank)) AS f FROM lists WHERE rank <= 40 GROUP BY kind, id, video_id, t0, t1)"""
+_GROUP_SQL = (
+    _FUSE_SQL
+    + _UNITS_SQL
+    + """, lastu AS (SELECT video_id, max(unit) AS lu FROM un GROUP BY video_id),
+    placed AS (SELECT f.*, coalesce((SELECT min(unit) FROM un WHERE un.video_id = f.video_id AND f.t0 >= u0 AND f.t0 < u1), lu) AS unit FROM fused f JOIN lastu USING (video_id)),
+    g AS (SELECT video_id, unit, max(f) + 0.3 * (sum(f) - max(f)) AS score, count(*) AS n_hits FROM placed GROUP BY video_id, unit),
+    g2 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, unit) AS n FROM g)"""
+)
+
+
+@query("R03_hybrid_search", _bm25_sql() + _GROUP_SQL + " SELECT video_id, unit, round(score, 6) AS score, n_hits FROM g2 WHERE n <= 3 ORDER BY g2.score DESC, video_id, unit LIMIT 8")
+def r03(b):
+    return hybrid.search(b.evidence, _units(b), QUERY, k=8, per_video=3).select("video_id", F.col("unit").cast("long").alias("unit"), r6("score", "score"), "n_hits")
+
+
+@query("A07_reciprocal_rank_fusion", _bm25_sql() + _FUSE_SQL + " SELECT kind, id, round(f, 6) AS score FROM fused")
+def a07(b):
+    s = lexical.bm25(b.evidence, QUERY)
+    return hybrid.fused([hybrid.ranked(s.where(F.col("kind") == k), k, 40) for k in ("transcript", "ocr", "description")]).select("kind", "id", r6("score", "score"))
+
+
+_VEC = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+_COS = "CASE WHEN sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)) > 0 THEN list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) ELSE 0 END"
+
+
+@query("R02_vector_search", f"WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, label, round({_COS}, 6) AS score FROM e, {_VEC}", shared=False)
+def r02(b):
+    e = b.table("embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    return vector_search.scored(e, q, "embedding").select("vec_id", "label", r6("score", "score"))
+
+
+@query("T02_vector_top_k", f"WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, round({_COS}, 6) AS score FROM e, {_VEC} WHERE label = 2 ORDER BY {_COS} DESC, vec_id LIMIT 25", shared=False)
+def t02(b):
+    e = b.table("embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    return vector_search.nearest(e.where("label = 2"), q, 25, "embedding", "vec_id").select("vec_id", r6("score", "score"))
+
+
+@query("R13_get_embeddings", "SELECT * FROM (VALUES (0, 'a', 7), (1, 'a', 999999999), (2, 'a', 3)) v(pos, k, t) LEFT JOIN (SELECT vec_id AS t, round(CAST(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS DOUBLE), 4) AS norm2, len(embedding) AS dim FROM embeddings) USING (t)", shared=False)
+def r13(b):
+    e = b.table("embeddings").select(F.lit("a").alias("target_kind"), F.col("vec_id").cast("string").alias("target_id"), F.lit("m").alias("model"), F.col("embedding").alias("vector"))
+    got = vector_search.fetched(e, [("a", "7"), ("a", "999999999"), ("a", "3")], "m")
+    return got.select(F.col("target_id").cast("int").alias("t"), "pos", F.col("target_kind").alias("k"), F.round(numbers.dot("vector", "vector"), 4).alias("norm2"), F.when(F.col("vector").isNotNull(), F.size("vector")).cast("long").alias("dim"))
+
+
+# ---- mentions and library statistics
+
+TERMS = ["the", "ering the", "licensed under"]
+_FOUND = """+ q(term_i, term, n, a, b) AS (VALUES (0, 'the', 1, 'the', NULL), (1, 'ering the', 2, 'ering', 'the'), (2, 'licensed under', 2, 'licensed', 'under')),
+    hit AS (SELECT term_i, term, kind, id, video_id, t0, text FROM tok, q WHERE CASE WHEN n = 1 THEN list_contains(toks, a) ELSE len(list_filter(range(1, len(toks)), lambda i: toks[i] = a AND toks[i + 1] = b)) > 0 END),
+    found AS (SELECT term_i, term, kind, id, video_id, t0, text FROM hit WHERE kind <> 'ocr' UNION ALL
+        SELECT term_i, term, kind, arg_min(id, (t0, id)), video_id, min(t0), text FROM hit WHERE kind = 'ocr' GROUP BY term_i, term, kind, video_id, text, floor(t0 / 60))"""
+
+
+@query("R05_find_mentions", _FOUND + ", r AS (SELECT *, row_number() OVER (PARTITION BY term_i, kind, video_id ORDER BY t0, id) AS rn, count(*) OVER (PARTITION BY term_i, kind, video_id) AS n_all FROM found) SELECT term, kind, video_id, id, t0, n_all FROM r WHERE rn <= 3")
+def r05(b):
+    w = Window.partitionBy("term_i", "kind", "video_id")
+    f = mentions.mentions(b.evidence, TERMS)
+    return f.withColumn("n_all", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy("t0", "id"))).where("rn <= 3").select("term", "kind", "video_id", "id", "t0", "n_all")
+
+
+@query("A01_mention_counts", _FOUND + " SELECT term, kind, video_id, count(*) AS n FROM found GROUP BY term, kind, video_id")
+def a01(b):
+    return mentions.counts(mentions.mentions(b.evidence, TERMS)).select("term", "kind", "video_id", "n")
+
+
+@query("A02_lines_once_a_minute", "SELECT video_id, text, CAST(floor(t0 / 60) AS BIGINT) AS minute, min(t0) AS t0 FROM ocr GROUP BY video_id, text, floor(t0 / 60)")
+def a02(b):
+    return b.ocr.groupBy("video_id", "text", windows.tumbling(F.col("t0"), 60).alias("minute")).agg(F.min("t0").alias("t0"))
+
+
+@query("A03_video_totals", _FOUND + ", c AS (SELECT term_i, list_position(['transcript', 'ocr', 'description'], kind) AS ki, video_id, count(*) AS n FROM found GROUP BY term_i, kind, video_id), g AS (SELECT video_id, sum(n) AS total, min((term_i, ki, video_id)) AS f FROM c GROUP BY video_id) SELECT row_number() OVER (ORDER BY total DESC, f) AS place, video_id, CAST(total AS BIGINT) AS total FROM g")
+def a03(b):
+    return mentions.video_totals(mentions.mentions(b.evidence, TERMS)).select(F.col("place").cast("long").alias("place"), "video_id", "total")
+
+
+@query("A04_counts_by_library", _FOUND + " SELECT term, count(*) AS total, count(DISTINCT video_id) AS videos, count(*) FILTER (WHERE kind = 'transcript') AS n_transcript, count(*) FILTER (WHERE kind = 'ocr') AS n_ocr, count(*) FILTER (WHERE kind = 'description') AS n_description FROM found GROUP BY term")
+def a04(b):
+    return mentions.by_library(mentions.mentions(b.evidence, TERMS)).drop("term_i")
+
+
+@query("R06_counts_by_channel", _FOUND + ", ch AS (SELECT id, coalesce(channel, 'unknown') AS channel FROM videos), h AS (SELECT term, channel, count(*) AS total, count(DISTINCT video_id) AS videos FROM found JOIN ch ON video_id = ch.id GROUP BY term, channel) SELECT t.term, c.channel, coalesce(total, 0) AS total, coalesce(h.videos, 0) AS videos FROM (SELECT DISTINCT term FROM found) t CROSS JOIN (SELECT DISTINCT channel FROM ch) c LEFT JOIN h ON h.term = t.term AND h.channel = c.channel")
+def r06(b):
+    return mentions.by_channel(mentions.mentions(b.evidence, TERMS), b.videos).drop("term_i")
+
+
+@query("A05_library_stats", "SELECT channel, count(*) AS videos, round(sum(duration_secs), 3) AS secs FROM (SELECT coalesce(channel, 'unknown') AS channel, duration_secs FROM videos) GROUP BY ROLLUP (channel)")
+def a05(b):
+    return mentions.library(b.videos).select("channel", "videos", F.round("secs", 3).alias("secs"))
+
+
+@query("A06_video_stats", "SELECT v.id AS video_id, coalesce(t.n, 0) AS n_transcript, coalesce(o.n, 0) AS n_ocr, coalesce(s.n, 0) AS n_segments FROM videos v LEFT JOIN (SELECT video_id, count(*) AS n FROM transcript GROUP BY 1) t ON t.video_id = v.id LEFT JOIN (SELECT video_id, count(*) AS n FROM ocr GROUP BY 1) o ON o.video_id = v.id LEFT JOIN (SELECT video_id, count(*) AS n FROM segments GROUP BY 1) s ON s.video_id = v.id")
+def a06(b):
+    return mentions.per_video(b.videos, {"transcript": b.transcript, "ocr": b.ocr, "segments": b.segments})
+
+
+@query("R14_pattern_scan", "SELECT video_id, count(*) AS n, count(DISTINCT round(t0, 1)) AS times, min(round(t0, 1)) AS first_t FROM evidence WHERE regexp_matches(text, '(?i)(license|idiot)') GROUP BY video_id")
+def r14(b):
+    return mentions.pattern_hits(b.evidence, "(license|idiot)").select("video_id", "n", F.size("times").cast("long").alias("times"), F.element_at("times", 1).alias("first_t"))
+
+
+@query("R15_anchor_resolution", "+ c AS (SELECT video_id, t0, text || ' ' || coalesce(lead(text, 1) OVER w, '') || ' ' || coalesce(lead(text, 2) OVER w, '') AS joined FROM transcript WINDOW w AS (PARTITION BY video_id ORDER BY t0, id)) SELECT video_id, min(t0) - 5 AS a0, min(t0) + 30 AS a1 FROM c WHERE contains(lower(joined), 'ering') GROUP BY video_id")
+def r15(b):
+    w = Window.partitionBy("video_id").orderBy("t0", "id")
+    joined = F.concat_ws(" ", "text", F.coalesce(F.lead("text", 1).over(w), F.lit("")), F.coalesce(F.lead("text", 2).over(w), F.lit("")))
+    c = b.transcript.select("video_id", "t0", joined.alias("joined")).where(F.lower("joined").contains("ering"))
+    return c.groupBy("video_id").agg((F.min("t0") - 5).alias("a0"), (F.min("t0") + 30).alias("a1"))
+
+
+# ---- reads in time
+
+
+@query("R07_time_window", "SELECT kind, id FROM evidence WHERE video_id = 'src0' AND CASE WHEN kind = 'ocr' THEN t0 >= 100 AND t0 < 3000 ELSE t0 < 3000 AND t1 > 100 END")
+def r07(b):
+    return windows.time_window(b.evidence, "src0", 100, 3000).select("kind", "id")
+
+
+@query("R08_spans_since", "SELECT kind, id, t0 FROM evidence WHERE (kind = 'transcript' AND t1 > 60) OR (kind = 'ocr' AND t0 >= 60)")
+def r08(b):
+    return windows.spans_since(b.evidence, 60.0).select("kind", "id", "t0")
+
+
+@query("R09_window_text", "+ w AS (SELECT *, CASE WHEN t0 < 45 AND greatest(t1, t0 + 1e-9) > 0 THEN 0 WHEN t0 < 120 AND greatest(t1, t0 + 1e-9) > 90 THEN 1 END AS win FROM evidence), o AS (SELECT video_id, kind, win, text, min((t0, id)) AS m FROM w WHERE win IS NOT NULL AND kind = 'ocr' GROUP BY ALL), x AS (SELECT video_id, kind, win, (t0, id) AS m, text FROM w WHERE win IS NOT NULL AND kind <> 'ocr' UNION ALL SELECT video_id, kind, win, m, text FROM o) SELECT video_id, kind, win AS \"window\", count(*) AS n, substring(string_agg(text, chr(10) ORDER BY m), 1, 4000) AS text FROM x GROUP BY video_id, kind, win")
+def r09(b):
+    return windows.window_text(b.evidence, [(0, 30), (20, 45), (90, 120)]).withColumn("n", F.col("n").cast("long"))
+
+
+@query("F01_time_filter", "SELECT kind, id FROM evidence WHERE t0 >= 30 AND t0 < 600")
+def f01(b):
+    return catalog.selected(b.evidence, window=(30, 600)).select("kind", "id")
+
+
+@query("F02_video_filter", "SELECT kind, id FROM evidence WHERE video_id IN ('src1', 'v3')")
+def f02(b):
+    return catalog.selected(b.evidence, videos=["src1", "v3"]).select("kind", "id")
+
+
+@query("F03_kind_filter", "SELECT id, t0 FROM evidence WHERE kind IN ('transcript', 'description')")
+def f03(b):
+    return catalog.selected(b.evidence, kinds=["transcript", "description"]).select("id", "t0")
+
+
+@query("F04_interval_overlap", "SELECT id, video_id FROM segments WHERE t0_secs < 50 AND t1_secs > 20")
+def f04(b):
+    return windows.overlapping(b.segments, 20, 50, "t0_secs", "t1_secs").select("id", "video_id")
+
+
+@query("F07_tokenizer", "SELECT kind, id, len(toks) AS n, len(list_distinct(toks)) AS n_distinct, list_aggregate(toks, 'max') AS last FROM tok")
+def f07(b):
+    t = text.tokens(F.col("text"))
+    return b.evidence.select("kind", "id", t.alias("t")).select("kind", "id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_max("t").alias("last"))
+
+
+@query("F08_as_of", "SELECT kind, id, t0, least(t1, 40) AS t1 FROM evidence WHERE t0 < 40")
+def f08(b):
+    lim = b.videos.select(F.col("id").alias("video_id"), F.lit(40.0).alias("until"))
+    return catalog.bounded(b.evidence, lim, t1="t1").select("kind", "id", "t0", "t1")
+
+
+@query("F09_as_of_each_video", "SELECT kind, e.id, t0, least(t1, duration_secs / 2) AS t1 FROM evidence e JOIN videos v ON e.video_id = v.id WHERE t0 < duration_secs / 2")
+def f09(b):
+    lim = b.videos.select(F.col("id").alias("video_id"), (F.col("duration_secs") / 2).alias("until"))
+    return catalog.bounded(b.evidence, lim, t1="t1").select("kind", "id", "t0", "t1")
+
+
+@query("F10_projection", "SELECT id, round(t0, 1) AS t, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '…' ELSE text END AS text, printf('%02d:%02d:%02d', CAST(t0 AS BIGINT) // 3600, CAST(t0 AS BIGINT) // 60 % 60, CAST(t0 AS BIGINT) % 60) AS hms FROM evidence WHERE kind = 'ocr'")
+def f10(b):
+    return b.ocr.select("id", F.round("t0", 1).alias("t"), text.cut(F.col("text"), 300).alias("text"), hms(F.col("t0")).alias("hms"))
+
+
+# ---- joins
+
+
+@query("J01_span_video", "SELECT t.id, v.channel FROM transcript t JOIN videos v ON t.video_id = v.id")
+def j01(b):
+    return b.transcript.join(b.videos.select(F.col("id").alias("video_id"), "channel"), "video_id").select("id", "channel")
+
+
+@query("J02_description_owner", "SELECT d.id, v.id AS video_id, l.quality FROM described d JOIN videos v ON v.id = d.video_id LEFT JOIN labels l ON d.id = 'd' || l.doc_id")
+def j02(b):
+    lab = b.table("labels").select(F.concat(F.lit("d"), "doc_id").alias("id"), "quality")
+    return b.described.join(b.videos.select(F.col("id").alias("video_id")), "video_id").join(lab, "id", "left").select("id", "video_id", "quality")
+
+
+@query("J04_targets_in_window", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", shared=False)
+def j04(b):
+    return b.table("documents").join(b.table("labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n_chars")
+
+
+@query("J05_orphans", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", shared=False)
+def j05(b):
+    return b.table("documents").join(b.table("labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_chars")
+
+
+@query("J06_video_of_target", "SELECT l.doc_id, (SELECT source FROM documents d WHERE d.doc_id = l.doc_id) AS video_id FROM labels l", shared=False)
+def j06(b):
+    return b.table("labels").join(b.table("documents").select("doc_id", F.col("source").alias("video_id")), "doc_id", "left").select("doc_id", "video_id")
+
+
+_J07 = "+ dummy AS (SELECT 1)" + _UNITS_SQL + ", lastu AS (SELECT video_id, max(unit) AS lu FROM un GROUP BY video_id) SELECT e.kind, e.id, coalesce(min(un.unit), any_value(lu)) AS unit FROM evidence e JOIN lastu USING (video_id) LEFT JOIN un ON un.video_id = e.video_id AND e.t0 >= u0 AND e.t0 < u1 GROUP BY e.kind, e.id"
+
+
+@query("J07_hit_in_unit", _J07)
+def j07(b):
+    hits = b.evidence.drop("text")
+    return hybrid.in_units(hits, _units(b)).select("kind", "id", F.col("unit").cast("long").alias("unit"))
+
+
+@query("J08_segment_of_span", "SELECT t.id, min(s.id) AS segment FROM transcript t JOIN segments s ON s.video_id = t.video_id AND t.t0 >= s.t0_secs AND t.t0 < s.t1_secs GROUP BY t.id")
+def j08(b):
+    seg = b.segments.select("video_id", F.col("id").alias("segment"), F.col("t0_secs").alias("s0"), F.col("t1_secs").alias("s1"))
+    return joins.points_in(b.transcript, seg, ["video_id"], "t0", "s0", "s1").groupBy("id").agg(F.min("segment").alias("segment"))
+
+
+@query("J09_nearest_frame", "+ p AS (SELECT event_id AS pid, video_id, t + 1 AS t FROM frames), c AS (SELECT pid, f.event_id AS near, abs(f.t - p.t) AS d, f.t AS ft FROM p JOIN frames f ON f.video_id = p.video_id AND f.t >= greatest(p.t - 2, 0) AND f.t < p.t + 2) SELECT p.pid, (SELECT arg_min(near, (d, ft)) FROM c WHERE c.pid = p.pid) AS near FROM p")
+def j09(b):
+    p = b.frames.select(F.col("event_id").alias("pid"), "video_id", (F.col("t") + 1).alias("t"))
+    s = b.frames.select("video_id", F.col("event_id").alias("near"), F.col("t").alias("ft"))
+    return joins.nearest(p, s, ["video_id"], ["pid"], "t", "ft", 2.0).select("pid", "near")
+
+
+@query("J10_scene_text", "SELECT s.id, count(*) AS n, string_agg(t.text, ' ' ORDER BY t.t0, t.id) AS text FROM segments s JOIN transcript t ON t.video_id = s.video_id AND t.t0 < s.t1_secs AND t.t1 > s.t0_secs GROUP BY s.id")
+def j10(b):
+    seg = b.segments.select(F.col("id").alias("segment"), "video_id", "t0_secs", "t1_secs")
+    both = joins.overlaps(seg, b.transcript.drop("kind"), ["video_id"], "t0_secs", "t1_secs", "t0", "t1", 30.0)
+    g = both.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("t0", "id", "text"))).alias("r"))
+    return g.select(F.col("segment").alias("id"), F.size("r").cast("long").alias("n"), F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"))
+
+
+@query("J11_boundary_crossed", "SELECT s.id, EXISTS (SELECT 1 FROM transcript t WHERE t.video_id = s.video_id AND t.t0 < s.t1_secs - 20 - 0.5 AND t.t1 > s.t1_secs - 20 + 0.5) AS crossed FROM segments s")
+def j11(b):
+    at = b.segments.select("id", "video_id", (F.col("t1_secs") - 20).alias("edge"))
+    spans = b.transcript.select("video_id", (F.col("t0") + 0.5).alias("x0"), (F.col("t1") - 0.5).alias("x1"))
+    inside = joins.points_in(at, spans.where("x1 > x0"), ["video_id"], "edge", "x0", "x1").where("edge > x0").select("id").distinct().withColumn("crossed", F.lit(True))
+    return at.join(inside, "id", "left").select("id", F.coalesce("crossed", F.lit(False)).alias("crossed"))
+
+
+@query("J13_cited_kind", "+ cit AS (SELECT 'c' || event_id AS cid, 'v' || (event_id % 50) AS video_id, CAST(event_id % 120 AS DOUBLE) AS c0, CAST(event_id % 120 AS DOUBLE) + 5 AS c1 FROM events) SELECT c.cid, coalesce(arg_min(e.kind, (e.t0, e.id)), 'range') AS kind FROM cit c LEFT JOIN evidence e ON e.video_id = c.video_id AND e.t0 < c.c1 + 1 AND e.t1 > c.c0 - 1 GROUP BY c.cid")
+def j13(b):
+    e = b.frames.select(F.concat(F.lit("c"), "event_id").alias("cid"), F.concat(F.lit("v"), F.col("event_id") % 50).alias("video_id"), (F.col("event_id") % 120).cast("double").alias("c0"))
+    cit = e.withColumn("a0", F.col("c0") - 1).withColumn("a1", F.col("c0") + 6)
+    got = joins.overlaps(cit, b.evidence.where("t1 > t0"), ["video_id"], "a0", "a1", "t0", "t1").groupBy("cid").agg(F.min_by("kind", F.struct("t0", "id")).alias("kind"))
+    return e.join(got, "cid", "left").select("cid", F.coalesce("kind", F.lit("range")).alias("kind"))
+
+
+@query("J16_names_to_ids", "SELECT o_orderkey, c_custkey FROM (SELECT o_orderkey, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name FROM orders) o JOIN (SELECT c_custkey, c_name FROM customer) c ON lower(trim(o.name)) = lower(trim(c.c_name))", shared=False)
+def j16(b):
+    o = b.table("orders").select("o_orderkey", F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"))
+    c = b.table("customer").select("c_custkey", F.lower(F.trim("c_name")).alias("k"))
+    return o.withColumn("k", F.lower(F.trim("name"))).join(c, "k").select("o_orderkey", "c_custkey")
+
+
+# ---- aggregates
+
+
+@query("A08_group_score", "SELECT video_id, round(max(value) + 0.3 * (sum(value) - max(value)), 6) AS score FROM frames GROUP BY video_id")
+def a08(b):
+    return b.frames.groupBy("video_id").agg(r6(F.max("value") + 0.3 * (F.sum("value") - F.max("value")), "score"))
+
+
+@query("A09_least_state", "SELECT arg_min(index_state, (CASE index_state WHEN 'failed' THEN 0 WHEN 'acquired' THEN 1 WHEN 'fine' THEN 3 ELSE 2 END, id)) AS index_state FROM videos")
+def a09(b):
+    return hybrid.least_state(b.videos)
+
+
+@query("A10_usage_cost", "SELECT l_returnflag AS operator, l_linestatus AS model, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, round(sum(l_extendedprice * (1 - l_discount)), 2) AS cost FROM lineitem GROUP BY 1, 2", shared=False)
+def a10(b):
+    return b.table("lineitem").groupBy(F.col("l_returnflag").alias("operator"), F.col("l_linestatus").alias("model")).agg(F.count("*").alias("calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("cost"))
+
+
+@query("A11_trailing_hour", "SELECT event_id, round(sum(value) OVER (PARTITION BY video_id ORDER BY CAST(floor(t) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 6) AS trailing FROM frames")
+def a11(b):
+    return windows.trailing_sum(b.frames.withColumn("t", F.floor("t")), ["video_id"], "t", "value", 3600).select("event_id", r6("trailing", "trailing"))
+
+
+@query("A12_frontier", "+ st AS (SELECT video_id, kind, max(t) AS last_t FROM frames GROUP BY video_id, kind) SELECT video_id, round(min(last_t) FILTER (WHERE kind IN ('click', 'view')), 3) AS watermark, round(max(last_t), 3) AS stopped_at FROM st GROUP BY video_id")
+def a12(b):
+    st = b.frames.groupBy("video_id", F.col("kind").alias("stage")).agg(F.max("t").alias("last_t"))
+    return live.frontier(st, ("click", "view")).select("video_id", F.round("watermark", 3).alias("watermark"), F.round("stopped_at", 3).alias("stopped_at"))
+
+
+_WILSON = "((p + 1.96 * 1.96 / (2 * n)) {0} 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)"
+
+
+@query("A13_accuracy", f"SELECT task, n, hits, round(p, 6) AS accuracy, round(greatest({_WILSON.format('-')}, 0), 6) AS lo, round(least({_WILSON.format('+')}, 1), 6) AS hi FROM (SELECT lang AS task, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS hits, avg(CAST(quality AS DOUBLE)) AS p FROM labels JOIN documents USING (doc_id) GROUP BY lang)", shared=False)
+def a13(b):
+    runs = b.table("labels").join(b.table("documents").select("doc_id", "lang"), "doc_id").select((F.col("quality") == 1).alias("correct"), F.array("lang").alias("task_types"))
+    return evaluation.by_task(runs).select("task", "n", "hits", r6("accuracy", "accuracy"), r6("lo", "lo"), r6("hi", "hi"))
+
+
+@query("A14_low_percentile", "+ s AS (SELECT video_id, value, row_number() OVER (PARTITION BY video_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM frames) SELECT video_id, value AS p95 FROM s WHERE i = floor(0.95 * (n - 1))")
+def a14(b):
+    return evaluation.percentile_low(b.frames, ["video_id"], "value", 0.95)
+
+
+@query("A15_tool_sequences", "SELECT sequence, count(*) AS n FROM (SELECT conv_id, string_agg(role, ' > ' ORDER BY turn) AS sequence FROM conversations GROUP BY conv_id) GROUP BY sequence ORDER BY n DESC, sequence LIMIT 8", shared=False)
+def a15(b):
+    c = b.table("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("tools"))
+    return evaluation.tool_sequences(c)
+
+
+@query("A16_set_scores", "+ s AS (SELECT source, list(DISTINCT lang) AS claimed, list(DISTINCT lang) FILTER (WHERE n_chars > 2000) AS e FROM documents GROUP BY source), x AS (SELECT source, claimed, coalesce(e, []) AS e FROM s), m AS (SELECT source, CASE WHEN len(claimed) > 0 THEN len(list_intersect(claimed, e)) / len(claimed) ELSE 0 END AS p, CASE WHEN len(e) > 0 THEN len(list_intersect(claimed, e)) / len(e) ELSE 1 END AS r FROM x) SELECT source, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m")
+def a16(b):
+    g = b.table("documents").groupBy("source").agg(F.collect_set("lang").alias("claimed"), F.collect_set(F.when(F.col("n_chars") > 2000, F.col("lang"))).alias("expected"))
+    s = evaluation.set_scores(F.col("claimed"), F.col("expected"), F.array().cast("array<string>"))
+    return g.select("source", s.alias("s")).select("source", r6("s.precision", "precision"), r6("s.recall", "recall"), r6("s.f1", "f1"))
+
+
+@query("A17_corpus_summary", "SELECT round(avg(q), 6) AS macro, round(sum(h) / sum(n), 6) AS micro FROM (SELECT lang, avg(CAST(quality AS DOUBLE)) AS q, sum(quality) AS h, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)", shared=False)
+def a17(b):
+    g = b.table("labels").join(b.table("documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("q"), F.sum("quality").alias("h"), F.count("*").alias("n"))
+    return g.agg(r6(F.avg("q"), "macro"), r6(F.sum("h") / F.sum("n"), "micro"))
+
+
+@query("A18_retrieval_measures", _bm25_sql() + ", rk AS (SELECT id, video_id, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS rank, kind FROM hits), m AS (SELECT v.id AS q, min(rank) AS rank FROM videos v LEFT JOIN rk ON rk.video_id = v.id AND rk.kind = 'ocr' GROUP BY v.id) SELECT count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hitk, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM m")
+def a18(b):
+    s = lexical.bm25(b.evidence, QUERY, kinds=["ocr"])
+    first = s.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id"))).groupBy("video_id").agg(F.min("rank").alias("rank"))
+    asked = b.videos.select(F.col("id").alias("video_id")).join(first, "video_id", "left")
+    return evaluation.retrieval(asked).select("n", r6("hit1", "hit1"), r6("hitk", "hitk"), r6("mrr", "mrr"))
+
+
+@query("A19_answers", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE contains(lower(text), 'apache') OR contains(lower(text), 'mit license')) AS accepted FROM documents GROUP BY lang", shared=False)
+def a19(b):
+    ok = evaluation.accepted(F.col("text"), F.array(F.lit("Apache"), F.lit("MIT License")))
+    return b.table("documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(ok).alias("accepted"))
+
+
+@query("A20_confusion", "SELECT quality AS predicted, toxic AS actual, count(*) AS n FROM labels GROUP BY 1, 2", shared=False)
+def a20(b):
+    return b.table("labels").groupBy(F.col("quality").alias("predicted"), F.col("toxic").alias("actual")).agg(F.count("*").alias("n"))
+
+
+@query("A21_longest_run", "+ r AS (SELECT video_id, max(t) AS secs, sum(value) AS wall FROM frames GROUP BY video_id) SELECT count(*) AS videos, round(sum(secs), 3) AS secs, round(sum(secs) / sum(wall), 6) AS speed FROM r")
+def a21(b):
+    r = b.frames.groupBy("video_id").agg(F.max("t").alias("secs"), F.sum("value").alias("wall"))
+    return r.agg(F.count("*").alias("videos"), F.round(F.sum("secs"), 3).alias("secs"), r6(F.sum("secs") / F.sum("wall"), "speed"))
+
+
+@query("A22_cost_estimate", "SELECT id, round(duration_secs / 60 * 0.006 + ceil(duration_secs) * 0.003, 6) AS cost FROM videos")
+def a22(b):
+    return b.videos.select("id", r6(F.col("duration_secs") / 60 * 0.006 + F.ceil("duration_secs") * 0.003, "cost"))
+
+
+@query("A23_latency_histogram", "SELECT kind, CASE WHEN value <= 5 THEN 0 WHEN value <= 10 THEN 1 WHEN value <= 25 THEN 2 WHEN value <= 50 THEN 3 WHEN value <= 100 THEN 4 WHEN value <= 250 THEN 5 ELSE 6 END AS bucket, count(*) AS n FROM frames GROUP BY 1, 2")
+def a23(b):
+    return evaluation.histogram(b.frames, ["kind"], "value", [5, 10, 25, 50, 100, 250])
+
+
+@query("A24_spend_by_day", "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 6) AS spent, sum(value) > 500 AS over FROM events GROUP BY 1, 2", shared=False)
+def a24(b):
+    g = b.table("events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.sum("value").alias("s"))
+    return g.select("user_id", "day", r6("s", "spent"), (F.col("s") > 500).alias("over"))
+
+
+# ---- windows, order, sets
+
+
+@query("W01_first_rows", "SELECT video_id, id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t0, id) AS rn FROM transcript) WHERE rn <= 2")
+def w01(b):
+    return catalog.ranked_once(b.transcript, ["video_id"], [F.col("t0"), F.col("id")], 2).select("video_id", "id")
+
+
+@query("W02_partition_count", "SELECT id, count(*) OVER (PARTITION BY video_id) AS n FROM transcript")
+def w02(b):
+    return b.transcript.select("id", F.count("*").over(Window.partitionBy("video_id")).alias("n"))
+
+
+@query("W05_adjacent_distance", "SELECT event_id, round(abs(value - lag(value) OVER (PARTITION BY video_id ORDER BY t, event_id)) / 500, 6) AS d FROM frames")
+def w05(b):
+    w = Window.partitionBy("video_id").orderBy("t", "event_id")
+    return b.frames.select("event_id", r6(F.abs(F.col("value") - F.lag("value").over(w)) / 500, "d"))
+
+
+@query("W08_distinct_frames", "+ d AS (SELECT video_id, lag(phash) OVER w AS p, phash FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY t, event_id)) SELECT video_id, CAST(sum(CASE WHEN p IS NULL OR bit_count(xor(phash, p)) > 6 THEN 1 ELSE 0 END) AS BIGINT) AS distinct_frames, count(*) AS frames FROM d GROUP BY video_id")
+def w08(b):
+    return windows.consecutive_distinct(b.frames, ["video_id"], ["t", "event_id"], "phash")
+
+
+@query("W09_new_lines", "+ l AS (SELECT doc_id, source, list_distinct(string_split(text, chr(10))) AS lines FROM documents), p AS (SELECT doc_id, lines, lag(lines) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM l) SELECT doc_id, len(list_filter(lines, lambda x: prev IS NULL OR NOT list_contains(prev, x))) AS n_new FROM p")
+def w09(b):
+    lines = F.array_distinct(F.split("text", "\n"))
+    d = b.table("documents").select("doc_id", "source", lines.alias("lines"))
+    prev = F.lag("lines").over(Window.partitionBy("source").orderBy("doc_id"))
+    return d.select("doc_id", F.size(F.array_except("lines", F.coalesce(prev, F.array().cast("array<string>")))).cast("long").alias("n_new"))
+
+
+@query("W10_gaps", "+ g AS (SELECT video_id, t AS gap1, lag(t + 1) OVER (PARTITION BY video_id ORDER BY t, event_id) AS gap0 FROM frames) SELECT video_id, round(gap0, 3) AS gap0, round(gap1, 3) AS gap1 FROM g WHERE gap1 - gap0 > 3600")
+def w10(b):
+    s = b.frames.select("video_id", F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"))
+    return joins.gaps(s, ["video_id"], least=3600).select("video_id", F.round("gap0", 3).alias("gap0"), F.round("gap1", 3).alias("gap1"))
+
+
+@query("W12_tumbling_windows", "SELECT video_id, CAST(floor(t / 300) AS BIGINT) AS win, count(*) AS n, round(sum(value), 6) AS v FROM frames GROUP BY 1, 2")
+def w12(b):
+    return b.frames.groupBy("video_id", windows.tumbling(F.col("t"), 300).alias("win")).agg(F.count("*").alias("n"), r6(F.sum("value"), "v"))
+
+
+@query("T04_list_depth", _bm25_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS n FROM hits) SELECT kind, id, n AS rank FROM r WHERE n <= 40")
+def t04(b):
+    s = lexical.bm25(b.evidence, QUERY)
+    return catalog.ranked_once(s, ["kind"], [F.desc("score"), F.col("id")], hybrid.list_depth(8)).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id")).cast("long")).select("kind", "id", "rank")
+
+
+@query("T06_stratified_sample")
+def t06(b):
+    return evaluation.stratified(b.table("documents"), "doc_id", "lang", 100).select("doc_id", "lang")
+
+
+@query("U01_union_of_lists", "SELECT kind, id FROM transcript UNION ALL SELECT kind, id FROM ocr")
+def u01(b):
+    return b.transcript.select("kind", "id").unionByName(b.ocr.select("kind", "id"))
+
+
+@query("U03_set_difference", "SELECT source, count(DISTINCT text) AS n FROM documents WHERE text NOT IN (SELECT text FROM documents d JOIN labels USING (doc_id)) GROUP BY source", shared=False)
+def u03(b):
+    d = b.table("documents")
+    known = d.join(b.table("labels"), "doc_id", "left_semi").select("text").distinct()
+    return d.join(known, "text", "left_anti").groupBy("source").agg(F.countDistinct("text").alias("n"))
+
+
+@query("U05_merged_windows", "+ s AS (SELECT video_id, t AS a, t + 1800 AS z FROM frames), m AS (SELECT *, max(z) OVER (PARTITION BY video_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pz FROM s), g AS (SELECT *, sum(CASE WHEN pz IS NULL OR a > pz THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY a, z) AS isl FROM m) SELECT video_id, round(min(a), 3) AS t0, round(max(z), 3) AS t1, count(*) AS n FROM g GROUP BY video_id, isl")
+def u05(b):
+    s = b.frames.select("video_id", F.col("t").alias("t0"), (F.col("t") + 1800).alias("t1"))
+    return joins.islands(s, ["video_id"]).select("video_id", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"), "n")
+
+
+# ---- sources and sinks
+
+
+@query("S01_source_dispatch", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '^(s3a?|gs|az|abfss?|r2)://') THEN 'object_store' WHEN regexp_matches(lower(url), '^https?://') THEN CASE WHEN regexp_matches(lower(url), 'youtube.com/|youtu.be/|vimeo.com/') THEN 'video_site' ELSE 'http' END ELSE 'local_file' END AS reader FROM pages", shared=False)
+def s01(b):
+    low = F.lower("url")
+    site = F.when(low.rlike("youtube.com/|youtu.be/|vimeo.com/"), "video_site").otherwise("http")
+    return b.table("pages").select("page_id", F.when(low.rlike("^(s3a?|gs|az|abfss?|r2)://"), "object_store").when(low.rlike("^https?://"), site).otherwise("local_file").alias("reader"))
+
+
+@query("S08_cues", "SELECT conv_id, turn AS n, CAST(turn * 15 AS DOUBLE) AS t0, CAST(turn * 15 + 14.5 AS DOUBLE) AS t1, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''", shared=False)
+def s08(b):
+    clock = lambda t, ms: F.concat(hms(t), F.lit(f",{ms}"))
+    block = F.concat(F.col("turn").cast("string"), F.lit("\n"), clock(F.col("turn") * 15, "000"), F.lit(" --> "), clock(F.col("turn") * 15 + 14, "500"), F.lit("\n<i>"), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("</i>"))
+    files = b.table("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("x")))), lambda r: r["x"]), "\r\n\r\n").alias("value"))
+    return subtitles.cues(files).select("conv_id", F.col("n").cast("long").alias("n"), "t0", "t1", "text")
+
+
+@query("S10_sampled_frames", "SELECT arg_min(event_id, (t, event_id)) AS event_id FROM frames GROUP BY video_id, floor((t + 1e-6) / 3600)")
+def s10(b):
+    return sampling.sample_frames(b.frames, ["video_id"], "t", 3600).select("event_id")
+
+
+@query("S11_audio_chunks", "+ c AS (SELECT doc_id, n_chars * 1000 AS n, unnest(range(0, n_chars * 1000, 400000)) AS s0 FROM documents), d AS (SELECT doc_id, s0, least(s0 + 480000, n) AS s1 FROM c) SELECT doc_id, s0, s1 FROM d WHERE s0 = 0 OR s1 - s0 > 80000")
+def s11(b):
+    d = b.table("documents").select("doc_id", (F.col("n_chars") * 1000).alias("n_samples"))
+    return sampling.audio_chunks(d).select("doc_id", "s0", "s1")
+
+
+@query("S13_covering_segments", "SELECT id FROM segments WHERE t1_secs > 25 AND t0_secs < 65")
+def s13(b):
+    return sampling.covering(b.segments.select("id", F.col("t0_secs").alias("t0"), F.col("t1_secs").alias("t1")), 25, 65).select("id")
+
+
+@query("S15_list_videos", "SELECT id, channel, duration_secs, index_state FROM videos")
+def s15(b):
+    return b.videos.select("id", "channel", "duration_secs", "index_state")
+
+
+@query("K01_upsert", "SELECT video_id, arg_max(event_id, event_id) AS event_id, arg_max(kind, event_id) AS kind FROM frames GROUP BY video_id")
+def k01(b):
+    return catalog.latest(b.frames.select("video_id", "event_id", "kind", F.col("event_id").alias("seq")), ["video_id"], "seq").select("video_id", "event_id", "kind")
+
+
+@query("K02_keep_hash", "SELECT event_id, coalesce(CASE WHEN kind = 'click' THEN NULL ELSE phash + 1 END, phash) AS phash, kind || '!' AS kind FROM frames")
+def k02(b):
+    old = b.frames.select("event_id", "phash", "kind")
+    new = b.frames.select("event_id", F.when(F.col("kind") != "click", F.col("phash") + 1).alias("phash"), F.concat("kind", F.lit("!")).alias("kind"))
+    return catalog.upsert(old, new, ["event_id"], ("phash",))
+
+
+@query("K04_cascade", "SELECT id FROM transcript WHERE video_id NOT IN (SELECT id FROM videos WHERE channel = 'channel1')")
+def k04(b):
+    tracks = b.transcript.select(F.concat(F.lit("k"), "video_id").alias("id"), "video_id").distinct()
+    spans = b.transcript.select("id", F.concat(F.lit("k"), "video_id").alias("track_id"))
+    return catalog.cascade({"tracks": tracks, "transcript_spans": spans}, b.videos.where("channel = 'channel1'"))["transcript_spans"].select("id")
+
+
+@query("K05_blob_keys", "SELECT page_id, substring(h, 1, 2) || '/' || substring(h, 3, 2) || '/' || h AS blob FROM (SELECT page_id, sha256(html) AS h FROM pages)", shared=False)
+def k05(b):
+    return b.table("pages").select("page_id", subtitles.blob_key(F.col("html")).alias("blob"))
+
+
+@query("K06_sessions", "SELECT user_id, max(event_id) AS last FROM events WHERE ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-02' GROUP BY user_id", shared=False)
+def k06(b):
+    return b.table("events").where(F.expr("ts + interval 24 hours > timestamp_ntz'2024-01-02'")).groupBy("user_id").agg(F.max("event_id").alias("last"))
+
+
+@query("K09_cache_markers", "SELECT doc_id, sha256(concat_ws('|', 'ocr', '3', text)) AS marker FROM documents", shared=False)
+def k09(b):
+    return b.table("documents").select("doc_id", F.sha2(F.concat_ws("|", F.lit("ocr"), F.lit("3"), "text"), 256).alias("marker"))
+
+
+# ---- indexing operators
+
+
+@query("O04_strip_markup", "SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>|\\{[^}]*\\}', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), ' ') AS text FROM pages", shared=False)
+def o04(b):
+    return b.table("pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
+
+
+@query("O19_entities", "SELECT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS name, arg_min(p_brand, p_partkey) AS kind, count(*) AS mentions FROM part GROUP BY 1", shared=False)
+def o19(b):
+    name = F.lower(F.trim(F.regexp_replace("p_type", r"\s+", " ")))
+    return b.table("part").groupBy(name.alias("name")).agg(F.min_by("p_brand", "p_partkey").alias("kind"), F.count("*").alias("mentions"))
+
+
+def _by_video(b, schema: str, fold):
+    return folds.folded(b.frames.select("video_id", "event_id", "t", "value", "phash"), ["video_id"], schema, lambda p: fold(p.sort_values(["t", "event_id"])))
+
+
+@query("O03_grouped_cues")
+def o03(b):
+    return folds.folded(b.transcript.select("video_id", "t0", "t1", "text", "id"), ["video_id"], "video_id string, t0 double, t1 double, text string", lambda p: folds.group_cues(list(p.sort_values(["t0", "id"])[["t0", "t1", "text"]].itertuples(index=False, name=None)), 45.0))
+
+
+@query("O05_shots")
+def o05(b):
+    return _by_video(b, "video_id string, t0 double, t1 double", lambda p: folds.shots(p.t.tolist(), [0.0, *(p.value.diff().abs().iloc[1:] / 500).tolist()], float(p.t.max()) + 1))
+
+
+@query("O09_kept_frames")
+def o09(b):
+    return _by_video(b, "video_id string, event_id long", lambda p: [(int(e),) for e, k in zip(p.event_id, folds.keep_distinct(p.phash.tolist())) if k])
+
+
+@query("O11_read_gate")
+def o11(b):
+    return _by_video(b, "video_id string, event_id long", lambda p: [(int(e),) for e, k in zip(p.event_id, folds.read_gate(p.t.tolist(), p.phash.tolist(), (p.value / 50000).tolist())) if k])
+
+
+@query("O12_speech")
+def o12(b):
+    return _by_video(b, "video_id string, t0 double, t1 double", lambda p: folds.speech((p.value / 500).tolist()))
+
+
+@query("O15_scenes")
+def o15(b):
+    def fold(p):
+        cuts = folds.shots(p.t.tolist(), [0.0, *(p.value.diff().abs().iloc[1:] / 500).tolist()], float(p.t.max()) + 1)
+        return folds.scenes(cuts, [0.3] * (len(cuts) - 1))
+
+    return _by_video(b, "video_id string, t0 double, t1 double", fold)
+
+
+@query("O16_chapters")
+def o16(b):
+    def fold(p):
+        sim = (p.value / 500).tolist()[1:]
+        return folds.chapters(p.t.tolist(), float(p.t.max()) + 1, folds.depth_scores(sim), [False] * len(sim), 86400.0, 3600.0)
+
+    return _by_video(b, "video_id string, t0 double, t1 double", fold)
+
+
+@query("O13_utterances")
+def o13(b):
+    return _by_video(b, "video_id string, t0 double, t1 double, n long", lambda p: live.utterances_of(p.t.tolist(), 86400.0, 7200.0))
+
+
+# ---- live
+
+
+@query("L03_stage_clock", "+ h AS (SELECT video_id, max(t) AS head FROM frames GROUP BY video_id) SELECT f.video_id, f.kind AS stage, round(greatest(max(t), any_value(head)), 3) AS last_t FROM frames f JOIN h USING (video_id) GROUP BY f.video_id, f.kind")
+def l03(b):
+    heads = b.frames.groupBy("video_id").agg(F.max("t").alias("head"))
+    return live.stage_clock(b.frames.withColumnRenamed("kind", "stage"), heads).select("video_id", "stage", F.round("last_t", 3).alias("last_t"))
+
+
+@query("L08_budget", "SELECT event_id, round(sum(value) OVER w, 6) AS trailing, round(sum(value) OVER w, 6) <= 600 AS allowed FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY CAST(floor(t) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)")
+def l08(b):
+    w = live.within_budget(b.frames.withColumn("t", F.floor("t")), ["video_id"], "t", "value", 600.0, 86400)
+    return w.select("event_id", r6("trailing", "trailing"), (F.round("trailing", 6) <= 600).alias("allowed"))
+
+
+@query("L10_live_identity", "SELECT event_id, sha256('live:' || user_id || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS id FROM events", shared=False)
+def l10(b):
+    return b.table("events").select("event_id", live.live_id(F.col("user_id").cast("string"), F.col("ts").cast("timestamp")).alias("id"))
+
+
+@query("L11_follow", "SELECT id FROM transcript WHERE t1 > 45 AND speaker <> 'system'")
+def l11(b):
+    since = b.videos.select(F.col("id").alias("video_id"), F.lit(45.0).alias("since"))
+    return live.follow(b.transcript, b.transcript.where("speaker = 'system'"), since).select("id")
+
+
+@query("L13_live_progress", "+ h AS (SELECT video_id, max(t) AS head FROM frames GROUP BY video_id), s AS (SELECT video_id, kind, max(t) AS last_t FROM frames GROUP BY 1, 2) SELECT s.video_id, round(any_value(head), 3) AS head, round(min(last_t), 3) AS watermark, round(max(head - last_t), 3) AS worst_lag FROM s JOIN h USING (video_id) GROUP BY s.video_id")
+def l13(b):
+    heads = b.frames.groupBy("video_id").agg(F.max("t").alias("head"))
+    clock = b.frames.groupBy("video_id", F.col("kind").alias("stage")).agg(F.max("t").alias("last_t"))
+    out = live.lag(clock, heads)
+    return out.select("video_id", F.round("head", 3).alias("head"), F.round("watermark", 3).alias("watermark"), F.round(F.array_max(F.map_values("lag_by_stage")), 3).alias("worst_lag"))
+
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which conversations and documents speak of the query, by their best window."""
+    return QUERIES["R03_hybrid_search"](spark, sf_dir)
