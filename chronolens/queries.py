@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers, text
 from .operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, vector_search, windows
+from .session import ready
 from .sources import sampling, subtitles
 from .streaming import live
 from .timeq import hms
@@ -36,6 +37,7 @@ tok AS (SELECT kind, id, video_id, t0, t1, text, regexp_extract_all(lower(strip_
 
 def base(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     """The stand-in tables."""
+    ready(spark)
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     conv, docs, events = t("conversations"), t("documents"), t("events")
     d = lambda c: c.cast("double")
