@@ -3,14 +3,15 @@
 Components are integers. Rows are dealt into blocks of bounded size by a hash of
 the id, queries likewise, and each block of rows meets each block of queries
 once, so the work is rows times queries in bounded tasks, with no hot key. In a
-block each dimension is a posting list in order of descending impact (absolute
-component). A query takes the lists' segments by descending quantised impact
-(component times query component, in steps of the level) and adds them to
-accumulators. After each level a document's score is known up to its number of
-missing dimensions times the level. Once the documents that could still be among
-the best k are few - those whose upper bound reaches the k-th best lower bound -
-these alone are scored exactly; all others are proved out. Where no proof comes,
-all levels are read and scores are exact.
+block the postings (dimension, row, component) are kept in segments by
+descending quantised impact, the absolute component; a segment holds its postings
+of all dimensions, as a dense band, since dense vectors post in every dimension.
+Queries take the segments in that order and add them to accumulators. After a
+segment a row's score is known up to what its unread postings can add: the
+segment's lower bound times the query's components on the row's unread
+dimensions. Once the rows that could still be among the best k are few - those
+whose upper bound reaches the k-th best lower bound - these alone are scored
+exactly; all others are proved out. Where no proof comes, all segments are read.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without id; repeated ids count once; vectors of unequal length count as
@@ -31,56 +32,56 @@ from .vectors import matrix, usable, width_of
 
 ROWS = 16_384
 QUERIES = 1_024
-#: share of the postings that is read before bounds are looked at, then at each further level
-LEVELS = (0.6, 0.75, 0.9, 1.0)
+#: share of the postings that is read after each segment
+SEGMENTS = (0.5, 0.75, 0.9, 1.0)
+#: queries that share a pass over the segments
+TOGETHER = 64
 SCHEMA = "query_id long, vec_id long, score long"
 
 
 class ImpactIndex:
-    """Posting lists of one block: for each dimension the rows by descending absolute component."""
+    """Segments of one block, by descending impact."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
         size = np.abs(values)
-        self.order = np.argsort(-size, axis=0, kind="stable").T.copy()
-        self.impact = np.take_along_axis(values.T, self.order, axis=1)
-        self.size = -np.abs(self.impact)  # ascending, for searching
-
-    def best(self, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores that hold the k best and all that tie with the k-th, without row ``skip``."""
-        n = len(self.values)
-        dims = np.flatnonzero(q)
-        k = k + (skip >= 0)
-        if n <= k or not len(dims):
-            some = np.arange(n)
-        else:
-            weight = np.abs(q[dims])
-            # levels as impacts that leave the wanted share of postings above them
-            sample = (np.abs(self.values[:: max(1, n // 64)][:, dims]) * weight).ravel()
-            levels = [int(x) for x in np.quantile(sample, [1 - s for s in LEVELS[:-1]])] + [0]
-            score, met = np.zeros(n), np.zeros(n, np.int64)
-            done = np.zeros(len(dims), np.int64)
-            some = None
-            for level in levels:
-                ids, add = [], []
-                for j, d in enumerate(dims):
-                    end = n if level <= 0 else int(np.searchsorted(self.size[d], -math.ceil(level / weight[j]), side="right"))
-                    if end > done[j]:
-                        ids.append(self.order[d, done[j] : end])
-                        add.append(self.impact[d, done[j] : end] * q[d])
-                        done[j] = end
-                if ids:
-                    at = np.concatenate(ids)
-                    score += np.bincount(at, np.concatenate(add), n)
-                    met += np.bincount(at, minlength=n)
-                slack = (len(dims) - met) * max(level, 0)
-                floor = np.partition(score - slack, n - k)[n - k]
-                some = np.flatnonzero(score + slack >= floor)
-                if len(some) <= max(8 * k, n // 50):
+        self.most = int(size.max(initial=0))
+        #: (band of components, which postings are read by then, least impact read)
+        self.segments: list[tuple[np.ndarray, np.ndarray, int]] = []
+        above = self.most + 1
+        for share in SEGMENTS:
+            least = 0 if share == 1 or not size.size else int(np.quantile(size, 1 - share))
+            if least < above:
+                read = size >= least
+                self.segments.append((np.where(read & (size < above), values, 0).astype(float), read.astype(np.float32), least))
+                above = least
+
+    def best(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows, with exact scores, that hold the k best and all that tie with the k-th; row ``skip[i]`` is left out (-1: none)."""
+        n, out = len(self.values), []
+        # sums must be exact in double precision
+        sure = n > k + 1 and self.most * int(np.abs(queries).max(initial=0)) * queries.shape[1] < 1 << 52
+        for lo in range(0, len(queries), TOGETHER):
+            q, left = queries[lo : lo + TOGETHER], np.arange(min(TOGETHER, len(queries) - lo))
+            some: list[np.ndarray] = [np.arange(n)] * len(left)
+            score, weight = np.zeros((len(left), n)), np.abs(q).astype(np.float32)
+            for band, read, least in self.segments if sure else []:
+                score[left] += q[left].astype(float) @ band.T
+                # single precision may round down: a little more is allowed for
+                slack = (least * (weight[left].sum(1, keepdims=True) - weight[left] @ read.T)).clip(0) * 1.001 + (least > 0)
+                still = []
+                for i, row in enumerate(left):
+                    floor = np.partition(score[row] - slack[i], n - k - 1)[n - k - 1]
+                    some[row] = np.flatnonzero(score[row] + slack[i] >= floor)
+                    if len(some[row]) > max(8 * k, n // 50):
+                        still.append(row)
+                left = np.array(still, np.int64)
+                if not len(left):
                     break
-        if skip >= 0:
-            some = some[some != skip]
-        return some, self.values[some] @ q
+            for i, rows in enumerate(some):
+                rows = rows[rows != skip[lo + i]]
+                out.append((rows, self.values[rows] @ q[i]))
+        return out
 
 
 def integers(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -105,8 +106,8 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> Dat
         width = width_of(a["v"], b["q"])
         ids, index, out = a["vec_id"].to_numpy(), ImpactIndex(matrix(a["v"], width, np.int64)), []
         place = {i: n for n, i in enumerate(ids.tolist())}
-        for qid, q in zip(b["query_id"].tolist(), matrix(b["q"], width, np.int64)):
-            some, score = index.best(q, k, place.get(qid, -1))
+        qids, qs = b["query_id"].tolist(), matrix(b["q"], width, np.int64)
+        for qid, (some, score) in zip(qids, index.best(qs, k, np.array([place.get(i, -1) for i in qids]))):
             top = np.lexsort((ids[some], -score))[:k]
             out.append((np.full(len(top), qid), ids[some[top]], score[top]))
         qs, vs, ss = map(np.concatenate, zip(*out))
