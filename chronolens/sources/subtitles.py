@@ -27,11 +27,11 @@ def cues(files: DataFrame, text: str = "value") -> DataFrame:
     clean = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")
     rest = [c for c in files.columns if c != text]
     blocks = files.select(*rest, F.posexplode(F.split(clean, r"\n[ \t]*\n+")).alias("n", "block"))
-    blocks = blocks.where(~F.trim("block").rlike(r"^(WEBVTT|NOTE|STYLE|REGION)") | F.col("block").rlike(r"(?s)^WEBVTT[^\n]*\n.*-->") & F.lit(False))
+    blocks = blocks.where(~F.trim("block").rlike(r"^(WEBVTT|NOTE|STYLE|REGION)"))
     lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
     arrow = F.filter(lines, lambda x: x.rlike(_ARROW))
-    body = F.slice(lines, F.array_position(lines, F.element_at(arrow, 1)).cast("int") + 1, F.size(lines))
-    out = blocks.where(F.size(arrow) > 0).withColumn("__a", F.element_at(arrow, 1)).withColumn("text", strip_markup(F.array_join(body, " ")))
+    body = F.slice(lines, F.array_position(lines, F.get(arrow, F.lit(0))).cast("int") + 1, F.size(lines))
+    out = blocks.where(F.size(arrow) > 0).withColumn("__a", F.get(arrow, F.lit(0))).withColumn("text", strip_markup(F.array_join(body, " ")))
     out = out.withColumn("t0", _secs(F.col("__a"), 1)).withColumn("t1", _secs(F.col("__a"), 5))
     return out.where((F.col("text") != "") & (F.col("t1") > F.col("t0"))).select(*rest, "n", "t0", "t1", "text")
 
