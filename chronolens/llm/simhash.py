@@ -189,16 +189,21 @@ def near_groups(docs: DataFrame, limit: int = 3, words: int = 3, hot: int = HOT_
 def one_of_each(docs: DataFrame, limit: int = 3, words: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns: of each group of near copies the row of least doc_id, one row if several have that id.
 
-    Only ids and fingerprints are shuffled to find the groups, and only the rows
-    that share a group with another are compared; the texts move once, to meet
-    the ids that go.
+    Texts are in one group if their fingerprints differ in at most ``limit`` bits,
+    or if 0.8 or more of their five-word shingles are the same: at that share
+    fingerprints differ in more bits than an index of parts can find.
+
+    Only ids and fingerprints are shuffled to join the groups; the texts move
+    once, to meet the ids that go. Rows without an id are kept.
     """
-    groups = written(near_groups(docs, limit, words), "groups")
-    large = groups.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1")
-    member = groups.join(large, "component_id")
-    gone = member.where("doc_id <> component_id or doc_id is null").select("doc_id", "fingerprint").distinct()
-    out = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
-    # rows that repeat an id of a group are the same document
-    again = member.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    from .near_copies import groups as shingle_groups
+
+    by_bits = near_groups(docs, limit, words).select("doc_id", F.col("component_id").alias("a"))
+    both = written(by_bits.unionByName(shingle_groups(docs).select("doc_id", F.col("group").alias("a"))).where("doc_id is not null").distinct(), "groups")
+    roots = components(both.select("a", F.col("doc_id").alias("b")), "joined")
+    gone = roots.where("node <> root").select(F.col("node").alias("doc_id"))
+    out = docs.join(gone, "doc_id", "left_anti")
+    # rows that repeat an id are the same document
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     single = out.join(again, "doc_id", "left_anti")
     return single.unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
