@@ -68,15 +68,15 @@ def parsed(conversation: str) -> list[tuple[str, str]]:
     return out
 
 
-def _doubled(jumps: DataFrame) -> list[DataFrame]:
-    """Tables (id, up): the ancestor 1, 2, 4, ... steps above, until no message has one."""
+def _doubled(jumps: DataFrame, nodes: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (id, up): the ancestor 1, 2, 4, ... steps above; and those that still have one further up than there are messages, which is on a cycle."""
     out = [written(jumps, "jump")]
     while out[-1].limit(1).count():
+        if 1 << (len(out) - 1) > nodes:
+            return out[:-1], out[-1]
         a, b = out[-1], out[-1].select(F.col("id").alias("up"), F.col("up").alias("over"))
         out.append(written(a.join(b, "up").select("id", F.col("over").alias("up")), "jump"))
-        if len(out) > 63:
-            raise ValueError("replies form a cycle")
-    return out[:-1]
+    return out[:-1], None
 
 
 def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
@@ -89,7 +89,9 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     nodes = written(messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     edges = nodes.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.col("parent").alias("up"))
     leaves = nodes.join(edges.select(F.col("up").alias("id")).distinct(), "id", "left_anti").select("id")
-    jumps = _doubled(edges)
+    jumps, endless = _doubled(edges, nodes.count())
+    if endless is not None:
+        leaves = leaves.join(endless.select("id"), "id", "left_anti")
     # longest jumps first: each ancestor of a leaf is reached by one sum of powers of two
     pairs = leaves.select(F.col("id").alias("path"), "id", F.lit(0).cast("long").alias("dist"))
     for k in range(len(jumps) - 1, -1, -1):
