@@ -7,11 +7,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ready
+
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
+#: what one Arrow batch may hold, where the session names no limits of its own
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Make the session ready. Batches between the JVM and Python of a few MB: long texts must not add up to a worker's memory."""
+    ready(spark)
+    if not getattr(spark, "_chronolens_batches", False):
+        own = spark.sparkContext.getConf()
+        for k, v in BATCH.items():
+            if not own.contains(k):
+                spark.conf.set(k, v)
+        spark._chronolens_batches = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolens.llm import language_id, packing, quality, simhash, suffix_dedup
-from chronolens.llm.common import table, tokenizer_path, written
+from chronolens.llm.common import small_batches, table, tokenizer_path, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +30,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (operator 3)."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated strings are cut; documents with nothing left go (operator 2)."""
+    small_batches(spark)
     out = suffix_dedup.deduplicated(docs).where("text <> ''")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of related documents (operator 1)."""
+    small_batches(spark)
     return packing.packed_pieces(docs, tokenizer_path())
 
 
