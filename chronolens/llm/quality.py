@@ -43,7 +43,7 @@ _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 class Settings:
     """Learning reads at most about ``sample_docs`` labelled documents of each class, none over ``sample_chars``."""
 
-    sample_docs: int = 2500
+    sample_docs: int = 1500
     sample_chars: int = 20_000
     hidden: int = 24
     attention: int = 12
@@ -172,6 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     if good.all() or not good.any():
         return None
     x, first = passages(sample["text"].tolist())
+    del sample
     # the rarer rate stands for more documents
     weight = np.where(good, 1 / rate[True], 1 / rate[False])
     return AttentionBag(settings).fit(x, first, good.astype(float), weight / weight.mean())
