@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,15 +75,13 @@ def phrase_count(toks: Column, phrase: list[str], prefix: bool = False) -> Colum
     if n == 1:
         hit = (lambda x: x.startswith(phrase[0])) if prefix else (lambda x: x == F.lit(phrase[0]))
         return F.size(F.filter(toks, hit)).cast("long")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(0)))
-
-    def at(i: Column) -> Column:
-        tests = [F.element_at(toks, (i + k).cast("int")) == F.lit(w) for k, w in enumerate(phrase)]
-        if prefix:
-            tests[-1] = F.element_at(toks, (i + n - 1).cast("int")).startswith(phrase[-1])
-        return reduce(lambda a, b: a & b, tests)
-
-    return F.when(F.size(toks) >= n, F.size(F.filter(starts, at))).otherwise(F.lit(0)).cast("long")
+    # the array is an argument throughout: one that a lambda captured would be made again for every element
+    hits = F.transform(toks, lambda x: x == F.lit(phrase[0]))
+    for k, w in enumerate(phrase[1:], 1):
+        last = prefix and k == n - 1
+        then = F.transform(F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0))), lambda x: x.startswith(w) if last else x == F.lit(w))  # noqa: B023
+        hits = F.zip_with(hits, then, lambda x, y: x & F.coalesce(y, F.lit(False)))
+    return F.size(F.filter(hits, lambda x: x)).cast("long")
 
 
 def strip_markup(text: Column) -> Column:

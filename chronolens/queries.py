@@ -718,3 +718,9 @@ def l13(b):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which conversations and documents speak of the query, by their best window."""
     return QUERIES["R03_hybrid_search"](spark, sf_dir)
+
+
+# names that the other module of queries builds on
+_BM25, _UNITS, units = _bm25_sql(), _GROUP_SQL, _units
+
+from . import queries_more  # noqa: E402, F401
