@@ -6,15 +6,15 @@ encoding is smallest wins. What a margin is worth in bits gives the score, and a
 margin that is narrow rejects the answer (``accepted`` is false).
 
 Letters alone are encoded: the text is lower-cased and everything else counts as
-a blank, so digits, markup and symbols vote for no language.
+a blank, so digits, markup and symbols vote for no language. Where all sizes tie, the
+language with most labelled rows wins.
 
 zstandard stores what it can't make smaller, which would make the sizes of short
 texts alike. So every text follows a run of zeros that all languages share and
 that makes any block worth encoding.
 
 Null texts and texts without letters are ``und`` with score 0, not accepted. A
-single letter or word is a text like any other; where all sizes tie, the first
-language in order of name wins with a low score. Repeated rows and columns
+single letter or word is a text like any other, with a low score where sizes tie. Repeated rows and columns
 beyond doc_id, text and lang change nothing; an empty table gives no rows, and
 with no labelled row every answer is ``und``. Texts are encoded whole.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -39,18 +40,21 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepte
 
 @dataclass(frozen=True)
 class Settings:
-    """``shards`` dictionaries of ``dictionary_bytes`` a language, from at most about
-    ``sample_docs`` labelled documents of it. ``level`` encodes every text; where the
+    """``shards`` dictionaries of ``dictionary_bytes`` a language and one of ``common_bytes`` with
+    its commonest words, from at most about ``sample_docs`` labelled documents of it. ``level`` encodes every text; where the
     margin is under ``close_bytes`` a dictionary, ``close_level`` decides. An answer is
-    rejected if its margin is under ``min_margin`` bytes a dictionary."""
+    rejected if its margin is under ``min_margin`` bytes a dictionary, and the text has
+    ``short_bytes`` of letters or more: shorter ones can't show a margin."""
 
     shards: int = 2
     dictionary_bytes: int = 112_640
+    common_bytes: int = 3_072
     sample_docs: int = 400
     level: int = 3
     close_level: int = 19
     close_bytes: float = 6.0
     min_margin: float = 0.5
+    short_bytes: int = 64
 
 
 def letters(text: str | None) -> str:
@@ -92,8 +96,21 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> dict[str, list[by
             piles[k % settings.shards] += (t + " ").encode()
         whole = [bytes(p[: settings.dictionary_bytes]) for p in piles if len(p) >= 8]
         if whole:
-            out[str(lang)] = [whole[k % len(whole)] for k in range(settings.shards)]
-    return out
+            out[str(lang)] = [*(whole[k % len(whole)] for k in range(settings.shards)), common(texts, settings.common_bytes)]
+    # where sizes tie, the commoner language wins
+    return {k: out[k] for k in sorted(out, key=lambda k: (-sizes[k], k))}
+
+
+def common(texts: list[str], size: int) -> bytes:
+    """The commonest words, the most common last: near the text its references are short, which tells short texts apart."""
+    best = sorted(Counter(w for t in texts for w in t.split()).items(), key=lambda x: (-x[1], x[0]))
+    out, n = [], 0
+    for w, _ in best:
+        n += len(w.encode()) + 1
+        if n > size:
+            break
+        out.append(w)
+    return (" ".join(out[::-1]) + " ").encode()
 
 
 class Classifier:
@@ -102,7 +119,7 @@ class Classifier:
     def __init__(self, model: dict[str, list[bytes]], settings: Settings):
         import zstandard as z
 
-        self.langs, self.settings = sorted(model), settings
+        self.langs, self.settings = list(model), settings
 
         def coders(level: int):
             kept = {}
@@ -116,8 +133,7 @@ class Classifier:
         self.fast, self._coders, self._close = coders(settings.level), coders, None
 
     def _sizes(self, coders, raw: bytes) -> list[float]:
-        n = self.settings.shards
-        return [sum(len(c(raw)) for c in cs) / n for cs in coders]
+        return [sum(len(c(raw)) for c in cs) / len(cs) for cs in coders]
 
     def predict(self, text: str | None) -> tuple[str, float, bool, float]:
         """Language, score, accepted, margin in bytes."""
@@ -136,7 +152,7 @@ class Classifier:
             sizes = self._sizes(self._close, raw)
             a, b = sorted(sizes)[:2]
         score = 1 / sum(math.exp(min(0.0, (a - x) * math.log(2))) for x in sizes)
-        return self.langs[sizes.index(a)], score, b - a >= s.min_margin, b - a
+        return self.langs[sizes.index(a)], score, b - a >= s.min_margin or len(raw) <= len(_LEAD) + s.short_bytes, b - a
 
 
 def identify(docs: DataFrame, model: dict[str, list[bytes]], settings: Settings = Settings()) -> DataFrame:
