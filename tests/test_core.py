@@ -9,7 +9,7 @@ from chronolens import schema, timeq
 from chronolens.agent import Library, RetrievalOnly, ask
 from chronolens.functions import numbers, text
 from chronolens.operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, vision, windows
-from chronolens.plans import planner
+from chronolens.plans import jobs, planner
 from chronolens.sources import sampling, subtitles
 from chronolens.streaming import live
 
@@ -262,3 +262,15 @@ def test_windows(spark):
     ranks = spark.createDataFrame([(1,), (3,), (None,)], "rank int")
     r = evaluation.retrieval(ranks).first()
     assert r["hit1"] == pytest.approx(1 / 3) and r["mrr"] == pytest.approx((1 + 1 / 3) / 3)
+
+
+def test_jobs(spark, tmp_path):
+    f = jobs.Files(spark, f"file://{tmp_path}/jobs")
+    assert jobs.load(f, "j") == {}
+    jobs.save(f, "j", {"asr": {"state": "running", "last_t": 3.0}})
+    jobs.save(f, "j", {"asr": {"state": "done", "last_t": 9.0}})
+    assert jobs.load(f, "j")["asr"]["last_t"] == 9.0
+    assert not jobs.mark(f, "k", 5, 1, 0) and jobs.mark(f, "k", 6, 0, 0) and jobs.marked(f, ["k", "x"]) == {"k"}
+    done = {"asr": {"state": "done"}, "describe": {"state": "done"}}
+    assert jobs.index_state(done, ("describe",)) == "fine" and jobs.index_state(done, ("scenes",)) == "coarse"
+    assert jobs.index_state({"asr": {"state": "failed"}}, ()) == "failed"
