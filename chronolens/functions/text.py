@@ -12,10 +12,10 @@ _MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 TOKEN = r"[\p{L}\p{N}]+"
 
 STOPWORDS = frozenset(
-    """a about after all also am an and any are as at be been before being between both but by can could did do does doing during each few for from further had has
-    have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so
-    some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with
-    would you your""".split()
+    """a about all also an and any are as at be been being but by can could did do does done down each every for from had has have having he her here
+    him his how i if in into is it its just many may me might more most much must my no not of off on or other our out over own s same shall she
+    should so some such t than that the their them then there these they this those to too under up us versus very vs was we were what when where
+    which who whom whose why will with would you your""".split()
 )
 
 
