@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, released, written
 from .components import components
 
 #: a bucket of more fingerprints is cut again
@@ -201,9 +201,14 @@ def one_of_each(docs: DataFrame, limit: int = 3, words: int = 3) -> DataFrame:
     by_bits = near_groups(docs, limit, words).select("doc_id", F.col("component_id").alias("a"))
     both = written(by_bits.unionByName(shingle_groups(docs).select("doc_id", F.col("group").alias("a"))).where("doc_id is not null").distinct(), "groups")
     roots = components(both.select("a", F.col("doc_id").alias("b")), "joined")
-    gone = roots.where("node <> root").select(F.col("node").alias("doc_id"))
-    out = docs.join(gone, "doc_id", "left_anti")
+    gone = written(roots.where("node <> root").select(F.col("node").alias("doc_id")), "gone")
+    dropped(both)
+    released(docs.sparkSession)
+    # joined in the same way at every size: ids that go grow with the rows
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     # rows that repeat an id are the same document
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    single = out.join(again, "doc_id", "left_anti")
-    return single.unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    if not again.limit(1).count():
+        return out
+    single = out.join(again.hint("merge"), "doc_id", "left_anti")
+    return single.unionByName(out.join(again.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
