@@ -153,11 +153,11 @@ def t02(b):
     return vector_search.nearest(e.where("label = 2"), q, 25, "embedding", "vec_id").select("vec_id", r6("score", "score"))
 
 
-@query("R13_get_embeddings", "SELECT * FROM (VALUES (0, 'a', 7), (1, 'a', 999999999), (2, 'a', 3)) v(pos, k, t) LEFT JOIN (SELECT vec_id AS t, round(CAST(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS DOUBLE), 4) AS norm2, len(embedding) AS dim FROM embeddings) USING (t)", shared=False)
+@query("R13_get_embeddings", "SELECT pos, k, t, coalesce(norm2, -1) AS norm2, coalesce(dim, 0) AS dim FROM (VALUES (0, 'a', 7), (1, 'a', 999999999), (2, 'a', 3)) v(pos, k, t) LEFT JOIN (SELECT vec_id AS t, round(CAST(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS DOUBLE), 4) AS norm2, len(embedding) AS dim FROM embeddings) USING (t)", shared=False)
 def r13(b):
     e = b.table("embeddings").select(F.lit("a").alias("target_kind"), F.col("vec_id").cast("string").alias("target_id"), F.lit("m").alias("model"), F.col("embedding").alias("vector"))
     got = vector_search.fetched(e, [("a", "7"), ("a", "999999999"), ("a", "3")], "m")
-    return got.select(F.col("target_id").cast("int").alias("t"), "pos", F.col("target_kind").alias("k"), F.round(numbers.dot("vector", "vector"), 4).alias("norm2"), F.when(F.col("vector").isNotNull(), F.size("vector")).cast("long").alias("dim"))
+    return got.select(F.col("target_id").cast("int").alias("t"), "pos", F.col("target_kind").alias("k"), F.coalesce(F.round(numbers.dot("vector", "vector"), 4), F.lit(-1.0)).alias("norm2"), F.coalesce(F.when(F.col("vector").isNotNull(), F.size("vector")), F.lit(0)).cast("long").alias("dim"))
 
 
 # ---- mentions and library statistics
