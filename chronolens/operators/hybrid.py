@@ -27,6 +27,12 @@ def ranked(rows: DataFrame, name: str, depth: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id"))).withColumn("list", F.lit(name))
 
 
+def ranked_by_kind(rows: DataFrame, depth: int) -> DataFrame:
+    """A ranked list for each kind of ``rows``, from one scan; tasks keep only what can be in a list."""
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= depth).withColumn("list", F.concat(F.lit("bm25:"), "kind"))
+
+
 def fused(lists: list[DataFrame]) -> DataFrame:
     """One row per hit: ``score`` is the sum of 1/(60 + rank) over the lists that have it, ``sources`` names them."""
     keep = ["kind", "id", "video_id", "t0", "t1", "text"]
@@ -61,10 +67,11 @@ def temporal_units(segments: DataFrame, extents: DataFrame) -> DataFrame:
 def in_units(hits: DataFrame, units: DataFrame) -> DataFrame:
     """Hits with their unit: the first that holds their start, else the video's last."""
     u = units.select("video_id", "unit", F.col("t0").alias("u0"), F.col("t1").alias("u1"), "segment_id", "how")
-    found = points_in(hits, u, ["video_id"], "t0", "u0", "u1")
-    first = found.groupBy(*hits.columns).agg(F.min(F.struct("unit", "u0", "u1", "segment_id", "how")).alias("u"))
-    last = u.groupBy("video_id").agg(F.max(F.struct("unit", "u0", "u1", "segment_id", "how")).alias("l"))
-    whole = hits.join(first.select("kind", "id", "u"), ["kind", "id"], "left").join(last, "video_id", "left")
+    found = points_in(hits, u, ["video_id"], "t0", "u0", "u1", how="left")
+    unit = F.struct("unit", "u0", "u1", "segment_id", "how")
+    first = found.groupBy(*hits.columns).agg(F.min(F.when(F.col("unit").isNotNull(), unit)).alias("u"))
+    last = u.groupBy("video_id").agg(F.max(unit).alias("l"))
+    whole = first.join(last, "video_id", "left")
     return whole.withColumn("u", F.coalesce("u", "l")).where("u is not null").select(*hits.columns, "u.*")
 
 
@@ -84,7 +91,7 @@ def search(evidence: DataFrame, units: DataFrame, query: str, k: int = 8, videos
     wanted = kinds or ["transcript", "ocr", "description"]
     depth = list_depth(k)
     scored = lexical.bm25(evidence, query, videos, wanted, window)
-    lists = [ranked(scored.where(F.col("kind") == kind), f"bm25:{kind}", depth) for kind in wanted]
+    lists = [ranked_by_kind(scored, depth)]
     if vector is not None and embeddings is not None:
         near = vector_search.scored(embeddings.select(F.col("target_id").alias("id"), "vector"), vector).select("id", "score")
         lists.append(ranked(selected(evidence, videos, wanted, window).join(near, "id"), "text_vec", depth))
