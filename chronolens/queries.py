@@ -61,7 +61,7 @@ def query(name: str, sql: str | None = None, shared: bool = True):
     def add(run: Callable[[SimpleNamespace], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: run(base(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = f"WITH {BASE}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}" if shared else sql
+            ORACLE[name] = f"WITH RECURSIVE {BASE}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}" if shared else sql
         return run
 
     return add
@@ -633,7 +633,13 @@ def _by_video(b, schema: str, fold):
     return folds.folded(b.frames.select("video_id", "event_id", "t", "value", "phash"), ["video_id"], schema, lambda p: fold(p.sort_values(["t", "event_id"])))
 
 
-@query("O03_grouped_cues")
+_F = "+ f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS rn FROM frames)"
+
+
+@query("O03_grouped_cues", """+ f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t0, id) AS rn FROM transcript),
+    s AS (SELECT video_id, rn, t0 AS a, t1 AS z, t1, text FROM f WHERE rn = 1 UNION ALL
+        SELECT f.video_id, f.rn, CASE WHEN f.t1 - s.a <= 45 AND f.t0 - s.z <= 2 THEN s.a ELSE f.t0 END, f.t1, f.t1, f.text FROM s JOIN f ON f.video_id = s.video_id AND f.rn = s.rn + 1)
+    SELECT video_id, a AS t0, max(z) AS t1, string_agg(text, ' ' ORDER BY rn) AS text FROM s GROUP BY video_id, a""")
 def o03(b):
     return folds.folded(b.transcript.select("video_id", "t0", "t1", "text", "id"), ["video_id"], "video_id string, t0 double, t1 double, text string", lambda p: folds.group_cues(list(p.sort_values(["t0", "id"])[["t0", "t1", "text"]].itertuples(index=False, name=None)), 45.0))
 
@@ -643,12 +649,17 @@ def o05(b):
     return _by_video(b, "video_id string, t0 double, t1 double", lambda p: folds.shots(p.t.tolist(), [0.0, *(p.value.diff().abs().iloc[1:] / 500).tolist()], float(p.t.max()) + 1))
 
 
-@query("O09_kept_frames")
+@query("O09_kept_frames", _F + """, s AS (SELECT video_id, rn, event_id, phash AS kept, true AS keep FROM f WHERE rn = 1 UNION ALL
+        SELECT f.video_id, f.rn, f.event_id, CASE WHEN bit_count(xor(f.phash, s.kept)) > 6 THEN f.phash ELSE s.kept END, bit_count(xor(f.phash, s.kept)) > 6 FROM s JOIN f ON f.video_id = s.video_id AND f.rn = s.rn + 1)
+    SELECT video_id, event_id FROM s WHERE keep""")
 def o09(b):
     return _by_video(b, "video_id string, event_id long", lambda p: [(int(e),) for e, k in zip(p.event_id, folds.keep_distinct(p.phash.tolist())) if k])
 
 
-@query("O11_read_gate")
+@query("O11_read_gate", _F + """, s AS (SELECT video_id, rn, event_id, phash AS h, t AS seen, true AS keep FROM f WHERE rn = 1 UNION ALL
+        SELECT video_id, rn, event_id, CASE WHEN go THEN phash ELSE h END, CASE WHEN go THEN t ELSE seen END, go FROM (
+            SELECT f.*, s.h, s.seen, bit_count(xor(f.phash, s.h)) > 6 OR f.value / 50000 >= 0.02 OR f.t - s.seen >= 30 AS go FROM s JOIN f ON f.video_id = s.video_id AND f.rn = s.rn + 1))
+    SELECT video_id, event_id FROM s WHERE keep""")
 def o11(b):
     return _by_video(b, "video_id string, event_id long", lambda p: [(int(e),) for e, k in zip(p.event_id, folds.read_gate(p.t.tolist(), p.phash.tolist(), (p.value / 50000).tolist())) if k])
 
@@ -676,7 +687,9 @@ def o16(b):
     return _by_video(b, "video_id string, t0 double, t1 double", fold)
 
 
-@query("O13_utterances")
+@query("O13_utterances", _F + """, s AS (SELECT video_id, rn, t AS a, t FROM f WHERE rn = 1 UNION ALL
+        SELECT f.video_id, f.rn, CASE WHEN f.t - s.t > 7200 OR f.t - s.a > 86400 THEN f.t ELSE s.a END, f.t FROM s JOIN f ON f.video_id = s.video_id AND f.rn = s.rn + 1)
+    SELECT video_id, a AS t0, max(t) AS t1, count(*) AS n FROM s GROUP BY video_id, a""")
 def o13(b):
     return _by_video(b, "video_id string, t0 double, t1 double, n long", lambda p: live.utterances_of(p.t.tolist(), 86400.0, 7200.0))
 
