@@ -75,10 +75,8 @@ def runs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     if len(flat) < WINDOW or n.max() < WINDOW:
         return none, none, none, none.view(np.uint64)
     h = _rolling(flat, ANCHOR)
-    if len(h) >= 1 << 24:  # a long text of its own: places get more bits
-        place = np.uint64((1 << 34) - 1)
-    else:
-        place = np.uint64((1 << 24) - 1)
+    # 30 bits of hash over 34 of place, whatever the lengths: equal windows must have equal minimizers
+    place = np.uint64((1 << 34) - 1)
     low = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     span, width = 1, WINDOW - ANCHOR + 1
     while span * 2 <= width:
