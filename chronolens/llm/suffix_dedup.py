@@ -19,7 +19,8 @@ minimizer form one run of text; a run is known by a hash, counted, and
 A bucket of more than ``HOT`` kinds of runs is not put into one task: its
 windows are counted by a 128-bit hash each, which is as exact and spreads evenly.
 
-Hashes that name runs and texts have 128 and 96 bits with the fields beside them.
+A run is named by two 64-bit hashes, a text by one and its length: two different
+texts of equal length are taken for one with probability 2^-64.
 
 Null texts are empty. Texts under 200 bytes lose nothing. Repeated rows repeat
 the text: each byte of a text of 200 bytes or more that occurs in two rows goes;
