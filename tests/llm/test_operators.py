@@ -375,3 +375,20 @@ def test_registered(spark):
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
+
+
+def test_packing_graph_over_all(spark, monkeypatch):
+    """A neighbour is found wherever the order by least words puts it, and shares a block."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = []
+    for i in range(150):
+        own = [word() for _ in range(60)]
+        rows += [(2 * i, " ".join(own + [word() for _ in range(20)])), (2 * i + 1, " ".join([word() for _ in range(20)] + own))]
+    monkeypatch.setattr(packing, "BLOCK_DOCS", 4)
+    df = spark.createDataFrame(rows, DOCS)
+    got = packing.packed_pieces(df, tokenizer_path()).toPandas().sort_values(["sequence_id", "offset"])["doc_id"].tolist()
+    got = list(dict.fromkeys(got))
+    assert sorted(got) == list(range(300))
+    place = {d: k for k, d in enumerate(got)}
+    assert sum(abs(place[2 * i] - place[2 * i + 1]) == 1 for i in range(150)) >= 145
