@@ -392,3 +392,19 @@ def test_packing_graph_over_all(spark, monkeypatch):
     assert sorted(got) == list(range(300))
     place = {d: k for k, d in enumerate(got)}
     assert sum(abs(place[2 * i] - place[2 * i + 1]) == 1 for i in range(150)) >= 145
+
+
+def test_packing_long_texts(spark, monkeypatch):
+    """Texts of several windows stand beside their near copies, and texts that share words near each other."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = []
+    for i in range(30):
+        own = [word() for _ in range(3000)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:2800] + [word() for _ in range(200)]))]
+    monkeypatch.setattr(packing, "BLOCK_DOCS", 4)
+    got = packing.packed_pieces(spark.createDataFrame(rows, DOCS), tokenizer_path()).toPandas().sort_values(["sequence_id", "offset"])["doc_id"].tolist()
+    place = {d: k for k, d in enumerate(dict.fromkeys(got))}
+    assert len(place) == 60 and sum(abs(place[2 * i] - place[2 * i + 1]) == 1 for i in range(30)) >= 28
+    keys = packing._keyed(spark.createDataFrame([(1, "same " * 4000), (2, "same " * 4000)], DOCS)).collect()
+    assert keys[0]["k1"] == keys[1]["k1"]
