@@ -11,6 +11,9 @@ of its words, so it holds one of any set of words that makes up more than the
 rest. The longest words serve as that set. A stretch reaches a template's length
 and a quarter before and after such a word; what it aligns is not looked at again.
 
+Marks, words and version numbers that tell licences apart, must all align, and no
+other mark may stand among the aligned words. A notice inside a longer one is part of it.
+
 Every document gives one row. Null and empty texts, and texts without a licence,
 have null license and coverage 0. Of several licences the one of highest
 coverage counts, then the one with more words, then the first by name;
@@ -29,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import HEADERS, TEXTS
+
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -36,8 +41,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    # alone it doesn't tell which BSD licence; a hit inside that of a longer template isn't counted
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    **HEADERS,
+    **TEXTS,
 }
+#: words that tell one licence from another, as numbers of versions do: those of the template must align, and none else may stand among what aligns
+MARKS = {"nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs", "lesser", "library", "affero", "neither", "endorse"}
+_BEFORE = {"version", "v", "cc", "by", "nc", "sa", "nd", "license", "attribution", "noncommercial", "sharealike", "noderivatives"}
 LEAST = 0.8
 SCHEMA = "doc_id long, license string, coverage double, n_matched long, n_licenses long"
 _WORD = re.compile(r"[^\W_]+")
@@ -102,6 +113,15 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def marks(found: list[str]) -> list[bool]:
+    """Which words are marks: ``MARKS``, and numbers of versions, but for zeros and years."""
+    out, number = [], False
+    for i, w in enumerate(found):
+        number = w.isdigit() and len(w) < 3 and i > 0 and (found[i - 1] in _BEFORE or number)
+        out.append(w in MARKS or number and w != "0")
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = LEAST):
         self.least, self.templates = least, []
@@ -112,34 +132,69 @@ class Scanner:
                 keys.add(w)
                 if sum(x in keys for x in t) > need:
                     break
-            self.templates.append((name, t, keys))
-        self.keys = set().union(*[k for _, _, k in self.templates]) if self.templates else set()
+            self.templates.append((name, t, keys, Counter(t), {j for j, m in enumerate(marks(t)) if m}))
+        self.by_key: dict[str, list[int]] = {}
+        for n, (_, _, keys, _, _) in enumerate(self.templates):
+            for k in keys:
+                self.by_key.setdefault(k, []).append(n)
+        # numbers and words of a letter occur everywhere in a text; words are looked up whole
+        self.keys = set(self.by_key)
+
+    def _fits(self, found: list[str], lo: int, hi: int, t: list[str], own: set[int], marked: list[bool]) -> list[tuple[int, int]]:
+        """The aligned words of ``found[lo:hi]``, if enough of them do and the marks agree."""
+        pairs = align(found[lo:hi], t)
+        if not pairs or len(pairs) / len(t) < self.least or not own <= {j for _, j in pairs}:
+            return []
+        used, first, last = {i + lo for i, _ in pairs}, lo + pairs[0][0], lo + pairs[-1][0]
+        # a number or mark right after what aligns goes on with it: version 2.1, by 4 0 is over
+        end = last + 1 if last + 1 < len(found) and pairs[-1][1] == len(t) - 1 and pairs[-1][1] in own and found[last + 1].isdigit() else last
+        return [] if any(marked[i] and i not in used for i in range(first, end + 1)) else pairs
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(name, coverage, words aligned, first word, last word) of each licence, best first."""
-        low = text.lower() if text else ""
-        if not any(k in low for k in self.keys):
-            return []
-        found, out = _WORD.findall(low), []
+        found = words(text) if text else []
         held: dict[str, list[int]] = {}
         for i, w in enumerate(found):
             if w in self.keys:
                 held.setdefault(w, []).append(i)
-        for name, t, keys in self.templates:
-            reach = len(t) + len(t) // 4 + 1
-            best, after = None, -1
+        if not held:
+            return []
+        marked, hits = marks(found), []
+        for n in sorted({n for k in held for n in self.by_key[k]}):
+            name, t, keys, count, own = self.templates[n]
+            need, reach = self.least * len(t), len(t) + len(t) // 4 + 1
+            if len(found) < need:
+                continue
+            after = skip = -1
             for p in sorted(i for k in keys for i in held.get(k, ())):
-                if p <= after:
+                if p <= after or p < skip:
                     continue
                 lo, hi = max(0, p - reach, after + 1), min(len(found), p + reach + 1)
-                pairs = align(found[lo:hi], t)
-                if len(pairs) / len(t) >= self.least:
+                lack = need - sum((Counter(found[lo:hi]) & count).values())
+                if lack > 0:
+                    # a window further on by a word has one word more at most
+                    skip = p + lack
+                    continue
+                pairs = self._fits(found, lo, hi, t, own, marked)
+                if not pairs and len(t) <= 60:
+                    # other notices in the window can hide this one: closer ones, by the word's places
+                    for j in [j for j, w in enumerate(t) if w == found[p]]:
+                        x, y = max(lo, p - j), min(hi, p - j + len(t))
+                        for wide in (0, 2, len(t) // 4):
+                            pairs = pairs or self._fits(found, max(lo, x - wide), min(hi, y + wide), t, own, marked)
+                        if pairs:
+                            lo = max(lo, x - next(w for w in (0, 2, len(t) // 4) if self._fits(found, max(lo, x - w), min(hi, y + w), t, own, marked)))
+                            break
+                if pairs:
                     after = lo + pairs[-1][0]
-                    hit = (len(pairs) / len(t), len(pairs), lo + pairs[0][0], after)
-                    best = max(best, hit, key=lambda x: (x[0], -x[2])) if best else hit
-            if best:
-                out.append((name, *best))
-        return sorted(out, key=lambda x: (-x[1], -x[2], x[0]))
+                    hits.append((name.partition("#")[0], len(pairs) / len(t), len(pairs), lo + pairs[0][0], after))
+        best: dict[str, tuple] = {}
+        for h in hits:
+            if any(o[3] <= h[3] and h[4] <= o[4] and o[2] > h[2] for o in hits):
+                continue  # part of a longer notice
+            if h[0] not in best or (h[1], h[2], -h[3]) > (best[h[0]][1], best[h[0]][2], -best[h[0]][3]):
+                best[h[0]] = h
+        return sorted(best.values(), key=lambda x: (-x[1], -x[2], x[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:

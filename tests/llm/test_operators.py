@@ -408,3 +408,16 @@ def test_packing_long_texts(spark, monkeypatch):
     assert len(place) == 60 and sum(abs(place[2 * i] - place[2 * i + 1]) == 1 for i in range(30)) >= 28
     keys = packing._keyed(spark.createDataFrame([(1, "same " * 4000), (2, "same " * 4000)], DOCS)).collect()
     assert keys[0]["k1"] == keys[1]["k1"]
+
+
+def test_license_texts_and_marks():
+    s = license_scan.Scanner()
+    name = lambda t: [h[0] for h in s.scan(t)]
+    for n, t in license_scan.TEMPLATES.items():
+        assert name(t)[0] == n.partition("#")[0], n
+        assert name("Some words before it. " + t + " And some words after it.") == [n.partition("#")[0]], n
+    assert name("Licensed under CC BY 4.0.") == ["CC-BY-4.0"] and name("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0"]
+    assert name("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    assert name("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert name("Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.") == ["CC-BY-NC-4.0", "CC-BY-SA-4.0"]
+    assert name(license_scan.TEMPLATES["BSD"]) == ["BSD"]
