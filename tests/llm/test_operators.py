@@ -421,3 +421,12 @@ def test_license_texts_and_marks():
     assert name("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
     assert name("Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.") == ["CC-BY-NC-4.0", "CC-BY-SA-4.0"]
     assert name(license_scan.TEMPLATES["BSD"]) == ["BSD"]
+
+
+def test_near_copies_hot_bucket(spark):
+    """Two items that share one band alone meet in it, however hot it is."""
+    rows = [(i, bytes([i % 250] * 64), [7, *range(1000 + 20 * i, 1015 + 20 * i)]) for i in range(40)]
+    rows[31] = (31, rows[5][1], rows[31][2])
+    df = spark.createDataFrame(rows, "item long, sig binary, bands array<long>")
+    got = {tuple(sorted(r)) for r in near_copies._candidates(df, 0.6, 4).collect()}
+    assert got == {(5, 31)}
