@@ -41,7 +41,8 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepte
 @dataclass(frozen=True)
 class Settings:
     """``shards`` dictionaries of ``dictionary_bytes`` a language and one of ``common_bytes`` with
-    its commonest words, from at most about ``sample_docs`` labelled documents of it. ``level`` encodes every text; where the
+    its commonest words, from at most about ``sample_docs`` labelled documents of it, of each its first
+    ``dictionary_bytes // 4`` characters. ``level`` encodes every text; where the
     margin is under ``close_bytes`` a dictionary, ``close_level`` decides. An answer is
     rejected if its margin is under ``min_margin`` bytes a dictionary, and the text has
     ``short_bytes`` of letters or more: shorter ones can't show a margin."""
@@ -80,8 +81,9 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> dict[str, list[by
         return {}
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, settings.sample_docs / n)))])
     at = F.xxhash64(F.col("doc_id"), F.lit("language")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    # texts beyond a dictionary's size could fill it alone
-    sample = rows.where(at < share[F.col("lang")]).where(F.length("text") <= settings.dictionary_bytes // 4).select("lang", "text", at.alias("at")).toPandas()
+    # a text beyond a dictionary's size could fill it alone: its first part serves
+    part = F.substring("text", 1, settings.dictionary_bytes // 4).alias("text")
+    sample = rows.where(at < share[F.col("lang")]).select("lang", part, at.alias("at")).toPandas()
     spoken: dict[str, set[str]] = {}
     for lang, text in zip(sample["lang"], sample["text"]):
         for line in text.split("\n"):

@@ -430,3 +430,10 @@ def test_near_copies_hot_bucket(spark):
     df = spark.createDataFrame(rows, "item long, sig binary, bands array<long>")
     got = {tuple(sorted(r)) for r in near_copies._candidates(df, 0.6, 4).collect()}
     assert got == {(5, 31)}
+
+
+def test_language_of_long_texts_only(spark):
+    rows = [(i, "alpha beta gamma delta epsilon " * 2000, "aa") for i in range(4)] + [(10 + i, "uno dos tres cuatro cinco ", "bb") for i in range(4)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model) == ["aa", "bb"]
+    assert language_id.Classifier(model, language_id.Settings()).predict("gamma delta epsilon alpha")[0] == "aa"
