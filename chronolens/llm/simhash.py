@@ -193,22 +193,30 @@ def one_of_each(docs: DataFrame, limit: int = 3, words: int = 3) -> DataFrame:
     or if 0.8 or more of their five-word shingles are the same: at that share
     fingerprints differ in more bits than an index of parts can find.
 
-    Only ids and fingerprints are shuffled to join the groups; the texts move
-    once, to meet the ids that go. Rows without an id are kept.
+    Rows are known by a 64-bit hash of id and text: those that repeat both are one,
+    those that repeat an id with another text are not. Only ids, hashes and
+    fingerprints are shuffled to join the groups; the texts move once, to meet the
+    rows that go. Rows without an id are kept.
     """
     from .near_copies import groups as shingle_groups
 
-    by_bits = near_groups(docs, limit, words).select("doc_id", F.col("component_id").alias("a"))
-    both = written(by_bits.unionByName(shingle_groups(docs).select("doc_id", F.col("group").alias("a"))).where("doc_id is not null").distinct(), "groups")
-    roots = components(both.select("a", F.col("doc_id").alias("b")), "joined")
-    gone = written(roots.where("node <> root").select(F.col("node").alias("doc_id")), "gone")
-    dropped(both)
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    known = docs.where("doc_id is not null")
+    keyed = known.select(row.alias("doc_id"), "text")
+    by_bits = near_groups(keyed, limit, words).select("doc_id", F.col("component_id").alias("a"))
+    both = written(by_bits.unionByName(shingle_groups(keyed).select("doc_id", F.col("group").alias("a"))).distinct(), "groups")
+    roots = written(components(both.select("a", F.col("doc_id").alias("b")), "joined"), "roots")
+    ids = known.select(row.alias("node"), F.col("doc_id").cast("long").alias("id")).distinct()
+    named = written(roots.join(ids, "node"), "named")
+    first = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
+    gone = written(named.join(first, "root").where("node <> first.node").select(F.col("node").alias("_row")), "gone")
+    for x in (both, roots, named):
+        dropped(x)
     released(docs.sparkSession)
-    # joined in the same way at every size: ids that go grow with the rows
-    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat an id are the same document
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    # joined in the same way at every size: rows that go grow with the rows
+    out = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), row)).join(gone.hint("merge"), "_row", "left_anti")
+    again = known.groupBy(row.alias("_row")).agg(F.count("*").alias("k")).where("k > 1").select("_row")
     if not again.limit(1).count():
-        return out
-    single = out.join(again.hint("merge"), "doc_id", "left_anti")
-    return single.unionByName(out.join(again.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+        return out.select(*docs.columns)
+    single = out.join(again.hint("merge"), "_row", "left_anti")
+    return single.unionByName(out.join(again.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)

@@ -437,3 +437,14 @@ def test_language_of_long_texts_only(spark):
     model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(model) == ["aa", "bb"]
     assert language_id.Classifier(model, language_id.Settings()).predict("gamma delta epsilon alpha")[0] == "aa"
+
+
+def test_one_of_each_repeated_id(spark):
+    """A repeated id with another text is another document; near copies of either don't merge through it."""
+    rng = random.Random(5)
+    a, b = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, b), (3, a)], DOCS)
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect())
+    assert got == sorted([(1, a), (1, b)])
+    df = spark.createDataFrame([(5, a), (5, b), (4, b)], DOCS)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()) == sorted([(4, b), (5, a)])
