@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -57,23 +59,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: tables of this process that are still there, with what deletes each
+_LEFT: dict[str, tuple] = {}
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts lineage and survives lost executors."""
+    """``df`` as a table in the shared folder, read again: cuts lineage and survives lost executors.
+
+    It is deleted by ``dropped``, or else when the driver's process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _LEFT[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chronolens_path = path
     return out
 
 
+def named(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, known to ``dropped`` by the table ``source`` that it reads."""
+    df._chronolens_path = getattr(source, "_chronolens_path", None)
+    return df
+
+
+def _deleted(path: str) -> None:
+    jvm, conf = _LEFT.pop(path)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_chronolens_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _LEFT:
+        _deleted(path)
+
+
+@atexit.register
+def _swept() -> None:
+    for path in list(_LEFT):
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            _deleted(path)
 
 
 def released(spark: SparkSession) -> None:

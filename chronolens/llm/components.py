@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, named, written
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
             break
         state = new
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return named(out, now)
 
 
 def _state(edges: DataFrame) -> tuple[int, int | None]:

@@ -35,27 +35,45 @@ from .components import components
 #: a bucket of more fingerprints is cut again
 HOT_BUCKET = 20_000
 FAN = 8
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+STRETCH = 1 << 20
+#: A-Z in lower case, every blank as a space
+_LOWER = bytes(range(9)) + b" " * 5 + bytes(range(14, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def _word_lists(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, about ``STRETCH`` bytes of it at a time."""
+    at = 0
+    while len(raw) - at > STRETCH:
+        cut = raw.rfind(b" ", at, at + STRETCH)
+        if cut <= at:
+            cut = raw.find(b" ", at + STRETCH)
+            cut = len(raw) if cut < 0 else cut
+        yield raw[at:cut].split()
+        at = cut
+    yield raw[at:].split() if at else raw.split()
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint of one text."""
     import xxhash
 
-    found = text.encode().translate(_LOWER).split() if text else []
-    if not found:
-        return 0
-    n = [len(w) + 1 for w in found]
-    joined, ends = b" ".join(found), np.cumsum(n)
-    if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
-    starts, stops = (ends - n)[: len(n) - words + 1].tolist(), (ends - 1)[words - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, stops)]), np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(raw), 65536):
-        ones += np.unpackbits(raw[k : k + 65536], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big")
+    ones, total, held = np.zeros(64, np.int64), 0, []
+    for more in _word_lists(text.encode().translate(_LOWER)) if text else ():
+        found = held + more
+        if len(found) >= words:
+            n = [len(w) + 1 for w in found]
+            joined, ends = b" ".join(found), np.cumsum(n)
+            starts, stops = (ends - n)[: len(n) - words + 1].tolist(), (ends - 1)[words - 1 :].tolist()
+            raw = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, stops)]), np.uint8).reshape(-1, 8)
+            for k in range(0, len(raw), 65536):
+                ones += np.unpackbits(raw[k : k + 65536], axis=1).sum(0, dtype=np.int64)
+            total += len(raw)
+            found = found[len(found) - words + 1 :]
+        held = found
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(held), seed) if held else 0
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -186,36 +204,39 @@ def near_groups(docs: DataFrame, limit: int = 3, words: int = 3, hot: int = HOT_
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, limit: int = 3, words: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, limit: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns: of each group of near copies the row of least doc_id, one row if several have that id.
 
     Texts are in one group if their fingerprints differ in at most ``limit`` bits,
     or if 0.8 or more of their five-word shingles are the same: at that share
     fingerprints differ in more bits than an index of parts can find.
 
-    Rows are known by a 64-bit hash of id and text: those that repeat both are one,
+    Texts are read once for both. Texts of equal shingles are one node; edges between
+    nodes come from near fingerprints and from alike shingles, and components are made of all
+    of them together. Rows are known by a 64-bit hash of id and text: those that repeat both are one,
     those that repeat an id with another text are not. Only ids, hashes and
     fingerprints are shuffled to join the groups; the texts move once, to meet the
     rows that go. Rows without an id are kept.
     """
-    from .near_copies import groups as shingle_groups
+    from . import near_copies
 
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = docs.where("doc_id is not null")
-    keyed = known.select(row.alias("doc_id"), "text")
-    by_bits = near_groups(keyed, limit, words).select("doc_id", F.col("component_id").alias("a"))
-    both = written(by_bits.unionByName(shingle_groups(keyed).select("doc_id", F.col("group").alias("a"))).distinct(), "groups")
-    roots = written(components(both.select("a", F.col("doc_id").alias("b")), "joined"), "roots")
-    ids = known.select(row.alias("node"), F.col("doc_id").cast("long").alias("id")).distinct()
-    named = written(roots.join(ids, "node"), "named")
-    first = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
-    gone = written(named.join(first, "root").where("node <> first.node").select(F.col("node").alias("_row")), "gone")
-    for x in (both, roots, named):
+    keyed = docs.where("doc_id is not null").select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    found = written(near_copies.features(keyed, ["row", "id"], fingerprints=True), "near-features")
+    of_fp = written(found.groupBy("fp").agg(F.min("item").alias("rep")), "fingerprints")
+    same = found.select("fp", "item").distinct().join(of_fp, "fp").where("item <> rep").select(F.col("item").alias("a"), F.col("rep").alias("b"))
+    near = near_edges(of_fp.select("fp"), limit).join(of_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    alike = near_copies.links(found)
+    roots = components(same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).unionByName(alike), "joined")
+    named = written(found.select("row", "id", "item").distinct().join(roots, F.col("item") == F.col("node"), "left").select("row", "id", F.coalesce("root", "item").alias("root")), "named")
+    first = named.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"))
+    gone = written(named.join(first, "root").where("row <> first.row").select(F.col("row").alias("_row")), "gone")
+    again = written(found.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("k")).where("k > 1").select("_row"), "again")
+    for x in (found, of_fp, alike, roots, named):
         dropped(x)
     released(docs.sparkSession)
     # joined in the same way at every size: rows that go grow with the rows
     out = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), row)).join(gone.hint("merge"), "_row", "left_anti")
-    again = known.groupBy(row.alias("_row")).agg(F.count("*").alias("k")).where("k > 1").select("_row")
     if not again.limit(1).count():
         return out.select(*docs.columns)
     single = out.join(again.hint("merge"), "_row", "left_anti")
