@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolens.llm import ann, bpe_automaton, chat, language_id, license_scan, near_copies, packing, quality, simhash, suffix_dedup, topk
+from chronolens.llm import ann, bpe_automaton, chat, language_id, license_scan, near_copies, packing, quality, shingling, simhash, suffix_dedup, topk
 from chronolens.llm.common import small_batches, tokenizer_path
 
 DOCS = "doc_id long, text string"
@@ -191,8 +191,8 @@ def test_gray_index():
     assert simhash.gray_rank(g).tolist() == list(range(64))
 
 
-@pytest.mark.parametrize("hot", [near_copies.HOT, 1])
-def test_near_copies(spark, texts, none, hot):
+@pytest.mark.parametrize("hot,block", [(near_copies.HOT, near_copies.BLOCK), (1, 2)])
+def test_near_copies(spark, texts, none, hot, block):
     rng = random.Random(1)
     some = [x for x in texts if x[0] not in (None, 9009) and len(x[1]) < 8000]
     for n, (_, t) in enumerate(some[:60]):
@@ -202,14 +202,16 @@ def test_near_copies(spark, texts, none, hot):
         some.append((20_000 + n, " ".join(w)))
     sh = []
     for _, t in some:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        w = re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", low).split(" ")
+        w = [x for x in w if x] or re.findall(r"[^\x20\x09-\x0D]+", low)
         sh.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()})
     pairs = [(a, b) for b in range(len(sh)) for a in range(b) if len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]) - 1e-9]
     root = _components(len(sh), pairs)
     least = {}
     for (i, _), r in zip(some, root):
         least[r] = min(least.get(r, i), i)
-    got = {r["doc_id"]: r["group"] for r in near_copies.groups(spark.createDataFrame(some, DOCS), hot=hot).collect()}
+    got = {r["doc_id"]: r["group"] for r in near_copies.groups(spark.createDataFrame(some, DOCS), hot=hot, block=block).collect()}
     assert got == {i: least[r] for (i, _), r in zip(some, root)}
     assert near_copies.groups(none).count() == 0
 
@@ -406,8 +408,8 @@ def test_packing_long_texts(spark, monkeypatch):
     got = packing.packed_pieces(spark.createDataFrame(rows, DOCS), tokenizer_path()).toPandas().sort_values(["sequence_id", "offset"])["doc_id"].tolist()
     place = {d: k for k, d in enumerate(dict.fromkeys(got))}
     assert len(place) == 60 and sum(abs(place[2 * i] - place[2 * i + 1]) == 1 for i in range(30)) >= 28
-    keys = packing._keyed(spark.createDataFrame([(1, "same " * 4000), (2, "same " * 4000)], DOCS)).collect()
-    assert keys[0]["k1"] == keys[1]["k1"]
+    rows = packing._features(packing._keyed(spark.createDataFrame([(1, "same " * 4000), (2, "same " * 4000)], DOCS))).collect()
+    assert rows[0]["k1"] == rows[1]["k1"] and rows[0]["item"] == rows[1]["item"]
 
 
 def test_license_texts_and_marks():
@@ -432,6 +434,44 @@ def test_near_copies_hot_bucket(spark):
     assert got == {(5, 31)}
 
 
+def test_near_copies_large_groups(spark):
+    """A group of many blocks is linked as one; two groups that one text joins loosely stay apart, whatever the blocks."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    a, b = [word() for _ in range(150)], [word() for _ in range(150)]
+    rows = []
+    for i in range(600):
+        own = list(a if i % 2 else b)
+        own[rng.randrange(150)] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(1000, " ".join(a[:75] + b[75:])), (1001, " ".join(a[:135] + b[135:]))]
+    got = {r["doc_id"]: r["group"] for r in near_copies.groups(spark.createDataFrame(rows, DOCS), block=40).collect()}
+    assert all(got[i] == i % 2 for i in range(600)) and got[1000] == 1000 and got[1001] == 1
+
+
+def test_shingling_of_long_texts(monkeypatch):
+    """Stretches change nothing, but for runs longer than one without a blank."""
+    text = " ".join(random.Random(2).choice(["ab", "c", "defg", "h.i", "É"]) for _ in range(3000))
+    whole = [x.tolist() for x in shingling.shingle_sets([text, None, "a b", text])]
+    want = simhash.fingerprint(text)
+    monkeypatch.setattr(shingling, "STRETCH", 128)
+    monkeypatch.setattr(simhash, "STRETCH", 128)
+    assert [x.tolist() for x in shingling.shingle_sets([text, None, "a b", text])] == whole
+    assert simhash.fingerprint(text) == want == _fingerprint(text)
+
+
+def test_packing_padding(spark, docs):
+    """Padding doesn't depend on the session's number of partitions."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        r = packing.packed_pieces(docs, tokenizer_path()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    full = r.groupby("sequence_id")["length"].sum()
+    assert (full < 2048).sum() <= 1 and full.sum() >= 0.99 * 2048 * len(full)
+
+
 def test_language_of_long_texts_only(spark):
     rows = [(i, "alpha beta gamma delta epsilon " * 2000, "aa") for i in range(4)] + [(10 + i, "uno dos tres cuatro cinco ", "bb") for i in range(4)]
     model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
