@@ -11,9 +11,15 @@ Its full table would have billions of cells; the gadgets are kept instead
 (``left``, ``right``, ``rank``, ``removed``), and a cell is worked out from them
 when first asked for and then stays in the transition table.
 
+``compiled`` makes the table in full for the first so many merges; the tests hold cells against it.
+
 A sequence of tokens is what BPE makes of its bytes exactly if the automaton
-accepts it, and each byte string has one such sequence, so encoding a pre-split
-word is a walk along the arcs that spell it. Decoding emits the arcs' labels.
+accepts it, and each byte string has one such sequence. So each prefix of a
+pre-split word leads to one state, and encoding is one pass over the bytes
+that finds the state of each prefix from those before it: of the tokens that end
+there, which a second table (Aho and Corasick's) gives from the longest on, it is the
+one that has an arc from the state before it. Nothing is taken back. Decoding
+emits the arcs' labels.
 
 Texts: null counts as empty. Empty texts have no ids. Texts of any length are
 encoded whole; strings of added tokens inside a text become those tokens, as in
@@ -39,6 +45,8 @@ PRESPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: A blank between two visible characters always starts a pre-split word.
 _SURE_BREAK = re.compile(r"(?<=\S) (?=\S)")
 _LATE = 1 << 60
+#: the transition table remembers at most 2^CELLS cells, at nine bytes
+CELLS = 21
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -71,13 +79,7 @@ class BpeAutomaton:
         for at, pair in enumerate(model["merges"], 1):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(at, model["vocab"][u], model["vocab"][v], model["vocab"][u + v])
-        self.longest = max(map(len, self.token))
-        #: the longest shorter token that a token starts with, -1 if none
-        self.shorter = [-1] * size
-        for b, i in self.token.items():
-            self.shorter[i] = next((self.token[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.token), -1)
         self._table: dict[int, bool] = {}
-        self._first: dict[bytes, int] = {}
         self._split = regex.compile(PRESPLIT).findall
         self.arrays = self._tables()
 
@@ -112,50 +114,31 @@ class BpeAutomaton:
             found = self._table[key] = self._arc(state, label)
         return found
 
-    def _longest_from(self, piece: bytes) -> int:
-        found = self._first.get(piece)
-        if found is None:
-            token = self.token
-            found = next(token[piece[:k]] for k in range(len(piece), 0, -1) if piece[:k] in token)
-            if len(self._first) > 300_000:
-                self._first.clear()
-            self._first[piece] = found
-        return found
-
     def word(self, b: bytes) -> list[int]:
-        """The ids of one pre-split word.
-
-        A position is left for good once nothing leads on from it: the tokens
-        up to a position are the same on every way that reaches it.
-        """
+        """The ids of one pre-split word."""
         whole = self.token.get(b)
         if whole is not None:
             return [whole]
-        n, far, label, shorter, table = len(b), self.longest, self.label, self.shorter, self._table
-        path: list[int] = []
-        dead: set[int] = set()
-        at, t = 0, self._longest_from(b[:far])
-        while True:
-            while t >= 0:
-                end = at + len(label[t])
-                if end not in dead:
-                    if not path:
-                        break
-                    ok = table.get(path[-1] << 20 | t)
-                    if ok or ok is None and self.arc(path[-1], t):
-                        break
-                t = shorter[t]
-            if t >= 0:
-                path.append(t)
-                at = end
-                if at == n:
-                    return path
-                t = self._longest_from(b[at : at + far])
-            else:
-                dead.add(at)
-                t = path.pop()
-                at -= len(label[t])
-                t = shorter[t]
+        x, table = self.arrays, self._table
+        move, ends, shorter, length = x.move, x.ends, x.shorter, x.length
+        state, node = [-1], 0
+        for at, c in enumerate(b, 1):
+            node = int(move[node, c])
+            t = int(ends[node])
+            while True:
+                before = at - int(length[t])
+                if not before:
+                    break
+                ok = table.get(state[before] << 20 | t)
+                if ok or ok is None and self.arc(state[before], t):
+                    break
+                t = int(shorter[t])
+            state.append(t)
+        path, at = [], len(b)
+        while at:
+            path.append(state[at])
+            at -= int(length[state[at]])
+        return path[::-1]
 
     def split(self, text: str) -> list[str]:
         """The pre-split words of a text without added tokens."""
@@ -164,31 +147,68 @@ class BpeAutomaton:
         return self._split(text)
 
     def _tables(self) -> SimpleNamespace:
-        """The automaton as arrays, for many words at a time; ``step[node, byte]`` spells tokens."""
-        step, ends, size = [[0] * 256], [-1], len(self.left)
+        """The automaton as arrays, for many words at a time.
+
+        ``move[node, byte]`` goes on to the longest end of what was read that begins a token, ``ends[node]`` is the
+        longest token that ends there, ``shorter[token]`` the next shorter token that ends it.
+        """
+        size, most = len(self.left), 1 + sum(map(len, self.token))
+        step, ends, n = np.zeros((most, 256), np.int32), np.full(most, -1, np.int32), 1
+        levels: list[list[tuple[int, int, int]]] = []
+        own = np.zeros(size, np.int64)
         for b, i in self.token.items():
             node = 0
-            for c in b:
-                if not step[node][c]:
-                    step[node][c] = len(ends)
-                    step.append([0] * 256)
-                    ends.append(-1)
-                node = step[node][c]
-            ends[node] = i
+            for depth, c in enumerate(b):
+                then = int(step[node, c])
+                if not then:
+                    then, n = n, n + 1
+                    step[node, c] = then
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append((node, c, then))
+                node = then
+            ends[node], own[i] = i, node
+        move, ends, fail = step[:n].copy(), ends[:n], np.zeros(n, np.int64)
+        del step
+        for depth, found in enumerate(levels):
+            up, c, node = np.array(found).T
+            if depth:
+                fail[node] = move[fail[up], c]
+            for lo in range(0, len(node), 4096):
+                part = node[lo : lo + 4096]
+                rows = move[part]
+                move[part] = np.where(rows, rows, move[fail[part]])
+            ends[node] = np.where(ends[node] >= 0, ends[node], ends[fail[node]])
+        shorter = np.full(size, -1, np.int64)
+        tokens = np.array(list(self.token.values()))
+        shorter[tokens] = ends[fail[own[tokens]]]
         length = np.zeros(size, np.int64)
         length[list(self.label)] = [len(b) for b in self.label.values()]
         keys = np.fromiter(self.removed, np.int64, len(self.removed))
         order = np.argsort(keys)
         at = np.fromiter(self.removed.values(), np.int64, len(self.removed))[order]
         return SimpleNamespace(
-            step=np.array(step, np.int32), ends=np.array(ends, np.int32), length=length, keys=keys[order], at=at,
-            left=np.array(self.left, np.int64), right=np.array(self.right, np.int64), rank=np.array(self.rank, np.int64), shorter=np.array(self.shorter, np.int64),
+            move=move, ends=ends, length=length, keys=keys[order], at=at, shorter=shorter,
+            left=np.array(self.left, np.int64), right=np.array(self.right, np.int64), rank=np.array(self.rank, np.int64),
+            # cells of the transition table that were asked for, by hash of (state, label); a later one takes the place of an earlier
+            known=np.full(1 << CELLS, -1, np.int64), arc=np.zeros(1 << CELLS, bool),
         )
 
-    def _arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """``_arc`` for many pairs."""
+    def _cells(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The transition table at many pairs."""
+        x, key = self.arrays, state << 20 | label
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int64)
+        out = x.arc[slot]
+        new = np.flatnonzero(x.known[slot] != key)
+        if len(new):
+            out[new] = self._arcs(state[new], label[new])
+            x.known[slot[new]], x.arc[slot[new]] = key[new], out[new]
+        return out
+
+    def _arcs(self, state: np.ndarray, label: np.ndarray, before: int = _LATE) -> np.ndarray:
+        """``_arc`` for many pairs, in the automaton of the merges whose rank is under ``before``."""
         x = self.arrays
-        out, open_, before = np.ones(len(state), bool), np.arange(len(state)), np.full(len(state), _LATE)
+        out, open_, before = np.ones(len(state), bool), np.arange(len(state)), np.full(len(state), before)
         while len(open_):
             key = state << 20 | label
             at = np.minimum(np.searchsorted(x.keys, key), len(x.keys) - 1)
@@ -201,59 +221,73 @@ class BpeAutomaton:
             state, label = np.where(a >= b, x.right[state], state), np.where(b >= a, x.left[label], label)
         return out
 
-    def _longest_at(self, flat: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        x = self.arrays
-        best, node, open_ = np.full(len(at), -1), np.zeros(len(at), np.int64), np.arange(len(at))
-        while len(open_):
-            node = x.step[node, flat[at]]
-            go = node > 0
-            open_, node, at = open_[go], node[go], at[go] + 1
-            end = x.ends[node]
-            best[open_[end >= 0]] = end[end >= 0]
-            go = at < stop[open_]
-            open_, node, at = open_[go], node[go], at[go]
-        return best
-
     def words(self, words: list[bytes]) -> list[bytes]:
         """``word`` for many short words in step, each as unsigned 32-bit ids."""
         if not words:
             return []
         x, n = self.arrays, np.array([len(b) for b in words])
-        flat, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n
-        stop, width = start + n, int(n.max())
-        path, depth, at = np.zeros((len(words), width), np.uint32), np.zeros(len(words), np.int64), start.copy()
-        dead = np.zeros(len(flat) + 1, bool)
-        t = self._longest_at(flat, at, stop)
-        open_ = np.arange(len(words))
+        order = np.argsort(-n, kind="stable")
+        n = n[order]
+        width = int(n[0])
+        flat = np.zeros((len(words), width), np.uint8)
+        flat[np.arange(width) < n[:, None]] = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8)
+        state, node = np.zeros((width + 1, len(words)), np.int64), np.zeros(len(words), np.int64)
+        for at in range(1, width + 1):
+            live = int(np.searchsorted(-n, -at, side="right"))
+            node = x.move[node[:live], flat[:live, at - 1]]
+            t = x.ends[node].astype(np.int64)
+            open_ = np.arange(live)
+            while True:
+                before = at - x.length[t[open_]]
+                open_, before = open_[before > 0], before[before > 0]
+                open_ = open_[~self._cells(state[before, open_], t[open_])]
+                if not len(open_):
+                    break
+                t[open_] = x.shorter[t[open_]]
+            state[at, :live] = t
+        # from the end back: the ids of a word stand at the end of its row
+        path, at, open_, depth = np.zeros((len(words), width), np.uint32), n.copy(), np.arange(len(words)), 0
+        count = np.zeros(len(words), np.int64)
         while len(open_):
-            w, tw = open_, t[open_]
-            some = tw >= 0
-            back, w, tw = w[~some], w[some], tw[some]
-            end = at[w] + x.length[tw]
-            ok = (end == stop[w]) | ~dead[end]
-            ask = np.flatnonzero(ok & (depth[w] > 0))
-            ok[ask] = self._arcs(path[w[ask], depth[w[ask]] - 1].astype(np.int64), tw[ask])
-            no, w, tw, end = w[~ok], w[ok], tw[ok], end[ok]
-            t[no] = x.shorter[t[no]]
-            path[w, depth[w]] = tw
-            depth[w] += 1
-            at[w] = end
-            on = w[end < stop[w]]
-            t[on] = self._longest_at(flat, at[on], stop[on])
-            if len(back):
-                dead[at[back]] = True
-                depth[back] -= 1
-                was = path[back, depth[back]].astype(np.int64)
-                at[back] -= x.length[was]
-                t[back] = x.shorter[was]
-            open_ = np.concatenate([no, on, back])
-        return [path[k, :d].tobytes() for k, d in enumerate(depth.tolist())]
+            depth += 1
+            t = state[at[open_], open_]
+            path[open_, width - depth] = t
+            count[open_] = depth
+            at[open_] -= x.length[t]
+            open_ = open_[at[open_] > 0]
+        out = [b""] * len(words)
+        for k, (i, c) in enumerate(zip(order.tolist(), count.tolist())):
+            out[i] = path[k, width - c :].tobytes()
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         label = self.label
         return b"".join([label[i] for i in ids])
 
 
+def compiled(machine: BpeAutomaton, merges: int) -> tuple[list[int], np.ndarray]:
+    """(tokens, table): the automaton of the first ``merges`` merges in full, ``table[state, label]`` by their places in ``tokens``.
+
+    Made by the gadgets one after another, a state split and arcs moved each time; its cells grow as the square of the tokens.
+    """
+    made = sorted((r, w) for w, r in enumerate(machine.rank) if 0 < r <= merges)
+    tokens = [i for i, b in machine.label.items() if len(b) == 1] + [w for _, w in made]
+    place, n = {t: k for k, t in enumerate(tokens)}, len(tokens) - len(made)
+    table = np.zeros((len(tokens), len(tokens)), bool)
+    table[:n, :n] = True
+    cuts = sorted((r, key >> 20, key & (1 << 20) - 1) for key, r in machine.removed.items() if r <= merges)
+    new = dict(made)
+    for rank, u, v in cuts:
+        was = table[place[v], :n].copy()
+        table[place[u], place[v]] = False
+        if rank in new:
+            w = place[new[rank]]
+            table[w, :n] = was
+            n += 1
+            table[:n, w] = table[:n, place[u]]
+    return tokens, table
+
+
 @lru_cache(maxsize=4)
 def automaton(path: str) -> BpeAutomaton:
     """One automaton a process and file."""

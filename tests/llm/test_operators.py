@@ -67,6 +67,32 @@ def test_bpe_words(tokenizer):
         assert all(m.arc(a, b) for a, b in zip(m.word(w.encode()), m.word(w.encode())[1:]))
 
 
+def test_bpe_gadgets():
+    """Cells worked out from the gadgets are those of the table that the gadgets make one after another."""
+    m = bpe_automaton.automaton(tokenizer_path())
+    tokens, table = bpe_automaton.compiled(m, 700)
+    ids = np.array(tokens)
+    a, b = np.divmod(np.arange(len(ids) ** 2), len(ids))
+    assert (m._arcs(ids[a], ids[b], 701) == table[a, b]).all() and table.any() and not table.all()
+    small = bpe_automaton.compiled(m, 60)
+    assert small[1].shape == (256 + 60,) * 2
+
+
+def test_bpe_code_points(tokenizer):
+    """Every code point of the lower planes, alone and among letters, and random strings: ids and decoded text."""
+    enc = bpe_automaton.Encoder(tokenizer_path(), bytes)
+    points = [chr(c) for c in [*range(1, 0x3100), *range(0x1F300, 0x1F700)]]
+    texts = ["".join(points[i : i + 7]) for i in range(0, len(points), 7)] + ["a" + c + " " + c + "b\n" for c in points]
+    r = random.Random(9)
+    pool = [" ", "  ", "\n", "\t", "\0", "\x85", "\u00a0", "\u3000", "<|endoftext|>", "'s", "the", "ing", "É", "9", "!", "日本"]
+    texts += ["".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(8000)]
+    for t, p in zip(texts, (x for ts in bpe_automaton.sliced(texts) for x in enc.parts(ts))):
+        ids = np.frombuffer(b"".join(p), np.uint32).tolist()
+        want = tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids == want, repr(t)
+        assert enc.machine.decode(ids).decode("utf-8", "replace") == tokenizer.decode(want, skip_special_tokens=False), repr(t)
+
+
 def test_packing(docs, texts, none, tokenizer):
     r = packing.packed_pieces(docs, tokenizer_path()).toPandas()
     count = collections.Counter(i for i, _ in texts)
