@@ -11,9 +11,9 @@ backslash becomes two, ``<|`` becomes ``<\\|``, and in roles a line break become
 The loss mask is the escaped text of assistant turns.
 
 Null texts and roles are empty. Null scores count as 0. A message whose parent
-is missing is a root; so is one with no parent. Repeated ids are an error in
-``reply_paths``; ``linear`` numbers rows itself, so there repeated turns follow
-each other by role and text. Messages on a cycle have no root and are left out.
+is missing is a root; so is one with no parent. Repeated ids are an error
+(``ValueError``); ``linear`` numbers rows itself, so there repeated turns follow
+each other by role and text. Messages without an id, and those on a cycle, which have no root, are left out.
 An empty table gives no rows; other columns are ignored.
 """
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,14 +80,17 @@ def _doubled(jumps: DataFrame, nodes: int) -> tuple[list[DataFrame], DataFrame |
     return out[:-1], None
 
 
-def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
+def reply_paths(messages: DataFrame, best: int | None = 1, unique: bool = False) -> DataFrame:
     """(path, id, depth): the messages of the ``best`` branches of each tree (None: of all), by path.
 
     ``messages`` has id, parent, score. A branch is a root-to-leaf path; its
     score is the mean over its messages, ties go to the smaller leaf id. ``path``
-    is the leaf's id, ``depth`` counts from 0 at the root.
+    is the leaf's id, ``depth`` counts from 0 at the root. ``unique`` says that
+    ids are known not to repeat, which is looked up otherwise.
     """
-    nodes = written(messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
+    nodes = written(messages.where("id is not null").select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
+    if not unique and (twice := nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").head(3)):
+        raise ValueError(f"repeated message ids: {[r['id'] for r in twice]}")
     edges = nodes.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.col("parent").alias("up"))
     leaves = nodes.join(edges.select(F.col("up").alias("id")).distinct(), "id", "left_anti").select("id")
     jumps, endless = _doubled(edges, nodes.count())
@@ -121,48 +125,50 @@ def linear(conversations: DataFrame) -> DataFrame:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int | None, list[tuple[str, str]]]]]:
-    """Paths of a sorted partition, whole, one after another."""
+def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[str, int | None, list[tuple[str, str]]]]]:
+    """(path, conversation, turns) of a sorted partition, whole, one after another."""
     key, name, turns, first = None, None, [], True
     for b in batches:
         out = []
         for path, conv, role, text in zip(b["path"], b["conv_id"], b["role"], b["text"]):
             if first or path != key:
                 if not first:
-                    out.append((name, turns))
+                    out.append((key, name, turns))
                 key, name, turns, first = path, None if pd.isna(conv) else int(conv), [], False
             turns.append((role, text))
-        yield out
+        if out:
+            yield out
     if not first:
-        yield [(name, turns)]
+        yield [(key, name, turns)]
 
 
-def _joined(messages: DataFrame, best: int | None) -> DataFrame:
+def _joined(messages: DataFrame, best: int | None, unique: bool) -> DataFrame:
     """Messages along their chosen paths, a path in one task and in order."""
-    paths = reply_paths(messages, best)
+    paths = reply_paths(messages, best, unique)
     body = messages.select("id", F.col("conv_id").cast("long").alias("conv_id"), "role", "text")
     rows = paths.join(body, "id").select(F.col("path").cast("string").alias("path"), "depth", "conv_id", "role", "text")
     return rows.repartition("path").sortWithinPartitions("path", "depth").select("path", "conv_id", "role", "text")
 
 
-def chats(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """(path, conv_id, formatted, loss): a row per chosen path; ``loss`` is spans [start, end) of ``formatted``."""
+def chats(messages: DataFrame, best: int | None = 1, unique: bool = False) -> DataFrame:
+    """(path, conv_id, formatted, loss): a row per chosen path; ``path`` is the leaf's id as text, ``loss`` is spans [start, end) of ``formatted``."""
+    schema = pa.schema([("path", pa.string()), ("conv_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in _conversations(batches):
-            rows = [(name, *formatted(turns)) for name, turns in some]
-            yield pd.DataFrame({"conv_id": pd.array([r[0] for r in rows], "Int64"), "formatted": [r[1] for r in rows], "loss": [[{"start": a, "end": b} for a, b in r[2]] for r in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _conversations(b.to_pandas() for b in batches):
+            rows = [(path, name, *formatted(turns)) for path, name, turns in some]
+            yield pa.RecordBatch.from_pylist([{"path": p, "conv_id": c, "formatted": t, "loss": [{"start": a, "end": b} for a, b in spans]} for p, c, t, spans in rows], schema)
 
-    return _joined(messages, best).mapInPandas(run, "conv_id long, formatted string, loss array<struct<start: long, end: long>>")
+    return _joined(messages, best, unique).mapInArrow(run, "path string, conv_id long, formatted string, loss array<struct<start: long, end: long>>")
 
 
-def chat_digests(messages: DataFrame, best: int | None = 1) -> DataFrame:
+def chat_digests(messages: DataFrame, best: int | None = 1, unique: bool = False) -> DataFrame:
     """A row per chosen path with digests of what is read back from its formatted string and loss mask."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _conversations(batches):
             rows = []
-            for name, turns in some:
+            for _, name, turns in some:
                 text, spans = formatted(turns)
                 back = parsed(text)
                 learned = "".join(unescaped(text[a:b]) for a, b in spans)
@@ -172,4 +178,4 @@ def chat_digests(messages: DataFrame, best: int | None = 1) -> DataFrame:
             names = [c.split()[0] for c in DIGESTS.split(", ")]
             yield pd.DataFrame({n: pd.array(c, "Int64") if "long" in d else pd.array(c, object) for n, c, d in zip(names, cols, DIGESTS.split(", "))})
 
-    return _joined(messages, best).mapInPandas(run, DIGESTS)
+    return _joined(messages, best, unique).mapInPandas(run, DIGESTS)

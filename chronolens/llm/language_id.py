@@ -14,7 +14,9 @@ texts alike. So every text follows a run of zeros that all languages share and
 that makes any block worth encoding.
 
 Null texts and texts without letters are ``und`` with score 0, not accepted. A
-single letter or word is a text like any other, with a low score where sizes tie. Repeated rows and columns
+single letter or word is a text like any other, with a low score, and rejected, where sizes tie.
+Less is compared than is given in two ways: a word said twice in a row is
+encoded once, and a line found in the labelled texts of several languages teaches none. Repeated rows and columns
 beyond doc_id, text and lang change nothing; an empty table gives no rows, and
 with no labelled row every answer is ``und``. Texts are encoded whole.
 """
@@ -44,8 +46,8 @@ class Settings:
     its commonest words, from at most about ``sample_docs`` labelled documents of it, of each its first
     ``dictionary_bytes // 4`` characters. ``level`` encodes every text; where the
     margin is under ``close_bytes`` a dictionary, ``close_level`` decides. An answer is
-    rejected if its margin is under ``min_margin`` bytes a dictionary, and the text has
-    ``short_bytes`` of letters or more: shorter ones can't show a margin."""
+    rejected if its margin is under ``min_margin`` bytes a dictionary, whatever the text's length.
+    Of labels in more than ``languages`` languages the commonest count, so that the model stays bounded."""
 
     shards: int = 2
     dictionary_bytes: int = 112_640
@@ -55,7 +57,7 @@ class Settings:
     close_level: int = 19
     close_bytes: float = 6.0
     min_margin: float = 0.5
-    short_bytes: int = 64
+    languages: int = 256
 
 
 def letters(text: str | None) -> str:
@@ -72,11 +74,11 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> dict[str, list[by
     """Dictionaries by language, from a bounded sample of the rows of ``docs`` (doc_id, text, lang).
 
     The sample is the rows of lowest hash of each language: a count of languages
-    sets each one's limit, so what comes to the driver is bounded by the number
-    of languages, and does not depend on the order of rows.
+    sets each one's limit, so what comes to the driver is bounded by
+    ``languages`` times ``sample_docs``, and does not depend on the order of rows.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, settings.sample_docs / n)))])
@@ -154,7 +156,7 @@ class Classifier:
             sizes = self._sizes(self._close, raw)
             a, b = sorted(sizes)[:2]
         score = 1 / sum(math.exp(min(0.0, (a - x) * math.log(2))) for x in sizes)
-        return self.langs[sizes.index(a)], score, b - a >= s.min_margin or len(raw) <= len(_LEAD) + s.short_bytes, b - a
+        return self.langs[sizes.index(a)], score, b - a >= s.min_margin, b - a
 
 
 def identify(docs: DataFrame, model: dict[str, list[bytes]], settings: Settings = Settings()) -> DataFrame:

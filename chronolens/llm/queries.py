@@ -45,7 +45,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     ok = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
-    return chat.chat_digests(chat.linear(told.unionByName(more)))
+    return chat.chat_digests(chat.linear(told.unionByName(more)), unique=True)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
