@@ -1,14 +1,15 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages. Every passage is encoded (how often each kind
+A document is a bag of passages. Every passage is encoded (its words, hashed to
+``WORDS`` rows of a learned table, how often each kind
 of character follows each other kind, and how words repeat, through a learned
 layer); gated attention, learned from the documents' labels alone, weighs the
 passages; the weighted sum is scored. Reference: attention-based deep
 multiple-instance learning (Ilse, Tomczak, Welling 2018), gated form.
 
 Null and empty texts are one empty passage and get the score that has. A
-passage is ``PASSAGE`` bytes of the UTF-8 text; texts are read whole, however
-long. Repeated rows give repeated scores; of several labels for one id the mean
+passage is ``PASSAGE`` bytes of the UTF-8 text; texts are scored whole, however
+long, some passages at a time. Of a long labelled text passages from all over it teach. Repeated rows give repeated scores; of several labels for one id the mean
 counts (0.5 teaches nothing and is left out). Columns beyond doc_id and text are ignored. Without any label every
 score is 0.5. An empty table gives no rows.
 """
@@ -34,58 +35,85 @@ for _k, _s in enumerate(_KINDS, 1):
 _KIND[32] = 0
 _KIND[97:123], _KIND[65:91], _KIND[128:] = len(_KINDS) + 2, len(_KINDS) + 3, len(_KINDS) + 4
 N_KINDS = len(_KINDS) + 5
-N_FEATURES = N_KINDS * N_KINDS + 3
+WORDS = 512
+N_PLAIN = N_KINDS * N_KINDS + 3
+N_FEATURES = N_PLAIN + WORDS
+#: passages whose features are held at a time
+TOGETHER = 2_048
 _SIGN = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWER = np.multiply.accumulate(np.append(np.uint64(1), np.full(PASSAGE, 0x9E3779B97F4A7C15, np.uint64)))
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Learning reads at most about ``sample_docs`` labelled documents of each class, none over ``sample_chars``."""
+    """Learning reads at most about ``sample_docs`` labelled documents of each class; of each at most ``sample_passages``
+    passages, evenly spaced over the text where it has more. ``words`` is what a word's share counts against
+    that of kinds of characters: there are many words, each in few passages."""
 
     sample_docs: int = 1500
-    sample_chars: int = 20_000
+    sample_passages: int = 40
     hidden: int = 24
     attention: int = 12
     steps: int = 600
     batch: int = 128
     rate: float = 0.01
-    decay: float = 1e-4
+    decay: float = 3e-3
+    words: float = 0.2
 
 
-def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages (float32), and where each text's begin; a text has one passage at least."""
+def _laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where each passage begins and how long it is, and the first passage of each text; a text has one at least."""
     raw = [(t or "").encode() for t in texts]
     n = np.array([len(r) for r in raw], np.int64)
     per = np.maximum(1, -(-n // PASSAGE))
     first = np.cumsum(per) - per
-    total = int(per.sum())
-    flat = np.frombuffer(b"".join(raw), np.uint8)
     doc_at = np.cumsum(n) - n
-    begin = np.repeat(doc_at, per) + (np.arange(total) - np.repeat(first, per)) * PASSAGE
+    begin = np.repeat(doc_at, per) + (np.arange(int(per.sum())) - np.repeat(first, per)) * PASSAGE
     size = np.minimum(np.repeat(doc_at + n, per) - begin, PASSAGE)
+    return np.frombuffer(b"".join(raw), np.uint8), begin, size, first
+
+
+def _features(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Features (float32) of passages that follow each other."""
+    total = len(begin)
     x = np.zeros((total, N_FEATURES), np.float32)
+    flat = flat[begin[0] : begin[-1] + size[-1]] if total else flat[:0]
     if len(flat):
+        begin = begin - begin[0]
         owner = np.repeat(np.arange(total), size)
         kind = _KIND[flat]
         before = np.empty_like(kind)
         before[1:] = kind[:-1]
         before[begin[size > 0]] = 1  # a passage starts as if after a line's end
         pairs = np.bincount(owner * (N_KINDS * N_KINDS) + before * N_KINDS + kind, minlength=total * N_KINDS * N_KINDS)
-        x[:, :-3] = pairs.reshape(total, -1)
+        x[:, : N_PLAIN - 3] = pairs.reshape(total, -1)
         blank = _BLANK[flat]
         head = ~blank
         head[1:] &= blank[:-1] | (owner[1:] != owner[:-1])
         start = np.flatnonzero(head)
         if len(start):
-            word = np.add.reduceat(np.where(blank, np.uint64(0), _SIGN[flat]), start)
+            at = np.arange(start[0], len(flat)) - np.repeat(start, np.diff(np.append(start, len(flat))))
+            value = np.where(blank[start[0] :], np.uint64(0), _SIGN[_LOWER[flat[start[0] :]]] * _POWER[np.minimum(at, PASSAGE)])
+            word = np.add.reduceat(value, start - start[0])
             of = owner[start]
-            x[:, -3] = np.bincount(of, minlength=total)
-            for lag, col in ((1, -2), (2, -1)):
+            x[:, N_PLAIN - 3] = np.bincount(of, minlength=total)
+            for lag, col in ((1, N_PLAIN - 2), (2, N_PLAIN - 1)):
                 same = (word[lag:] == word[:-lag]) & (of[lag:] == of[:-lag])
                 x[:, col] = np.bincount(of[lag:][same], minlength=total)
+            row = (word * np.uint64(0x7FB5D329728EA185) >> np.uint64(32)).astype(np.int64) % WORDS
+            x[:, N_PLAIN:] = np.bincount(of * WORDS + row, minlength=total * WORDS).reshape(total, WORDS)
     x /= np.maximum(size, 1)[:, None].astype(np.float32)
-    return np.sqrt(x, out=x), first
+    return np.sqrt(x, out=x)
+
+
+def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages, and where each text's begin."""
+    flat, begin, size, first = _laid_out(texts)
+    some = [_features(flat, begin[lo : lo + TOGETHER], size[lo : lo + TOGETHER]) for lo in range(0, len(begin), TOGETHER)]
+    return np.concatenate(some) if some else np.zeros((0, N_FEATURES), np.float32), first
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -101,25 +129,36 @@ class AttentionBag:
         self.settings, self.mean, self.scale = s, np.zeros(f), np.ones(f)
         self.p = {"W": g.normal(0, f**-0.5, (f, d)), "b": np.zeros(d), "V": g.normal(0, d**-0.5, (d, a)), "U": g.normal(0, d**-0.5, (d, a)), "w": g.normal(0, a**-0.5, a), "c": g.normal(0, d**-0.5, d), "o": np.zeros(1)}
 
-    def _forward(self, x: np.ndarray, first: np.ndarray):
-        p, per = self.p, np.diff(np.append(first, len(x)))
+    def _encoded(self, x: np.ndarray):
+        """Of each passage: its representation, the gate's two sides, and its weight before it is shared out."""
+        p = self.p
         h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = np.exp(np.clip((t * g) @ p["w"], -30, 30))
+        return h, t, g, np.exp(np.clip((t * g) @ p["w"], -30, 30))
+
+    def _weighed(self, h: np.ndarray, e: np.ndarray, first: np.ndarray):
+        """Attention weights, weighted representation and output of each bag."""
+        per = np.diff(np.append(first, len(h)))
         a = e / np.repeat(np.add.reduceat(e, first), per)
         z = np.add.reduceat(a[:, None] * h, first)
-        return h, t, g, a, z, z @ p["c"] + p["o"][0], per
+        return a, z, z @ self.p["c"] + self.p["o"][0], per
+
+    def _forward(self, x: np.ndarray, first: np.ndarray):
+        h, t, g, e = self._encoded(x)
+        a, z, out, per = self._weighed(h, e, first)
+        return h, t, g, a, z, out, per
 
     def fit(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> AttentionBag:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        x, s, p = (x - self.mean) / self.scale, self.settings, self.p
+        self.mean, self.scale = x.mean(0, dtype=float).astype(np.float32), (x.std(0, dtype=float) + 1e-3).astype(np.float32)
+        s, p = self.settings, self.p
+        self.scale[N_PLAIN:] /= s.words
         ends, g = np.append(first[1:], len(x)), np.random.default_rng(11)
         m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
         for step in range(1, s.steps + 1):
             pick = g.integers(0, len(first), s.batch)
             rows = np.concatenate([np.arange(first[i], ends[i]) for i in pick])
             at = np.cumsum(ends[pick] - first[pick]) - (ends[pick] - first[pick])
-            xb = x[rows]
+            xb = (x[rows] - self.mean) / self.scale
             h, t, q, a, z, out, per = self._forward(xb, at)
             d = (_sigmoid(out) - label[pick]) * weight[pick] / len(pick)
             dz = d[:, None] * p["c"]
@@ -137,8 +176,13 @@ class AttentionBag:
                 p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return _sigmoid(self._forward((x - self.mean) / self.scale, first)[5])
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The score of each text; features are made of ``TOGETHER`` passages at a time."""
+        if not texts:
+            return np.zeros(0)
+        flat, begin, size, first = _laid_out(texts)
+        some = [self._encoded((_features(flat, begin[lo : lo + TOGETHER], size[lo : lo + TOGETHER]) - self.mean) / self.scale) for lo in range(0, len(begin), TOGETHER)]
+        return _sigmoid(self._weighed(np.concatenate([x[0] for x in some]), np.concatenate([x[3] for x in some]), first)[2])
 
 
 def held_out(doc_id, parts: int = 3, part: int = 1):
@@ -165,9 +209,12 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return None
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(picked, "doc_id long, good boolean"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.length("text") <= settings.sample_chars)
-    sample = rows.join(small, "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    text, k = F.coalesce(F.col("text"), F.lit("")), settings.sample_passages
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(small, "doc_id")
+    n = F.length("text")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring("text", (F.floor(i * (n - PASSAGE) / max(1, k - 1)) + 1).cast("int"), F.lit(PASSAGE)))
+    rows = rows.select("doc_id", "good", F.when(n <= k * PASSAGE, F.col("text")).otherwise(F.array_join(spread, "")).alias("text"))
+    sample = rows.groupBy("doc_id").agg(F.first("good").alias("good"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
     good = sample["good"].to_numpy(bool)
     if good.all() or not good.any():
         return None
@@ -185,7 +232,7 @@ def score(docs: DataFrame, model: AttentionBag | None) -> DataFrame:
         from .bpe_automaton import sliced
 
         for batch in batches:
-            out = [model.scores(*passages(ts)) if model else np.full(len(ts), 0.5) for ts in sliced(batch.column(2).to_pylist(), 500_000)]
+            out = [model.scores(ts) if model else np.full(len(ts), 0.5) for ts in sliced(batch.column(2).to_pylist(), 500_000)]
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -205,7 +252,7 @@ def kept(docs: DataFrame, model: AttentionBag | None, threshold: float = 0.5) ->
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            good = [s >= threshold for ts in sliced(texts, 500_000) for s in (model.scores(*passages(ts)) if model else np.full(len(ts), 0.5))]
+            good = [s >= threshold for ts in sliced(texts, 500_000) for s in (model.scores(ts) if model else np.full(len(ts), 0.5))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
