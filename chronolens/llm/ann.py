@@ -10,11 +10,12 @@ them reaches ``Settings.recall``.
 
 The tree and the leaves' sizes are bounded by the settings, whatever the rows. A
 leaf with more rows than ``Settings.block`` is dealt into blocks by a hash of the
-id, and queries into chunks, so no task holds a hot leaf or all queries.
+id. Each row moves once, to its block; a query goes to the blocks of the leaves it
+visits. A task holds one block's rows at a time and reads the queries past them, however many they are.
 
 Vectors that are null, zero or hold null or non-finite components take no part,
 nor do rows without id; repeated ids count once; unequal lengths count as padded
-with zeros. Ties go to the smaller id. With fewer than k candidates all leaves
+with zeros. Ties go to the smaller id. A distance too large for a double is infinite and comes last. With fewer than k candidates all leaves
 are visited and all are returned; an empty table gives no rows.
 """
 
@@ -42,7 +43,6 @@ class Settings:
     queries: int = 128
     recall: float = 0.97
     block: int = 16_384
-    chunk: int = 2_048
 
 
 class Tree:
@@ -125,17 +125,25 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
 
 
-
-
 def _closest(ids: np.ndarray, v: np.ndarray, qids: list[int], q: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of each query, itself left out: products narrow the rows down, differences decide."""
     out = []
-    for qid, x in zip(qids, q):
-        d = np.sqrt(((v - x) ** 2).sum(1))
-        d[ids == qid] = np.inf
-        some = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-        top = some[np.lexsort((ids[some], d[some]))]
-        top = top[np.isfinite(d[top])][:k]
-        out.append((np.full(len(top), qid, np.int64), ids[top], d[top]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (v * v).sum(1)
+        for lo in range(0, len(qids), 64):
+            x = q[lo : lo + 64]
+            rough = size + (x * x).sum(1)[:, None] - 2 * (x @ v.T)
+            # what the product may be off by
+            slack = 1e-12 * v.shape[1] * (size.max(initial=0) + (x * x).sum(1)) + 1e-300
+            for qid, y, r, e in zip(qids[lo : lo + 64], x, rough, slack):
+                if len(r) > k + 1 and np.isfinite(r).all():
+                    some = np.flatnonzero(r <= np.partition(r, k)[k] + 2 * e)
+                else:
+                    some = np.arange(len(r))
+                some = some[ids[some] != qid]
+                d = np.sqrt(((v[some] - y) ** 2).sum(1))
+                top = np.lexsort((ids[some], d))[:k]
+                out.append((np.full(len(top), qid, np.int64), ids[some[top]], d[top]))
     qs, vs, ds = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     return pd.DataFrame({"query_id": qs, "vec_id": vs, "score": ds})
 
@@ -186,19 +194,28 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, settings: Settings =
     filed = written(data.mapInPandas(file, "vec_id long, v array<double>, leaf long"), "filed")
     # a row a leaf: at most Settings.leaves of them
     parts = F.broadcast(filed.groupBy("leaf").agg(F.ceil(F.count("*") / s.block).cast("int").alias("parts")))
-    chunks = max(1, math.ceil(n_asked / s.chunk))
-    left = filed.join(parts, "leaf").select("vec_id", "v", "leaf", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
+    left = filed.join(parts, "leaf").select("leaf", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)").alias("p"), F.lit(False).alias("asked"), "vec_id", "v")
     routed = asked.mapInPandas(route, "vec_id long, v array<double>, leaves array<long>")
-    right = routed.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("leaves").alias("leaf"), F.expr(f"cast(pmod(xxhash64(vec_id, 1), {chunks}) as int)").alias("c"))
-    right = right.join(parts, "leaf").select("query_id", "q", "leaf", "c", F.explode(F.expr("sequence(0, parts - 1)")).alias("p"))
+    right = routed.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(parts, "leaf").select("leaf", F.explode(F.expr("sequence(0, parts - 1)")).alias("p"), F.lit(True).alias("asked"), "vec_id", "v")
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        w = width_of(a["v"], b["q"])
-        return _closest(a["vec_id"].to_numpy(), matrix(a["v"], w), b["query_id"].tolist(), matrix(b["q"], w), k)
-
-    near = left.groupBy("leaf", "p", "c").cogroup(right.groupBy("leaf", "p", "c")).applyInPandas(search, "query_id long, vec_id long, score double")
+    def search(batches):
+        key, ids, held = None, [], []
+        for b in batches:
+            edges = np.flatnonzero((b["leaf"].diff() != 0) | (b["p"].diff() != 0) | (b["asked"] != b["asked"].shift()))
+            for lo, hi in zip(edges, [*edges[1:], len(b)]):
+                some = b.iloc[lo:hi]
+                if (some["leaf"].iloc[0], some["p"].iloc[0]) != key:
+                    key, ids, held = (some["leaf"].iloc[0], some["p"].iloc[0]), [], []
+                if not some["asked"].iloc[0]:
+                    ids.append(some["vec_id"].to_numpy())
+                    held.append(some["v"])
+                elif held:
+                    w = width_of(*held, some["v"])
+                    if not (len(held) == 1 and isinstance(held[0], np.ndarray) and held[0].shape[1] == w):
+                        ids, held = [np.concatenate(ids)], [np.concatenate([matrix(x, w) for x in held])]
+                    yield _closest(ids[0], held[0], some["vec_id"].tolist(), matrix(some["v"], w), k)
+
+    near = left.unionByName(right).repartition("leaf", "p").sortWithinPartitions("leaf", "p", "asked").mapInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

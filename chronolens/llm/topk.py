@@ -1,8 +1,8 @@
 """Exact top-k inner products from an impact-ordered index, score at a time.
 
-Components are integers. Rows are dealt into blocks of bounded size by a hash of
-the id, queries likewise, and each block of rows meets each block of queries
-once, so the work is rows times queries in bounded tasks, with no hot key. In a
+Components are integers. Rows stay where they are: a task reads its rows in blocks of
+bounded size. Queries are sent to all tasks, in rounds of a bounded number each; so the work is rows times
+queries, rows move once (to find repeated ids), none is copied, and only each task's best k of each query move. In a
 block the postings (dimension, row, component) are kept in segments by
 descending quantised impact, the absolute component; a segment holds its postings
 of all dimensions, as a dense band, since dense vectors post in every dimension.
@@ -11,7 +11,11 @@ segment a row's score is known up to what its unread postings can add: the
 segment's lower bound times the query's components on the row's unread
 dimensions. Once the rows that could still be among the best k are few - those
 whose upper bound reaches the k-th best lower bound - these alone are scored
-exactly; all others are proved out. Where no proof comes, all segments are read.
+exactly; all others are proved out. Where no proof comes, all segments are read. So are blocks
+of k + 1 rows or fewer, and components whose sums a double can't hold, scored at once.
+
+On dense vectors this costs more than it saves: a segment of postings in every dimension is a matrix, and
+a product with the whole block is one too.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without id; repeated ids count once; vectors of unequal length count as
@@ -22,16 +26,19 @@ id. Fewer than k candidates give fewer rows; an empty table gives none.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import matrix, usable, width_of
+from .common import written
+from .vectors import usable
 
-ROWS = 16_384
-QUERIES = 1_024
+#: components of a block's rows, and of a round's queries; a block's segments take about 48 bytes each
+CELLS = 1 << 20
 #: share of the postings that is read after each segment
 SEGMENTS = (0.5, 0.75, 0.9, 1.0)
 #: queries that share a pass over the segments
@@ -89,30 +96,84 @@ def integers(rows: DataFrame, scale: int = 64) -> DataFrame:
     return usable(rows, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
 
 
+def _best(qs: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -score, qs))
+    qs, ids, score = qs[order], ids[order], score[order]
+    first = np.flatnonzero(np.append(True, qs[1:] != qs[:-1])) if len(qs) else np.zeros(0, np.int64)
+    keep = np.arange(len(qs)) - np.repeat(first, np.diff(np.append(first, len(qs)))) < k
+    return qs[keep], ids[keep], score[keep]
+
+
 def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k best other rows."""
-    from .common import written
-
+    spark = rows.sparkSession
     data = written(integers(rows, scale), "impacts")
-    total = data.count()
     asked = data.where(F.col("vec_id") % every == 0)
-    blocks, chunks = max(1, math.ceil(total / ROWS)), max(1, math.ceil(asked.count() / QUERIES))
-    left = data.select("vec_id", "v", F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("s"))
-    right = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.expr(f"cast(pmod(xxhash64(vec_id, 1), {chunks}) as int)").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        width = width_of(a["v"], b["q"])
-        ids, index, out = a["vec_id"].to_numpy(), ImpactIndex(matrix(a["v"], width, np.int64)), []
-        place = {i: n for n, i in enumerate(ids.tolist())}
-        qids, qs = b["query_id"].tolist(), matrix(b["q"], width, np.int64)
-        for qid, (some, score) in zip(qids, index.best(qs, k, np.array([place.get(i, -1) for i in qids]))):
-            top = np.lexsort((ids[some], -score))[:k]
-            out.append((np.full(len(top), qid), ids[some[top]], score[top]))
-        qs, vs, ss = map(np.concatenate, zip(*out))
-        return pd.DataFrame({"query_id": qs, "vec_id": vs, "score": ss})
-
-    near = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(search, SCHEMA)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, wide = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rounds = math.ceil(n * max(1, wide) / CELLS)
+    near: list[DataFrame] = []
+    for i in range(rounds):
+        some = asked.where(F.expr(f"pmod(xxhash64(vec_id), {rounds}) = {i}")).toArrow()
+        if not some.num_rows:
+            continue
+        found = data.mapInArrow(_searcher(spark.sparkContext.broadcast((some["vec_id"].to_numpy(), _matrix(some["v"].combine_chunks(), wide))), k), SCHEMA)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        near.append(written(out, "round") if rounds > 1 else out)
+    return reduce(DataFrame.unionByName, near)
+
+
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """Lists as rows; shorter ones count as followed by zeros."""
+    size = np.diff(column.offsets.to_numpy())
+    values = column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()]
+    if (size == width).all():
+        return values.reshape(len(size), width).astype(np.int64)
+    out = np.zeros((len(size), width), np.int64)
+    out[np.arange(width) < size[:, None]] = values
+    return out
+
+
+def _searcher(queries, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, qs = queries.value
+        # the place of each query's own row, by id
+        order = np.argsort(qids)
+        best = (np.zeros(0, np.int64),) * 3
+        held: list[pa.RecordBatch] = []
+
+        def search() -> None:
+            nonlocal best
+            ids = np.concatenate([b.column(0).to_numpy() for b in held])
+            wide = max(qs.shape[1], max(np.diff(b.column(1).offsets.to_numpy()).max(initial=0) for b in held))
+            values = np.concatenate([_matrix(b.column(1), wide) for b in held])
+            own = np.full(len(qids), -1)
+            at = np.searchsorted(qids, ids, sorter=order)
+            at = order[np.minimum(at, len(order) - 1)]
+            mine = qids[at] == ids
+            own[at[mine]] = np.flatnonzero(mine)
+            index = ImpactIndex(values)
+            # a query's first k are held against the next block's
+            for lo in range(0, len(qids), 1024):
+                found = index.best(np.pad(qs[lo : lo + 1024], ((0, 0), (0, wide - qs.shape[1]))), k, own[lo : lo + 1024])
+                q = np.repeat(qids[lo : lo + 1024], [len(r) for r, _ in found])
+                r, s = (np.concatenate(x) for x in zip(*found))
+                best = tuple(map(np.concatenate, zip(best, _best(q, ids[r], s, k))))
+            best = _best(*best, k)
+            held.clear()
+
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += len(b.column(1).values)
+            if n >= CELLS:
+                search()
+                n = 0
+        if held:
+            search()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "vec_id", "score"])
+
+    return run

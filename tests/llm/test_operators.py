@@ -288,6 +288,12 @@ def test_top_k(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top_k(few).collect()) == [(0, 1, 20, 4096), (20, 1, 0, 4096)]
     assert topk.top_k(few.where("false")).count() == 0
+    # rounds of queries and blocks of rows change nothing
+    was, topk.CELLS = topk.CELLS, 160
+    try:
+        assert sorted(tuple(r) for r in topk.top_k(df).collect()) == got
+    finally:
+        topk.CELLS = was
 
 
 def test_impact_index():
@@ -314,6 +320,29 @@ def test_nearest(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 0.0]), (101, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(few).orderBy("query_id", "rank").collect()] == [(0, 1, 100, 2.0), (0, 2, 101, 2.0), (100, 1, 101, 0.0), (100, 2, 0, 2.0)]
     assert ann.nearest(few.where("false")).count() == 0
+    # blocks of a leaf change nothing once all leaves are visited
+    every = {b: sorted(map(tuple, ann.nearest(df, settings=ann.Settings(leaf_rows=64, recall=1.0, queries=10**6, block=b)).collect())) for b in (20, 16_384)}
+    assert every[20] == every[16_384]
+    huge = spark.createDataFrame([(0, [1e308, 1.0]), (1, [-1e308, 1.0]), (2, [1e308, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.nearest(huge).orderBy("rank").collect()] == [(0, 1, 2, 0.0), (0, 2, 1, float("inf"))]
+
+
+def test_nearest_in_clusters(spark):
+    """Clustered rows, a third of them in one tight cluster: recall holds."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(0, 1, (30, 16))
+    own = np.where(rng.random(4000) < 0.33, 0, rng.integers(0, 30, 4000))
+    v = (centre[own] + rng.normal(0, 0.05, (4000, 16))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(4000)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, settings=ann.Settings(leaf_rows=64, block=100)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for i in range(0, 4000, 100):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hits += len(got[i] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 400
 
 
 def test_best_bin_first():
@@ -352,6 +381,14 @@ def test_reply_trees(spark):
     assert sorted(map(tuple, chat.reply_paths(tree, 1).collect())) == [(5, 1, 0), (5, 2, 1), (5, 5, 2), (6, 6, 0)]
     assert len(chat.reply_paths(tree, None).collect()) == 7
     assert chat.chats(tree, None).count() == 3
+    one = chat.chats(df.where("id = 6")).collect()
+    assert [(r["path"], r["conv_id"], r["formatted"], r["loss"]) for r in one] == [("6", 9, "<|im_start|>user\nt<|im_end|>\n", [])]
+    talk = chat.chats(chat.linear(spark.createDataFrame([(4, 0, "user", "q"), (4, 1, "assistant", "<|a")], "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r["conv_id"], [r["formatted"][a:b] for a, b in r["loss"]]) for r in talk] == [(4, ["<\\|a"])]
+    assert chat.chats(df.where("false")).count() == 0
+    with pytest.raises(ValueError, match="repeated"):
+        chat.reply_paths(df.unionByName(df.where("id = 3")))
+    assert sorted(map(tuple, chat.reply_paths(df.withColumn("id", F.when(F.col("id") != 6, F.col("id"))), 1).collect())) == [(5, 1, 0), (5, 2, 1), (5, 5, 2)]
 
 
 def test_language_id(spark, sf, docs, none):
@@ -369,6 +406,10 @@ def test_language_id(spark, sf, docs, none):
     assert language_id.identify(none, model).count() == 0 and language_id.learn(all_docs.where("false")) == {}
     assert {x["lang_pred"] for x in language_id.identify(odd, {}).collect()} == {"und"}
     assert sorted(x["doc_id"] for x in language_id.kept(odd, model).collect()) == [4, 5]
+    # ties are rejected, however short the text
+    c = language_id.Classifier(model, language_id.Settings())
+    assert not any(c.predict(t)[2] for t in ("x", "ok 7", "qqq www", "qqq www eee " * 3))
+    assert len(language_id.learn(all_docs, language_id.Settings(languages=2))) == 2
 
 
 def test_quality(spark, sf, none):
@@ -393,7 +434,64 @@ def test_quality_attends():
     x, first = quality.passages(texts)
     y = np.array([1.0] * 60 + [0.0] * 60)
     m = quality.AttentionBag(quality.Settings(steps=300)).fit(x, first, y, np.ones(120))
-    assert ((m.scores(x, first) >= 0.5) == y).all()
+    assert ((m.scores(texts) >= 0.5) == y).all()
+    # one pass over all passages, by the formula, gives the same, however few are held at a time
+    for i in (0, 70):
+        xs, h = (x[first[i] : (np.append(first, len(x)))[i + 1]] - m.mean) / m.scale, None
+        h = np.tanh(xs @ m.p["W"] + m.p["b"])
+        w = np.exp((np.tanh(h @ m.p["V"]) / (1 + np.exp(-(h @ m.p["U"])))) @ m.p["w"])
+        want = 1 / (1 + np.exp(-((w / w.sum()) @ h @ m.p["c"] + m.p["o"][0])))
+        was, quality.TOGETHER = quality.TOGETHER, 3
+        try:
+            assert abs(m.scores([None, texts[i], "x"])[1] - want) < 1e-6
+        finally:
+            quality.TOGETHER = was
+
+
+def test_quality_reads_words():
+    """Classes that differ in their words alone are told apart, in texts unseen and from the ends of long ones."""
+    rng = random.Random(1)
+    a, b = (["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)] for _ in range(2))
+    text = lambda pool, n: " ".join(rng.choice(pool) for _ in range(n))
+    texts = [text(a if i % 2 else b, 60) for i in range(400)]
+    x, first = quality.passages(texts)
+    m = quality.AttentionBag(quality.Settings(steps=300)).fit(x, first, np.arange(400) % 2 * 1.0, np.ones(400))
+    new = [text(a if i % 2 else b, 60) for i in range(100)]
+    assert ((m.scores(new) >= 0.5) == np.arange(100) % 2).mean() > 0.95
+
+
+def test_quality_gradient():
+    """The gradient that fit takes is that of its loss, by finite differences."""
+    texts = ["ab cd. " * 200, "## ## " * 120, "x"]
+    x, first = quality.passages(texts)
+    m = quality.AttentionBag(quality.Settings(steps=1, batch=64, rate=1e-6, decay=0.0))
+    y, w = np.array([1.0, 0.0, 1.0]), np.ones(3)
+    before = {k: v.copy() for k, v in m.p.items()}
+    m.fit(x, first, y, w)
+    pick = np.random.default_rng(11).integers(0, 3, 64)
+
+    def loss(p):
+        m.p = p
+        out = m._forward((x - m.mean) / m.scale, first)[5]
+        each = np.log1p(np.exp(-out)) * y + np.log1p(np.exp(out)) * (1 - y)
+        return each[pick].mean()
+
+    after = m.p
+    for k in ("V", "U", "w", "c", "b"):
+        at = np.unravel_index(np.abs(before[k]).argmax(), before[k].shape)
+        up, down = ({n: v.copy() for n, v in before.items()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        # the first step of Adam goes by the sign of the gradient
+        assert abs(slope) < 1e-7 or np.sign(before[k][at] - after[k][at]) == np.sign(slope), k
+
+
+def test_quality_learns_from_long_texts(spark):
+    rows = [(i, ("good word " if i % 2 else "### $$ ") * 6000) for i in range(40)]
+    d = spark.createDataFrame(rows, DOCS)
+    model = quality.learn(d, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"), quality.Settings(steps=60))
+    assert {r["doc_id"] for r in quality.kept(d, model).collect()} == set(range(1, 40, 2))
 
 
 def test_registered(spark):
