@@ -16,7 +16,7 @@ minimizer form one run of text; a run is known by a hash, counted, and
     common prefixes of neighbours there, and for earlier matches the previous
     and next smaller positions in that order (the longest-previous-factor
     array), say which windows are repeated.
-A bucket of more than ``HOT`` kinds of runs is not put into one task: its
+A bucket of more than ``HOT`` kinds of runs is not put into one task, and no suffix order is made of it: its
 windows are counted by a 128-bit hash each, which is as exact and spreads evenly.
 
 A run is named by two 64-bit hashes, a text by one and its length: two different
@@ -45,6 +45,7 @@ from .common import dropped, released, written
 WINDOW = 200
 ANCHOR = 60
 HOT = 20_000
+STRETCH = 1 << 20
 _BYTE = np.random.default_rng(200).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -69,12 +70,48 @@ def _rolling(flat: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start in it, windows, minimizer) of the runs of some texts; together they have each window once."""
+    """(text, start in it, windows, minimizer) of the runs of some texts; together they have each window once.
+
+    Texts are read in stretches of ``STRETCH`` windows; a run that goes on over a cut is one.
+    """
+    out, held, n = [], [], 0
+
+    def flush() -> None:
+        if held:
+            text, start, many, mk, _ = _runs([raw[i] for i in held])
+            out.append((np.array(held)[text], start, many, mk))
+            held.clear()
+
+    for i, r in enumerate(raw):
+        if len(r) < WINDOW:
+            continue
+        if len(r) <= STRETCH + WINDOW - 1:
+            held.append(i)
+            n += len(r)
+            if n > STRETCH:
+                flush()
+                n = 0
+            continue
+        flush()
+        n = 0
+        parts = []
+        for lo in range(0, len(r) - WINDOW + 1, STRETCH):
+            _, start, many, mk, at = _runs([r[lo : lo + STRETCH + WINDOW - 1]])
+            parts.append((start + lo, many, mk, at + lo))
+        start, many, mk, at = map(np.concatenate, zip(*parts))
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out.append((np.full(len(first), i), start[first], np.add.reduceat(many, first), mk[first]))
+    flush()
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64)
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _runs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for texts of ``WINDOW`` bytes or more, at once; and where the minimizer stands in its text."""
     n = np.array([len(r) for r in raw], np.int64)
     flat = np.frombuffer(b"".join(raw), np.uint8)
-    none = np.zeros(0, np.int64)
-    if len(flat) < WINDOW or n.max() < WINDOW:
-        return none, none, none, none.view(np.uint64)
     h = _rolling(flat, ANCHOR)
     # 30 bits of hash over 34 of place, whatever the lengths: equal windows must have equal minimizers
     place = np.uint64((1 << 34) - 1)
@@ -86,12 +123,12 @@ def runs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     at = (low & place).astype(np.int64)
     begin = np.cumsum(n) - n
-    many = np.maximum(n - WINDOW + 1, 0)
+    many = n - WINDOW + 1
     text = np.repeat(np.arange(len(raw)), many)
     start = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     at = at[np.repeat(begin, many) + start]
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])))
-    return text[first], start[first], np.diff(np.append(first, len(at))), h[at[first]]
+    return text[first], start[first], np.diff(np.append(first, len(at))), h[at[first]], at[first] - begin[text[first]]
 
 
 def suffix_order(flat: np.ndarray, start: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:

@@ -154,6 +154,16 @@ def test_suffix_dedup(spark, docs, texts, none, hot):
         assert suffix_dedup.digests(docs).count() == len(texts)
 
 
+def test_runs_of_long_texts(monkeypatch):
+    """Stretches change nothing."""
+    rng = random.Random(3)
+    raw = ["".join(rng.choice("ab c") for _ in range(n)).encode() for n in (5000, 150, 200, 3000, 900)] + [b"a" * 4000, b""]
+    want = [sorted(zip(*map(np.ndarray.tolist, suffix_dedup.runs(raw))))]
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 301)
+    assert [sorted(zip(*map(np.ndarray.tolist, suffix_dedup.runs(raw))))] == want
+    assert sum(x[2] for x in want[0]) == sum(max(0, len(r) - 199) for r in raw)
+
+
 def test_longest_previous_factor():
     text = b"abracadabra abracadabra"
     order, lcp = suffix_dedup.suffix_order(np.frombuffer(text + bytes(16), np.uint8), np.arange(len(text)), 16)
