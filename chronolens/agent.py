@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .operators import hybrid, mentions, windows
+from .operators.text_index import TextIndex
 
 Tool = Callable[..., DataFrame]
 
@@ -17,7 +18,7 @@ Tool = Callable[..., DataFrame]
 class Library:
     """What the tools read."""
 
-    evidence: DataFrame
+    evidence: DataFrame | TextIndex
     units: DataFrame
     videos: DataFrame
     extra: dict[str, Tool] = field(default_factory=dict)
@@ -25,12 +26,12 @@ class Library:
     def tools(self) -> dict[str, Tool]:
         """Built-in tools; those registered under the same name win."""
         own: dict[str, Tool] = {
-            "search": lambda query, k=8, videos=None: hybrid.search(self.evidence, self.units, query, min(k, 20), videos, per_video=None if videos and len(videos) == 1 else 3),
+            "search": lambda query, k=8, videos=None: hybrid.with_texts(hybrid.search(self.evidence, self.units, query, min(k, 20), videos, per_video=None if videos and len(videos) == 1 else 3), self.evidence),
             "find_mentions": lambda terms, **kw: mentions.mentions(self.evidence, terms, **kw),
-            "count_mentions": lambda terms: mentions.by_channel(mentions.mentions(self.evidence, terms), self.videos),
+            "count_mentions": lambda terms: mentions.by_channel(mentions.mentions(self.evidence, terms), self.videos, terms),
             "library_stats": lambda: mentions.library(self.videos),
             "list_videos": lambda: self.videos.orderBy("id"),
-            "time_window": lambda video_id, t0, t1: windows.time_window(self.evidence, video_id, t0, t1),
+            "time_window": lambda video_id, t0, t1: windows.time_window(self.evidence if isinstance(self.evidence, DataFrame) else self.evidence.rows(), video_id, t0, t1),
         }
         return own | self.extra
 

@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+
+
+def _marked() -> tuple[str, str]:
+    """Letters with marks and the plain Latin letters under them; combining marks have none, and go."""
+    pairs, marks = {}, [chr(c) for c in range(0x300, 0x370)]
+    for c in range(0xC0, 0x2E80):
+        d = unicodedata.normalize("NFD", chr(c))
+        if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(0x300 <= ord(m) < 0x370 for m in d[1:]):
+            pairs[chr(c)] = d[0]
+    return "".join([*pairs, *marks]), "".join(pairs.values())
+
+
+_MARKED, _PLAIN = _marked()
+_FOLD = {ord(c): _PLAIN[i] if i < len(_PLAIN) else None for i, c in enumerate(_MARKED)}
 TOKEN = r"[\p{L}\p{N}]+"
 
 STOPWORDS = frozenset(
@@ -20,12 +34,12 @@ STOPWORDS = frozenset(
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Latin diacritics."""
+    """Lower case without the marks of Latin letters, as one character or as several."""
     return F.lower(F.translate(text, _MARKED, _PLAIN))
 
 
 def fold_text(text: str) -> str:
-    return text.translate(str.maketrans(_MARKED, _PLAIN)).lower()
+    return text.translate(_FOLD).lower()
 
 
 def tokens(text: Column) -> Column:
@@ -92,15 +106,37 @@ def strip_markup(text: Column) -> Column:
     return F.trim(out)
 
 
-def snippet(text: Column, phrase: str, words_: int = 14) -> Column:
-    """Up to ``words_`` words around the first hit, the hit in brackets, an ellipsis where text is cut."""
-    word = "".join(rf"[{c.lower()}{c.upper()}]" if c.isalpha() else re.escape(c) for c in phrase)
-    side = max(0, (words_ - 1) // 2)
-    around = F.regexp_extract(text, rf"((?:\S+\s+){{0,{side}}}\S*?)({word})(\S*(?:\s+\S+){{0,{side}}})", 0)
-    marked = F.regexp_replace(around, rf"({word})", "[$1]")
-    head = F.when(F.expr("true") & ~text.startswith(around), F.lit("…")).otherwise(F.lit(""))
-    tail = F.when(~text.endswith(around), F.lit("…")).otherwise(F.lit(""))
-    return F.when(around != "", F.concat(head, marked, tail)).otherwise(F.lit(""))
+_PIECES = r"[\p{L}\p{N}\u0300-\u036f]+"
+
+
+def snippet_text(text: str | None, phrase: str, prefix: bool = False, most: int = 14) -> str:
+    """Up to ``most`` tokens around the first place where the phrase's tokens stand, that place in brackets, an ellipsis where text is cut.
+
+    Tokens are found in the text as it is and compared folded, as hits are. Empty without a hit.
+    """
+    import regex
+
+    want = query_tokens(phrase)
+    found = [(m.start(), m.end(), f) for m in regex.finditer(_PIECES, text or "") if (f := fold_text(m[0]))]
+    n = len(want)
+    same = lambda i: all(x == w or prefix and k == n - 1 and x.startswith(w) for k, (w, (_, _, x)) in enumerate(zip(want, found[i : i + n])))
+    at = next((i for i in range(len(found) - n + 1) if same(i)), None) if n else None
+    if at is None:
+        return ""
+    lo = max(0, min(at - max(0, most - n) // 2, len(found) - most))
+    hi = min(len(found), max(lo + most, at + n))
+    a, z, x, y = found[lo][0] if lo else 0, found[hi - 1][1] if hi < len(found) else len(text), found[at][0], found[at + n - 1][1]
+    return ("…" if lo else "") + text[a:x] + "[" + text[x:y] + "]" + text[y:z] + ("…" if hi < len(found) else "")
+
+
+def snippet(text: Column, phrase: Column | str, prefix: bool = False, most: int = 14) -> Column:
+    """``snippet_text`` of a column; for few rows, as samples are."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, phrases: pd.Series) -> pd.Series:
+        return pd.Series([snippet_text(t, p, prefix, most) for t, p in zip(texts, phrases)], dtype=object)
+
+    return run(text, F.lit(phrase) if isinstance(phrase, str) else phrase)
 
 
 def cut(text: Column, most: int) -> Column:

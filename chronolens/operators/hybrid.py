@@ -12,6 +12,7 @@ from . import lexical, vector_search
 from .catalog import selected
 from .joins import nearest as nearest_in_time
 from .joins import points_in
+from .text_index import Source, index_of
 
 RRF = 60
 REST = 0.3
@@ -35,7 +36,7 @@ def ranked_by_kind(rows: DataFrame, depth: int) -> DataFrame:
 
 def fused(lists: list[DataFrame]) -> DataFrame:
     """One row per hit: ``score`` is the sum of 1/(60 + rank) over the lists that have it, ``sources`` names them."""
-    keep = ["kind", "id", "video_id", "t0", "t1", "text"]
+    keep = lexical.HIT
     every = reduce(DataFrame.unionByName, [x.select(*keep, "list", "rank") for x in lists])
     return every.groupBy(*keep).agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score"), F.sort_array(F.collect_list("list")).alias("sources"))
 
@@ -77,7 +78,7 @@ def in_units(hits: DataFrame, units: DataFrame) -> DataFrame:
 
 def grouped(hits: DataFrame, k: int, per_video: int | None = None, most_evidence: int = 4) -> DataFrame:
     """Units ranked by their best hit plus 0.3 of the rest; at most ``per_video`` a video, ``k`` in all."""
-    key = F.struct((-F.col("score")).alias("s"), "id", "kind", "text", "t0", "sources")
+    key = F.struct((-F.col("score")).alias("s"), "id", "kind", "t0", "sources")
     g = hits.groupBy("video_id", "unit", "u0", "u1", "segment_id", "how").agg((F.max("score") + REST * (F.sum("score") - F.max("score"))).alias("score"), F.count("*").alias("n_hits"), F.slice(F.array_sort(F.collect_list(key)), 1, most_evidence).alias("evidence"))
     if per_video is not None:
         w = Window.partitionBy("video_id").orderBy(F.desc("score"), "unit")
@@ -85,19 +86,27 @@ def grouped(hits: DataFrame, k: int, per_video: int | None = None, most_evidence
     return g.orderBy(F.desc("score"), "video_id", "unit").limit(k)
 
 
-def search(evidence: DataFrame, units: DataFrame, query: str, k: int = 8, videos: list[str] | None = None, kinds: list[str] | None = None, per_video: int | None = None, until: float | None = None, embeddings: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
+def search(source: Source, units: DataFrame, query: str, k: int = 8, videos: list[str] | None = None, kinds: list[str] | None = None, per_video: int | None = None, until: float | None = None, embeddings: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
     """Lexical lists by kind and, given a query vector and embeddings (id, vector), a vector list; fused and grouped."""
     window = (0.0, until) if until is not None else None
     wanted = kinds or ["transcript", "ocr", "description"]
     depth = list_depth(k)
-    scored = lexical.bm25(evidence, query, videos, wanted, window)
+    scored = lexical.bm25(source, query, videos, wanted, window)
     lists = [ranked_by_kind(scored, depth)]
     if vector is not None and embeddings is not None:
         near = vector_search.scored(embeddings.select(F.col("target_id").alias("id"), "vector"), vector).select("id", "score")
-        lists.append(ranked(selected(evidence, videos, wanted, window).join(near, "id"), "text_vec", depth))
+        lists.append(ranked(selected(index_of(source).rows(), videos, wanted, window).join(near, "id"), "text_vec", depth))
     return grouped(in_units(fused(lists), units), k, per_video)
 
 
+def with_texts(found: DataFrame, source: Source) -> DataFrame:
+    """Results of ``search`` with the text of each piece of evidence; they are few, so they are sent to where the texts are."""
+    each = found.select("video_id", "unit", F.posexplode("evidence").alias("n", "e")).select("video_id", "unit", "n", "e", F.col("e.kind").alias("kind"), F.col("e.id").alias("id"))
+    texts = index_of(source).texts().join(F.broadcast(each), ["kind", "id"])
+    whole = texts.groupBy("video_id", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e", "text"))), lambda x: x["e"].withField("text", x["text"])).alias("evidence"))
+    return found.drop("evidence").join(whole, ["video_id", "unit"]).orderBy(F.desc("score"), "video_id", "unit")
+
+
 def thumbnails(hits: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
     """Hits (video_id, t, key) with the thumbnail nearest in time, within two seconds."""
     return nearest_in_time(hits, frames.where("thumbnail_blob is not null").select("video_id", F.col("t_secs").alias("thumb_t"), "thumbnail_blob"), ["video_id"], key, "t", "thumb_t", 2.0)

@@ -1,67 +1,41 @@
-"""Lexical retrieval: BM25 over evidence, without an explode or a shuffle of the texts.
+"""Lexical retrieval: BM25 over postings, of a stored index or of evidence as it is.
 
 Statistics (rows, mean length, rows per term) are those of a kind's whole table,
-so filters do not change scores. They are one aggregate of a few numbers; scores
-are then expressions of the scan.
+so filters do not change scores. They are sums that a write leaves behind, and one aggregate of the
+postings of the query's words: texts are never read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import free_text_terms, phrase_count, tokens
+from ..functions.text import free_text_terms
 from .catalog import selected
+from .text_index import Source, index_of, matched
 
 K1, B = 1.2, 0.75
+HIT = ["kind", "id", "video_id", "t0", "t1"]
 
-Term = tuple[list[str], bool]
 
-
-def counted(rows: DataFrame, terms: list[Term]) -> DataFrame:
-    """``rows`` with ``dl`` (tokens) and ``f0``, ``f1``, ... (occurrences of each term)."""
-    toks = rows.withColumn("__tok", tokens(F.col("text"))).withColumn("dl", F.size("__tok").cast("long"))
-    for i, (phrase, prefix) in enumerate(terms):
-        toks = toks.withColumn(f"f{i}", phrase_count(F.col("__tok"), phrase, prefix))
-    return toks.drop("__tok")
-
-
-def statistics(rows: DataFrame, terms: list[Term]) -> dict[str, tuple[int, float, list[int]]]:
-    """kind -> (rows, mean length, rows with each term); one row a kind comes to the driver."""
-    n = [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
-    out = counted(rows, terms).groupBy("kind").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *n).collect()
-    return {r["kind"]: (r["n"], r["mean"] or 0.0, [r[f"n{i}"] for i in range(len(terms))]) for r in out}
-
-
-def inverse_frequency(n: int, with_term: int) -> float:
-    import math
-
-    return max(math.log((n - with_term + 0.5) / (with_term + 0.5)), 1e-6)
-
-
-def _score(terms: list[Term], n: int, mean: float, having: list[int]) -> Column:
-    out = F.lit(0.0)
-    for i in range(len(terms)):
-        f = F.col(f"f{i}").cast("double")
-        out = out + F.lit(inverse_frequency(n, having[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
-    return out
-
-
-def bm25(evidence: DataFrame, query: str, videos: list[str] | None = None, kinds: list[str] | None = None, window: tuple[float, float] | None = None) -> DataFrame:
-    """Evidence rows that hold any of the query's words, with ``score``; filters come before any limit."""
-    terms = free_text_terms(query)
-    rows = selected(evidence, None, kinds)
+def bm25(source: Source, query: str, videos: list[str] | None = None, kinds: list[str] | None = None, window: tuple[float, float] | None = None) -> DataFrame:
+    """Evidence rows (kind, id, video_id, t0, t1) that hold any of the query's words, with ``score``; filters come before any limit."""
+    terms, index = free_text_terms(query), index_of(source)
     if not terms:
-        return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    stats = statistics(rows, terms)
-    score = F.lit(None).cast("double")
-    for kind, (n, mean, having) in sorted(stats.items()):
-        score = F.when(F.col("kind") == kind, _score(terms, n, mean, having)).otherwise(score)
-    hits = counted(selected(rows, videos, None, window), terms)
-    some = F.lit(False)
+        return index.rows().withColumn("score", F.lit(0.0)).where(F.lit(False))
+    every = selected(matched(index, terms), None, kinds)
+    having = [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
+    # a row a kind, of which there are three
+    stats = F.broadcast(every.groupBy("kind").agg(*having).join(index.sizes(), "kind"))
+    f = [F.col(f"f{i}").cast("double") for i in range(len(terms))]
+    some, score = F.lit(False), F.lit(0.0)
+    mean = F.coalesce(F.nullif(F.col("total") / F.col("rows"), F.lit(0.0)), F.lit(1.0))
     for i in range(len(terms)):
-        some = some | (F.col(f"f{i}") > 0)
-    return hits.where(some).withColumn("score", score).select(*evidence.columns, "score")
+        n = F.col(f"n{i}")
+        idf = F.greatest(F.log((F.col("rows") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+        some = some | (f[i] > 0)
+        score = score + idf * f[i] * (K1 + 1) / (f[i] + K1 * (1 - B + B * F.col("dl") / mean))
+    return selected(every, videos, None, window).where(some).join(stats, "kind").select(*HIT, score.alias("score"))
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:

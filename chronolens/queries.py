@@ -7,6 +7,7 @@ events are frames of their user's recording, embeddings are vectors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .functions import numbers, text
 from .operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, vector_search, windows
-from .session import ready
+from .operators.text_index import TextIndex
+from .session import ready, shared_dir
 from .sources import sampling, subtitles
 from .streaming import live
 from .timeq import hms
@@ -52,7 +54,15 @@ def base(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     segments = conv.select(cat(F.lit("s"), "conv_id", F.lit("-"), half).alias("id"), cat(F.lit("v"), "conv_id").alias("video_id"), F.lit("scene").alias("level"), d(half * 30).alias("t0_secs"), d(half * 30 + 30).alias("t1_secs")).distinct()
     secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lit(1704067200.0)
     frames = events.select(cat(F.lit("f"), "event_id").alias("id"), "event_id", cat(F.lit("u"), "user_id").alias("video_id"), secs.alias("t"), ((F.col("event_id") % 1000003) * F.lit(2654435761) % F.lit(4294967296)).alias("phash"), F.col("event_type").alias("kind"), "value")
-    return SimpleNamespace(table=t, transcript=transcript, ocr=line, described=described, evidence=evidence, videos=videos, segments=segments, frames=frames)
+    return SimpleNamespace(index=lambda: indexed(spark, sf_dir, evidence), table=t, transcript=transcript, ocr=line, described=described, evidence=evidence, videos=videos, segments=segments, frames=frames)
+
+
+def indexed(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> TextIndex:
+    """The text index of the tables in ``sf_dir``: written once a session, when first asked for."""
+    known = spark.sparkContext.__dict__.setdefault("_chronolens_indexes", {})
+    if sf_dir not in known:
+        known[sf_dir] = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}").append(evidence, 0)
+    return known[sf_dir]
 
 
 def query(name: str, sql: str | None = None, shared: bool = True):
@@ -89,12 +99,12 @@ def _bm25_sql(source: str = "tok") -> str:
 
 @query("R01_text_search", _bm25_sql() + " SELECT kind, id, video_id, t0, round(score, 6) AS score FROM hits")
 def r01(b):
-    return lexical.bm25(b.evidence, QUERY).select("kind", "id", "video_id", "t0", r6("score", "score"))
+    return lexical.bm25(b.index(), QUERY).select("kind", "id", "video_id", "t0", r6("score", "score"))
 
 
 @query("T01_text_top_k", _bm25_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS n FROM hits) SELECT kind, id, round(score, 6) AS score FROM r WHERE n <= 20 ORDER BY r.score DESC, id LIMIT 20")
 def t01(b):
-    return lexical.top_by_kind(lexical.bm25(b.evidence, QUERY), 20).select("kind", "id", r6("score", "score"))
+    return lexical.top_by_kind(lexical.bm25(b.index(), QUERY), 20).select("kind", "id", r6("score", "score"))
 
 
 _UNITS_SQL = """, has AS (SELECT DISTINCT video_id FROM segments), units AS (
@@ -126,12 +136,12 @@ _GROUP_SQL = (
 
 @query("R03_hybrid_search", _bm25_sql() + _GROUP_SQL + " SELECT video_id, unit, round(score, 6) AS score, n_hits FROM g2 WHERE n <= 3 ORDER BY g2.score DESC, video_id, unit LIMIT 8")
 def r03(b):
-    return hybrid.search(b.evidence, _units(b), QUERY, k=8, per_video=3).select("video_id", F.col("unit").cast("long").alias("unit"), r6("score", "score"), "n_hits")
+    return hybrid.search(b.index(), _units(b), QUERY, k=8, per_video=3).select("video_id", F.col("unit").cast("long").alias("unit"), r6("score", "score"), "n_hits")
 
 
 @query("A07_reciprocal_rank_fusion", _bm25_sql() + _FUSE_SQL + " SELECT kind, id, round(f, 6) AS score FROM fused")
 def a07(b):
-    s = lexical.bm25(b.evidence, QUERY)
+    s = lexical.bm25(b.index(), QUERY)
     return hybrid.fused([hybrid.ranked(s.where(F.col("kind") == k), k, 40) for k in ("transcript", "ocr", "description")]).select("kind", "id", r6("score", "score"))
 
 
@@ -162,8 +172,8 @@ def r13(b):
 
 # ---- mentions and library statistics
 
-TERMS = ["the", "ering the", "licensed under"]
-_FOUND = """+ q(term_i, term, n, a, b) AS (VALUES (0, 'the', 1, 'the', NULL), (1, 'ering the', 2, 'ering', 'the'), (2, 'licensed under', 2, 'licensed', 'under')),
+TERMS = ["the", "ering the", "licensed under", "Zyzzyva Nowhere"]
+_FOUND = """+ q(term_i, term, n, a, b) AS (VALUES (0, 'the', 1, 'the', NULL), (1, 'ering the', 2, 'ering', 'the'), (2, 'licensed under', 2, 'licensed', 'under'), (3, 'Zyzzyva Nowhere', 2, 'zyzzyva', 'nowhere')),
     hit AS (SELECT term_i, term, kind, id, video_id, t0, text FROM tok, q WHERE CASE WHEN n = 1 THEN list_contains(toks, a) ELSE len(list_filter(range(1, len(toks)), lambda i: toks[i] = a AND toks[i + 1] = b)) > 0 END),
     found AS (SELECT term_i, term, kind, id, video_id, t0, text FROM hit WHERE kind <> 'ocr' UNION ALL
         SELECT term_i, term, kind, arg_min(id, (t0, id)), video_id, min(t0), text FROM hit WHERE kind = 'ocr' GROUP BY term_i, term, kind, video_id, text, floor(t0 / 60))"""
@@ -172,13 +182,13 @@ _FOUND = """+ q(term_i, term, n, a, b) AS (VALUES (0, 'the', 1, 'the', NULL), (1
 @query("R05_find_mentions", _FOUND + ", r AS (SELECT *, row_number() OVER (PARTITION BY term_i, kind, video_id ORDER BY t0, id) AS rn, count(*) OVER (PARTITION BY term_i, kind, video_id) AS n_all FROM found) SELECT term, kind, video_id, id, t0, n_all FROM r WHERE rn <= 3")
 def r05(b):
     w = Window.partitionBy("term_i", "kind", "video_id")
-    f = mentions.mentions(b.evidence, TERMS)
+    f = mentions.mentions(b.index(), TERMS)
     return f.withColumn("n_all", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy("t0", "id"))).where("rn <= 3").select("term", "kind", "video_id", "id", "t0", "n_all")
 
 
 @query("A01_mention_counts", _FOUND + " SELECT term, kind, video_id, count(*) AS n FROM found GROUP BY term, kind, video_id")
 def a01(b):
-    return mentions.counts(mentions.mentions(b.evidence, TERMS)).select("term", "kind", "video_id", "n")
+    return mentions.counts(mentions.mentions(b.index(), TERMS)).select("term", "kind", "video_id", "n")
 
 
 @query("A02_lines_once_a_minute", "SELECT video_id, text, CAST(floor(t0 / 60) AS BIGINT) AS minute, min(t0) AS t0 FROM ocr GROUP BY video_id, text, floor(t0 / 60)")
@@ -188,17 +198,17 @@ def a02(b):
 
 @query("A03_video_totals", _FOUND + ", c AS (SELECT term_i, list_position(['transcript', 'ocr', 'description'], kind) AS ki, video_id, count(*) AS n FROM found GROUP BY term_i, kind, video_id), g AS (SELECT video_id, sum(n) AS total, min((term_i, ki, video_id)) AS f FROM c GROUP BY video_id) SELECT row_number() OVER (ORDER BY total DESC, f) AS place, video_id, CAST(total AS BIGINT) AS total FROM g")
 def a03(b):
-    return mentions.video_totals(mentions.mentions(b.evidence, TERMS)).select(F.col("place").cast("long").alias("place"), "video_id", "total")
+    return mentions.video_totals(mentions.mentions(b.index(), TERMS)).select(F.col("place").cast("long").alias("place"), "video_id", "total")
 
 
-@query("A04_counts_by_library", _FOUND + " SELECT term, count(*) AS total, count(DISTINCT video_id) AS videos, count(*) FILTER (WHERE kind = 'transcript') AS n_transcript, count(*) FILTER (WHERE kind = 'ocr') AS n_ocr, count(*) FILTER (WHERE kind = 'description') AS n_description FROM found GROUP BY term")
+@query("A04_counts_by_library", _FOUND + " SELECT q.term, count(kind) AS total, count(DISTINCT video_id) AS videos, count(*) FILTER (WHERE kind = 'transcript') AS n_transcript, count(*) FILTER (WHERE kind = 'ocr') AS n_ocr, count(*) FILTER (WHERE kind = 'description') AS n_description FROM q LEFT JOIN found ON found.term_i = q.term_i GROUP BY q.term")
 def a04(b):
-    return mentions.by_library(mentions.mentions(b.evidence, TERMS)).drop("term_i")
+    return mentions.by_library(mentions.mentions(b.index(), TERMS), TERMS).drop("term_i")
 
 
-@query("R06_counts_by_channel", _FOUND + ", ch AS (SELECT id, coalesce(channel, 'unknown') AS channel FROM videos), h AS (SELECT term, channel, count(*) AS total, count(DISTINCT video_id) AS videos FROM found JOIN ch ON video_id = ch.id GROUP BY term, channel) SELECT t.term, c.channel, coalesce(total, 0) AS total, coalesce(h.videos, 0) AS videos FROM (SELECT DISTINCT term FROM found) t CROSS JOIN (SELECT DISTINCT channel FROM ch) c LEFT JOIN h ON h.term = t.term AND h.channel = c.channel")
+@query("R06_counts_by_channel", _FOUND + ", ch AS (SELECT id, coalesce(channel, 'unknown') AS channel FROM videos), h AS (SELECT term, channel, count(*) AS total, count(DISTINCT video_id) AS videos FROM found JOIN ch ON video_id = ch.id GROUP BY term, channel) SELECT t.term, c.channel, coalesce(total, 0) AS total, coalesce(h.videos, 0) AS videos FROM (SELECT term FROM q) t CROSS JOIN (SELECT DISTINCT channel FROM ch) c LEFT JOIN h ON h.term = t.term AND h.channel = c.channel")
 def r06(b):
-    return mentions.by_channel(mentions.mentions(b.evidence, TERMS), b.videos).drop("term_i")
+    return mentions.by_channel(mentions.mentions(b.index(), TERMS), b.videos, TERMS).drop("term_i")
 
 
 @query("A05_library_stats", "SELECT channel, count(*) AS videos, round(sum(duration_secs), 3) AS secs FROM (SELECT coalesce(channel, 'unknown') AS channel, duration_secs FROM videos) GROUP BY ROLLUP (channel)")
@@ -431,7 +441,7 @@ def a17(b):
 
 @query("A18_retrieval_measures", _bm25_sql() + ", rk AS (SELECT id, video_id, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS rank, kind FROM hits), m AS (SELECT v.id AS q, min(rank) AS rank FROM videos v LEFT JOIN rk ON rk.video_id = v.id AND rk.kind = 'ocr' GROUP BY v.id) SELECT count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hitk, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM m")
 def a18(b):
-    s = lexical.bm25(b.evidence, QUERY, kinds=["ocr"])
+    s = lexical.bm25(b.index(), QUERY, kinds=["ocr"])
     first = s.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id"))).groupBy("video_id").agg(F.min("rank").alias("rank"))
     asked = b.videos.select(F.col("id").alias("video_id")).join(first, "video_id", "left")
     return evaluation.retrieval(asked).select("n", r6("hit1", "hit1"), r6("hitk", "hitk"), r6("mrr", "mrr"))
@@ -515,7 +525,7 @@ def w12(b):
 
 @query("T04_list_depth", _bm25_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS n FROM hits) SELECT kind, id, n AS rank FROM r WHERE n <= 40")
 def t04(b):
-    s = lexical.bm25(b.evidence, QUERY)
+    s = lexical.bm25(b.index(), QUERY)
     return catalog.ranked_once(s, ["kind"], [F.desc("score"), F.col("id")], hybrid.list_depth(8)).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id")).cast("long")).select("kind", "id", "rank")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import providers
-from .functions import text
-from .operators import catalog, evaluation, folds, hybrid, joins, lexical, windows
+from .operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, windows
+from .operators.text_index import matched
 from .queries import _BM25, _UNITS, QUERY, query, r6, units
 from .sources import sampling, subtitles
 from .streaming import live
@@ -51,23 +51,23 @@ def j15(b):
 @query("W03_list_rank", _BM25 + " SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS rank FROM hits")
 def w03(b):
     w = Window.partitionBy("kind").orderBy(F.desc("score"), "id")
-    return lexical.bm25(b.evidence, QUERY).select("id", "kind", F.row_number().over(w).cast("long").alias("rank"))
+    return lexical.bm25(b.index(), QUERY).select("id", "kind", F.row_number().over(w).cast("long").alias("rank"))
 
 
 @query("W04_per_video_cap", _BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, kind, id) AS n FROM hits) SELECT video_id, kind, id FROM r WHERE n <= 2")
 def w04(b):
-    return catalog.ranked_once(lexical.bm25(b.evidence, QUERY), ["video_id"], [F.desc("score"), F.col("kind"), F.col("id")], 2).select("video_id", "kind", "id")
+    return catalog.ranked_once(lexical.bm25(b.index(), QUERY), ["video_id"], [F.desc("score"), F.col("kind"), F.col("id")], 2).select("video_id", "kind", "id")
 
 
 @query("T03_filter_before_limit", _BM25 + " SELECT id, round(score, 6) AS score FROM hits WHERE kind = 'ocr' AND t0 >= 500 AND t0 < 100000 ORDER BY hits.score DESC, id LIMIT 10")
 def t03(b):
-    return lexical.top(lexical.bm25(b.evidence, QUERY, kinds=["ocr"], window=(500, 100000)), 10).select("id", r6("score", "score"))
+    return lexical.top(lexical.bm25(b.index(), QUERY, kinds=["ocr"], window=(500, 100000)), 10).select("id", r6("score", "score"))
 
 
 @query("T05_stable_order", "SELECT row_number() OVER (ORDER BY n DESC, video_id) AS place, video_id, n FROM (SELECT video_id, count(*) AS n FROM evidence GROUP BY video_id)")
 def t05(b):
     g = b.evidence.groupBy("video_id").agg(F.count("*").alias("n"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "video_id")).cast("long"))
+    return mentions.placed(g, [F.desc("n"), F.col("video_id")]).select("place", "video_id", "n")
 
 
 @query("U02_union_of_spans", "SELECT id, t0, row_number() OVER (PARTITION BY video_id ORDER BY t0, id) AS n FROM (SELECT id, video_id, t0 FROM transcript WHERE t1 > 30 UNION ALL SELECT id, video_id, t0 FROM ocr WHERE t0 >= 30)")
@@ -84,7 +84,7 @@ def u04(b):
 
 @query("R10_search_tool", _BM25 + _UNITS + " SELECT video_id, unit, round(score, 6) AS score, least(n_hits, 4) AS n_evidence FROM g2 WHERE n <= 3 ORDER BY g2.score DESC, video_id, unit LIMIT 5")
 def r10(b):
-    return hybrid.search(b.evidence, units(b), QUERY, k=5, per_video=3).select("video_id", F.col("unit").cast("long").alias("unit"), r6("score", "score"), F.size("evidence").cast("long").alias("n_evidence"))
+    return hybrid.search(b.index(), units(b), QUERY, k=5, per_video=3).select("video_id", F.col("unit").cast("long").alias("unit"), r6("score", "score"), F.size("evidence").cast("long").alias("n_evidence"))
 
 
 @query("R12_nearest_thumbnail", "+ p AS (SELECT event_id AS pid, video_id, t + 0.5 AS t FROM frames), c AS (SELECT pid, f.event_id AS near, abs(f.t - p.t) AS d, f.t AS ft FROM p JOIN frames f ON f.video_id = p.video_id AND f.kind <> 'error' AND f.t >= greatest(p.t - 2, 0) AND f.t < p.t + 2) SELECT p.pid, (SELECT 'b' || arg_min(near, (d, ft)) FROM c WHERE c.pid = p.pid) AS thumbnail_blob FROM p")
@@ -96,13 +96,12 @@ def r12(b):
 
 @query("F05_free_text_query", "SELECT kind, id FROM tok WHERE len(list_filter(toks, lambda x: x = 'ering')) > 0 OR len(list_filter(toks, lambda x: starts_with(x, 'estion'))) > 0")
 def f05(b):
-    return lexical.bm25(b.evidence, " the -ering-  (estion) ").select("kind", "id")
+    return lexical.bm25(b.index(), " the -ering-  (estion) ").select("kind", "id")
 
 
 @query("F06_phrase_prefix", "SELECT kind, id FROM tok WHERE len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'licensed' AND starts_with(toks[i + 1], 'un'))) > 0")
 def f06(b):
-    t = text.tokens(F.col("text"))
-    return b.evidence.withColumn("t", t).where(text.phrase_count(F.col("t"), ["licensed", "un"], True) > 0).select("kind", "id")
+    return matched(b.index(), [(["licensed", "un"], True)]).where("f0 > 0").select("kind", "id")
 
 
 @query("S06_info", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y%m%d') AS day FROM events WHERE json_extract(props, '$.k') IS NOT NULL", shared=False)

@@ -9,6 +9,23 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where the session names none and runs in one process, as in tests, is a
+    temporary folder made, once a session; on a cluster it would not be shared.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = getattr(spark.sparkContext, "_chronolens_shared", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="chronolens-")
+        spark.sparkContext._chronolens_shared = found
+    return found.rstrip("/")
+
+
 def ready(spark: SparkSession) -> None:
     """Send this package to the executors, once a session: they need not have it installed."""
     context = spark.sparkContext

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolens import schema, timeq
 from chronolens.agent import Library, RetrievalOnly, ask
 from chronolens.functions import numbers, text
+from chronolens.operators.text_index import TextIndex
 from chronolens.operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, vision, windows
 from chronolens.plans import jobs, planner
 from chronolens.sources import sampling, subtitles
@@ -82,14 +83,60 @@ def test_mentions(spark):
     found = mentions.mentions(_mention_rows(spark), ["anthropic"])
     c = {(r["kind"], r["video_id"]): r["n"] for r in mentions.counts(found).collect()}
     assert c == {("transcript", "a"): 2, ("transcript", "b"): 1, ("ocr", "a"): 1}
-    s = {r["id"]: r["text"] for r in mentions.samples(found, 5).collect()}
+    s = {r["id"]: r["text"] for r in mentions.samples(found, 5, _mention_rows(spark)).collect()}
     assert s["1"] == "[Anthropic] builds models" and s["2"] == "go to console.[anthropic].com today"
     videos = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y")], "id string, channel string")
-    got = {r["channel"]: r["total"] for r in mentions.by_channel(found, videos).collect()}
+    got = {r["channel"]: r["total"] for r in mentions.by_channel(found, videos, ["anthropic"]).collect()}
     assert got == {"x": 3, "unknown": 1, "y": 0}
     assert mentions.mentions(_mention_rows(spark), ["--"]).count() == 0
 
 
+def test_terms_without_hits(spark):
+    terms = ["console anthropic", "absent", "--"]
+    found = mentions.mentions(_mention_rows(spark), terms)
+    assert [tuple(r)[:4] for r in mentions.by_library(found, terms).orderBy("term_i").collect()] == [(0, "console anthropic", 1, 1), (1, "absent", 0, 0)]
+    videos = spark.createDataFrame([("a", "x"), ("b", None)], "id string, channel string")
+    got = {(r["term"], r["channel"]): r["total"] for r in mentions.by_channel(found, videos, terms).collect()}
+    assert got == {("console anthropic", "x"): 1, ("console anthropic", "unknown"): 0, ("absent", "x"): 0, ("absent", "unknown"): 0}
+    assert mentions.by_channel(found, videos, ["--"]).count() == 0
+
+
+def test_fold_and_snippet(spark):
+    one = spark.range(1)
+    for raw, want in (("Dvořák", ["dvorak"]), ("école", ["ecole"]), ("école Été", ["ecole", "ete"]), ("Ångström ở", ["angstrom", "o"]), ("日本 й", ["日本", "й"])):
+        assert text.query_tokens(raw) == want and one.select(text.tokens(F.lit(raw)).alias("t")).first()["t"] == want
+    assert text.snippet_text("the café-shop is open", "cafe shop") == "the [café-shop] is open"
+    assert text.snippet_text("an école here", "ecole") == "an [école] here"
+    assert text.snippet_text("a " * 30 + "hit" + " b" * 30, "hit") == "…" + "a " * 6 + "[hit]" + " b" * 7 + "…"
+    assert text.snippet_text("hit", "miss") == "" == text.snippet_text(None, "x") == text.snippet_text("x", "--")
+    assert text.snippet_text("console use", "con", True) == "[console] use"
+
+
+def test_text_index_upkeep(spark, tmp_path):
+    """A stored index answers as the rows themselves do, after rows are written again and deleted."""
+    rows = _mention_rows(spark)
+    index = TextIndex(spark, f"file://{tmp_path}/a").append(rows, 0)
+    new = spark.createDataFrame([("transcript", "1", "a", 10.0, 20.0, "the anthropic building"), ("transcript", "9", "c", 1.0, 2.0, "Anthropic anthropic models"), ("description", "1", "c", 0.0, 9.0, "models")], rows.schema)
+    index.append(new, 1)
+    index.delete(spark.createDataFrame([("transcript", "3"), ("ocr", "77")], "kind string, id string"), 2)
+    now = rows.where("not (kind = 'transcript' and id in ('1', '3'))").unionByName(new)
+    for source in (index, index.compact(f"file://{tmp_path}/b")):
+        for q in ("anthropic models", "today", "mod", "anthropic.com", "m"):
+            key = lambda df: sorted((*tuple(r)[:5], round(r["score"], 9)) for r in df.collect())
+            assert key(lexical.bm25(source, q)) == key(lexical.bm25(now, q)), q
+        for terms in (["anthropic", "console anthropic"], ["anthropic build"]):
+            key = lambda df: sorted(map(tuple, df.collect()))
+            assert key(mentions.mentions(source, terms, prefix=True)) == key(mentions.mentions(now, terms, prefix=True))
+    assert "regexp_extract_all" not in lexical.bm25(index, "anthropic models")._jdf.queryExecution().toString()
+
+
+def test_places(spark):
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 101).alias("v"), "id")
+    got = mentions.placed(df, [F.desc("v"), F.col("id")]).collect()
+    want = sorted(((r["v"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert [(r["v"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(1, 501))
+
+
 def test_hybrid_units(spark):
     rows = [("transcript", "1", "v", 100.0, 115.0, "alpha beta"), ("transcript", "2", "v", 1840.0, 1855.0, "alpha gamma"), ("transcript", "3", "v", 1900.0, 1915.0, "alpha beta beta"), ("ocr", "4", "v", 1841.0, 1841.0, "beta")]
     ev = spark.createDataFrame(rows, "kind string, id string, video_id string, t0 double, t1 double, text string")
