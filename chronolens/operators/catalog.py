@@ -60,6 +60,18 @@ class Catalog:
         self.read(name).withColumn("__seq", F.lit(0)).withColumn("__deleted", F.lit(False)).write.mode("overwrite").parquet(f"{to.rstrip('/')}/{name}")
 
 
+def put_sessions(old: DataFrame, new: DataFrame, now: Column, secs: int) -> DataFrame:
+    """Sessions after a write: ``new`` (id, state) lives ``secs`` from ``now``, first creation is kept, those expired by ``now`` go."""
+    new = new.select("id", now.alias("created_at"), (now + F.make_interval(secs=F.lit(secs))).alias("expires_at"), "state")
+    both = upsert(old.withColumn("first_at", F.col("created_at")), new.withColumn("first_at", F.lit(None).cast("timestamp")), ["id"], ("first_at",))
+    return both.withColumn("created_at", F.coalesce("first_at", "created_at")).drop("first_at").where(F.col("expires_at") >= now).select(*old.columns)
+
+
+def session_states(sessions: DataFrame, now: Column) -> DataFrame:
+    """id, state of the sessions that can still be read."""
+    return sessions.where(F.col("expires_at") >= now).select("id", "state")
+
+
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last written row of each key, aggregated before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

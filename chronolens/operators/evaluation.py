@@ -72,9 +72,28 @@ def histogram(rows: DataFrame, by: list[str], value: str, bounds: list[float]) -
 
 
 def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int = 1) -> DataFrame:
-    """About ``n`` rows, each stratum in proportion and one of it at least, by a hash of the key."""
+    """About ``n`` rows, each stratum in proportion and one of it at least, by a hash of the key (MD5 of key and seed)."""
     total = rows.count()
     w = Window.partitionBy(stratum)
     quota = F.greatest(F.lit(1), F.round(F.lit(float(n)) * F.count("*").over(w) / F.lit(float(max(total, 1)))).cast("int"))
-    at = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    at = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key))
     return rows.withColumn("__q", quota).withColumn("__n", at).where(F.col("__n") <= F.col("__q")).drop("__q", "__n")
+
+
+_LINE = {"uri": r"^indexing (.+)$", "secs": r"probed: .*?(\d+:\d\d:\d\d(?:\.\d+)?)", "wall": r"^finished .* in (\d+(?:\.\d+)?) ?s"}
+
+
+def run_timings(logs: DataFrame) -> DataFrame:
+    """uri, secs, wall: of each video the run that took longest, from the lines of logs (log, n, line); runs that didn't finish don't count."""
+    at = lambda k: F.nullif(F.regexp_extract("line", _LINE[k], 1), F.lit(""))
+    w = Window.partitionBy("log").orderBy("n")
+    rows = logs.withColumn("line", F.regexp_replace("line", "\x1b\\[[0-9;]*m", "")).withColumn("uri", at("uri"))
+    rows = rows.withColumn("run", F.count("uri").over(w))
+    runs = rows.where("run > 0").groupBy("log", "run").agg(F.max("uri").alias("uri"), F.max(at("secs")).alias("clock"), F.max(at("wall").cast("double")).alias("wall")).where("wall is not null")
+    secs = F.aggregate(F.transform(F.split("clock", ":"), lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a * 60 + x)
+    return runs.groupBy("uri").agg(F.max_by(F.struct(F.coalesce(secs, F.lit(0.0)).alias("secs"), "wall"), F.struct("wall", "log", "run")).alias("r")).select("uri", "r.*")
+
+
+def speed(timings: DataFrame) -> DataFrame:
+    """videos, secs, wall, speed (times real time) over all runs."""
+    return timings.agg(F.count("*").alias("videos"), F.sum("secs").alias("secs"), F.sum("wall").alias("wall"), (F.sum("secs") / F.sum("wall")).alias("speed"))

@@ -44,25 +44,26 @@ def group_cues(cues: list[Cue], target: float = 15.0, gap: float = 2.0) -> list[
     return [tuple(c) for c in out]
 
 
+def cut_step(recent: list[float], since: int, d: float, window: int = 20) -> tuple[bool, list[float], int]:
+    """Does a frame that differs by ``d`` from the one before start a shot? And the distances and frames since the cut, after it."""
+    since, n = since + 1, len(recent)
+    if n >= 3:
+        mean = sum(recent) / n
+        dev = math.sqrt(sum((x - mean) ** 2 for x in recent) / n)
+        odd = d > mean + 3 * dev and d > 2.5 * max(mean, 0.02)
+    else:
+        odd = d >= 0.475
+    cut = d >= 0.25 and (d >= 0.7 or odd) and since > 2
+    return cut, [] if cut else [*recent, d][-window:], 0 if cut else since
+
+
 def shot_cuts(distances: list[float], window: int = 20) -> list[bool]:
     """Which frames start a shot, from their distances to the frame before."""
     recent: list[float] = []
     out, since = [], 0
     for d in distances:
-        since += 1
-        n = len(recent)
-        if n >= 3:
-            mean = sum(recent) / n
-            dev = math.sqrt(sum((x - mean) ** 2 for x in recent) / n)
-            odd = d > mean + 3 * dev and d > 2.5 * max(mean, 0.02)
-        else:
-            odd = d >= 0.475
-        cut = d >= 0.25 and (d >= 0.7 or odd) and since > 2
+        cut, recent, since = cut_step(recent, since, d, window)
         out.append(cut)
-        if cut:
-            recent, since = [], 0
-        else:
-            recent = [*recent, d][-window:]
     return out
 
 
@@ -201,19 +202,15 @@ def scenes(spans: list[tuple[float, float]], strength: list[float], weak: float
 
 def depth_scores(similarity: list[float]) -> list[float]:
     """How deep each gap's similarity lies under the peaks on both sides."""
-    out = []
-    for i, s in enumerate(similarity):
-        left = right = s
-        for x in reversed(similarity[:i]):
-            if x < left:
-                break
-            left = x
-        for x in similarity[i + 1 :]:
-            if x < right:
-                break
-            right = x
-        out.append((left - s) + (right - s))
-    return out
+    n = len(similarity)
+    left, right = list(similarity), list(similarity)
+    for i in range(1, n):
+        if similarity[i - 1] >= similarity[i]:
+            left[i] = left[i - 1]
+    for i in range(n - 2, -1, -1):
+        if similarity[i + 1] >= similarity[i]:
+            right[i] = right[i + 1]
+    return [(a - s) + (b - s) for a, s, b in zip(left, similarity, right)]
 
 
 def chapters(starts: list[float], total: float, depth: list[float], bonus: list[bool], each: float = 600.0, least: float = 180.0) -> list[tuple[float, float]]:

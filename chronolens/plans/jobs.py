@@ -18,6 +18,10 @@ class Files:
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._copy = jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray
         self._data = jvm.java.io.DataInputStream
+        self.fs.mkdirs(self._path(self.root))
+        self.context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri() if "://" in self.root else self.fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        self._over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        self._over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
 
     def put(self, name: str, text: str) -> None:
         """Write aside, then rename: a reader sees the old file or the new, never a part."""
@@ -25,9 +29,8 @@ class Files:
         out = self.fs.create(aside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(at, False)
-        if not self.fs.rename(aside, at):
-            raise OSError(f"{name} can't be put in place")
+        # one step that takes the old file's place, where ``FileSystem.rename`` would not
+        self.context.rename(aside, at, self._over)
 
     def get(self, name: str) -> str | None:
         at = self._path(f"{self.root}/{name}")

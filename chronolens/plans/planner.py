@@ -8,7 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from hashlib import sha256
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -27,8 +28,16 @@ class Operator(ABC):
 
     def cache_key(self, content: str, providers: dict[str, str] | None = None) -> str:
         """Equal for equal content, version, settings and the providers it is bound to."""
+        return sha256(self._keyed(content, providers).encode()).hexdigest()
+
+    def _keyed(self, content: str, providers: dict[str, str] | None) -> str:
         used = {r: (providers or {}).get(r) for r in self.roles}
-        return sha256(json.dumps([self.id, self.version, content, self.params, used], sort_keys=True).encode()).hexdigest()
+        return json.dumps([self.id, self.version, content, self.params, used], sort_keys=True)
+
+    def cache_keys(self, content: Column, providers: dict[str, str] | None = None) -> Column:
+        """``cache_key`` of a column of content keys (hex)."""
+        head, tail = self._keyed("\0", providers).split("\\u0000")
+        return F.sha2(F.concat(F.lit(head), content, F.lit(tail)), 256)
 
 
 class Registry:
@@ -103,6 +112,7 @@ def execute(stages: list[Operator], tables: dict[str, DataFrame], cached: dict[s
     return out
 
 
-def estimate(secs: float, samples: int, audio: bool, prices: dict[str, float]) -> float:
-    """Cost of a video: per minute of speech recognised, per frame embedded or described."""
-    return secs / 60 * prices.get("speech_minute", 0.0) * audio + samples * prices.get("frame", 0.0)
+def estimate(secs: float | Column, samples: int | Column, audio: bool | Column, prices: dict[str, float]) -> float | Column:
+    """Cost of a video, or of a column of videos: per minute of speech recognised, per frame embedded or described."""
+    heard = audio.cast("double") if isinstance(audio, Column) else float(audio)
+    return secs / 60 * prices.get("speech_minute", 0.0) * heard + samples * prices.get("frame", 0.0)

@@ -7,6 +7,8 @@ events are frames of their user's recording, embeddings are vectors.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
@@ -15,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, vector_search, windows
+from . import schema
+from .operators import catalog, described, evaluation, folds, hybrid, joins, lexical, mentions, vector_search, windows
 from .operators.text_index import TextIndex
+from .plans.planner import Operator, estimate
+from .providers import Llm
 from .session import ready, shared_dir
 from .sources import sampling, subtitles
 from .streaming import live
@@ -54,7 +59,7 @@ def base(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     segments = conv.select(cat(F.lit("s"), "conv_id", F.lit("-"), half).alias("id"), cat(F.lit("v"), "conv_id").alias("video_id"), F.lit("scene").alias("level"), d(half * 30).alias("t0_secs"), d(half * 30 + 30).alias("t1_secs")).distinct()
     secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lit(1704067200.0)
     frames = events.select(cat(F.lit("f"), "event_id").alias("id"), "event_id", cat(F.lit("u"), "user_id").alias("video_id"), secs.alias("t"), ((F.col("event_id") % 1000003) * F.lit(2654435761) % F.lit(4294967296)).alias("phash"), F.col("event_type").alias("kind"), "value")
-    return SimpleNamespace(index=lambda: indexed(spark, sf_dir, evidence), table=t, transcript=transcript, ocr=line, described=described, evidence=evidence, videos=videos, segments=segments, frames=frames)
+    return SimpleNamespace(spark=spark, index=lambda: indexed(spark, sf_dir, evidence), table=t, transcript=transcript, ocr=line, described=described, evidence=evidence, videos=videos, segments=segments, frames=frames)
 
 
 def indexed(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> TextIndex:
@@ -458,15 +463,27 @@ def a20(b):
     return b.table("labels").groupBy(F.col("quality").alias("predicted"), F.col("toxic").alias("actual")).agg(F.count("*").alias("n"))
 
 
-@query("A21_longest_run", "+ r AS (SELECT video_id, max(t) AS secs, sum(value) AS wall FROM frames GROUP BY video_id) SELECT count(*) AS videos, round(sum(secs), 3) AS secs, round(sum(secs) / sum(wall), 6) AS speed FROM r")
+@query("A21_longest_run", """+ r AS (SELECT video_id, CAST(floor(t) AS BIGINT) AS secs, 1 + event_id % 97 AS wall, event_id FROM frames WHERE event_id % 5 <> 0),
+    k AS (SELECT video_id, arg_max(secs, (wall, event_id)) AS secs, max(wall) AS wall FROM r GROUP BY video_id)
+    SELECT count(*) AS videos, CAST(sum(secs) AS DOUBLE) AS secs, CAST(sum(wall) AS DOUBLE) AS wall, round(sum(secs) / sum(wall), 6) AS speed FROM k""")
 def a21(b):
-    r = b.frames.groupBy("video_id").agg(F.max("t").alias("secs"), F.sum("value").alias("wall"))
-    return r.agg(F.count("*").alias("videos"), F.round(F.sum("secs"), 3).alias("secs"), r6(F.sum("secs") / F.sum("wall"), "speed"))
-
-
-@query("A22_cost_estimate", "SELECT id, round(duration_secs / 60 * 0.006 + ceil(duration_secs) * 0.003, 6) AS cost FROM videos")
+    """Each event is a run of its user's video in a log of its own; every fifth didn't finish."""
+    log = F.lpad(F.col("event_id").cast("string"), 20, "0").alias("log")
+    secs = F.floor("t")
+    clock = F.format_string("%d:%02d:%02d", F.floor(secs / 3600), F.floor(secs / 60) % 60, secs % 60)
+    lines = F.array(
+        F.concat(F.lit("\x1b[1mindexing "), "video_id"),
+        F.concat(F.lit("  probed: "), "video_id", F.lit(" "), clock),
+        F.lit("  asr done: 10 items in 2.0 s"),
+        F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("finished 3 samples in "), (1 + F.col("event_id") % 97).cast("string"), F.lit(" s"))),
+    )
+    logs = b.frames.select(log, F.posexplode(F.array_compact(lines)).alias("n", "line"))
+    return evaluation.speed(evaluation.run_timings(logs)).select("videos", "secs", "wall", r6("speed", "speed"))
+
+
+@query("A22_cost_estimate", "SELECT id, round(CASE WHEN id LIKE 'v%' THEN duration_secs / 60 * 0.006 ELSE 0 END + ceil(duration_secs / 2) * 0.003, 6) AS cost FROM videos")
 def a22(b):
-    return b.videos.select("id", r6(F.col("duration_secs") / 60 * 0.006 + F.ceil("duration_secs") * 0.003, "cost"))
+    return b.videos.select("id", r6(estimate(F.col("duration_secs"), F.ceil(F.col("duration_secs") / 2), F.col("id").startswith("v"), {"speech_minute": 0.006, "frame": 0.003}), "cost"))
 
 
 @query("A23_latency_histogram", "SELECT kind, CASE WHEN value <= 5 THEN 0 WHEN value <= 10 THEN 1 WHEN value <= 25 THEN 2 WHEN value <= 50 THEN 3 WHEN value <= 100 THEN 4 WHEN value <= 250 THEN 5 ELSE 6 END AS bucket, count(*) AS n FROM frames GROUP BY 1, 2")
@@ -529,7 +546,7 @@ def t04(b):
     return catalog.ranked_once(s, ["kind"], [F.desc("score"), F.col("id")], hybrid.list_depth(8)).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "id")).cast("long")).select("kind", "id", "rank")
 
 
-@query("T06_stratified_sample")
+@query("T06_stratified_sample", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|1'), doc_id) AS n, greatest(1, round(100.0 * count(*) OVER (PARTITION BY lang) / (SELECT count(*) FROM documents))) AS quota FROM documents) SELECT doc_id, lang FROM r WHERE n <= quota", shared=False)
 def t06(b):
     return evaluation.stratified(b.table("documents"), "doc_id", "lang", 100).select("doc_id", "lang")
 
@@ -555,11 +572,11 @@ def u05(b):
 # ---- sources and sinks
 
 
-@query("S01_source_dispatch", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '^(s3a?|gs|az|abfss?|r2)://') THEN 'object_store' WHEN regexp_matches(lower(url), '^https?://') THEN CASE WHEN regexp_matches(lower(url), 'youtube.com/|youtu.be/|vimeo.com/') THEN 'video_site' ELSE 'http' END ELSE 'local_file' END AS reader FROM pages", shared=False)
+@query("S01_source_dispatch", "SELECT page_id, CASE WHEN regexp_matches(lower(u), '^(s3a?|gs|az|abfss?|r2)://') THEN 'object_store' WHEN regexp_matches(lower(u), '^https?://') THEN CASE WHEN regexp_matches(lower(u), 'youtube.com/|youtu.be/|vimeo.com/') THEN 'video_site' ELSE 'http' END ELSE 'local_file' END AS reader FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'S3://b/' || page_id WHEN 2 THEN 'https://youtu.be/' || page_id ELSE '/data/' || page_id || '.mp4' END AS u FROM pages)", shared=False)
 def s01(b):
-    low = F.lower("url")
-    site = F.when(low.rlike("youtube.com/|youtu.be/|vimeo.com/"), "video_site").otherwise("http")
-    return b.table("pages").select("page_id", F.when(low.rlike("^(s3a?|gs|az|abfss?|r2)://"), "object_store").when(low.rlike("^https?://"), site).otherwise("local_file").alias("reader"))
+    kind = F.col("page_id") % 4
+    u = F.when(kind == 0, F.col("url")).when(kind == 1, F.concat(F.lit("S3://b/"), "page_id")).when(kind == 2, F.concat(F.lit("https://youtu.be/"), "page_id")).otherwise(F.concat(F.lit("/data/"), "page_id", F.lit(".mp4")))
+    return b.table("pages").select("page_id", subtitles.dispatched(u).alias("reader"))
 
 
 @query("S08_cues", "SELECT conv_id, turn AS n, CAST(turn * 15 AS DOUBLE) AS t0, CAST(turn * 15 + 14.5 AS DOUBLE) AS t1, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''", shared=False)
@@ -615,14 +632,24 @@ def k05(b):
     return b.table("pages").select("page_id", subtitles.blob_key(F.col("html")).alias("blob"))
 
 
-@query("K06_sessions", "SELECT user_id, max(event_id) AS last FROM events WHERE ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-02' GROUP BY user_id", shared=False)
+@query("K06_sessions", "WITH e AS (SELECT 'u' || user_id AS id, event_id, event_type AS state, event_id % 2 AS later FROM events), a AS (SELECT id, arg_max(state, event_id) AS state FROM e WHERE later = 0 GROUP BY id), z AS (SELECT id, arg_max(state, event_id) AS state FROM e WHERE later = 1 AND hash_ = 0 GROUP BY id) SELECT coalesce(z.id, a.id) AS id, coalesce(z.state, a.state) AS state, CASE WHEN a.id IS NULL THEN 90 ELSE 0 END AS created FROM a FULL JOIN z ON a.id = z.id WHERE z.id IS NOT NULL".replace("hash_ = 0", "event_id % 3 = 0"), shared=False)
 def k06(b):
-    return b.table("events").where(F.expr("ts + interval 24 hours > timestamp_ntz'2024-01-02'")).groupBy("user_id").agg(F.max("event_id").alias("last"))
-
-
-@query("K09_cache_markers", "SELECT doc_id, sha256(concat_ws('|', 'ocr', '3', text)) AS marker FROM documents", shared=False)
+    """Sessions of 60 s: some are written again 90 s later, and those that aren't have expired by then."""
+    e = b.table("events").select(F.concat(F.lit("u"), "user_id").alias("id"), "event_id", F.col("event_type").alias("state"))
+    last = lambda rows: rows.groupBy("id").agg(F.max_by("state", "event_id").alias("state"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    then = start + F.expr("interval 90 seconds")
+    none = schema.empty(b.spark, "sessions")
+    first = catalog.put_sessions(none, last(e.where("event_id % 2 = 0")), start, 60)
+    second = catalog.put_sessions(first, last(e.where("event_id % 2 = 1 and event_id % 3 = 0")), then, 60)
+    made = second.select("id", F.unix_timestamp("created_at").alias("c"))
+    return catalog.session_states(second, then).join(made, "id").select("id", "state", (F.col("c") - F.unix_timestamp(start)).cast("int").alias("created"))
+
+
+@query("K09_cache_markers", "SELECT doc_id, sha256('[\"ocr\", 3, \"' || sha256(text) || '\", {\"lines\": 2}, {\"reader\": \"r1\"}]') AS marker FROM documents", shared=False)
 def k09(b):
-    return b.table("documents").select("doc_id", F.sha2(F.concat_ws("|", F.lit("ocr"), F.lit("3"), "text"), 256).alias("marker"))
+    op = Operator("ocr", version=3, roles=("reader",), params={"lines": 2})
+    return b.table("documents").select("doc_id", op.cache_keys(F.sha2("text", 256), {"reader": "r1", "other": "x"}).alias("marker"))
 
 
 # ---- indexing operators
@@ -633,10 +660,40 @@ def o04(b):
     return b.table("pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
-@query("O19_entities", "SELECT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS name, arg_min(p_brand, p_partkey) AS kind, count(*) AS mentions FROM part GROUP BY 1", shared=False)
+#: the first run of plain letters of each span, which the stand-in for a model names
+_LINES = "+ w AS (SELECT video_id, id, t0, regexp_extract(split_part(text, chr(10), 1), '[A-Za-z]+') AS name FROM transcript)"
+
+
+class _FirstWord(Llm):
+    """Answers with the first word of each line as an entity that takes part in an event, in loose JSON with prose around it."""
+
+    def generate(self, prompts):
+        out = []
+        for p in prompts:
+            entities, events = [], []
+            for h, m, s, rest in re.findall(r"^\[(\d\d):(\d\d):(\d\d)\] (.*)$", p, re.M):
+                t, found = int(h) * 3600 + int(m) * 60 + int(s), re.search("[A-Za-z]+", rest)
+                name = found[0] if found else ""
+                entities.append({"name": name, "kind": "person" if len(name) % 2 == 0 else "thing", "mentions": [{"t0": t, "t1": t - 1}, {"t0": "x"}]})
+                events.append({"t0": t, "t1": t + 5, "text": f" {name} ", "participants": [name.upper(), "nobody"]})
+            out.append("Here it is:\n```json\n" + json.dumps({"entities": entities, "events": events})[:-1] + ",}\n```")
+        return out
+
+
+def _extracted(b) -> DataFrame:
+    none = b.transcript.select("video_id", "t0", "text").where("false")
+    return described.extracted(described.replies(described.prompts(described.lines_of(b.transcript, none)), _FirstWord()))
+
+
+@query("O19_entities", _LINES + """, e AS (SELECT video_id, t0, id, lower(name) AS canonical_name, name, CASE WHEN length(name) % 2 = 0 THEN 'person' ELSE 'concept' END AS kind FROM w WHERE name <> '')
+    SELECT video_id, canonical_name, arg_min(name, (t0, id)) AS name, arg_min(kind, (t0, id)) AS kind, count(*) AS mentions FROM e GROUP BY video_id, canonical_name""")
 def o19(b):
-    name = F.lower(F.trim(F.regexp_replace("p_type", r"\s+", " ")))
-    return b.table("part").groupBy(name.alias("name")).agg(F.min_by("p_brand", "p_partkey").alias("kind"), F.count("*").alias("mentions"))
+    return described.entities(_extracted(b))
+
+
+@query("O19_events", _LINES + ", k AS (SELECT video_id, lower(name) AS c FROM w WHERE name <> '' GROUP BY ALL) SELECT w.video_id, t0, t0 + 5 AS t1, name AS text, lower(name) AS participants FROM w")
+def o19b(b):
+    return described.events(_extracted(b)).withColumn("participants", F.array_join("participants", "|"))
 
 
 def _by_video(b, schema: str, fold):
@@ -654,9 +711,20 @@ def o03(b):
     return folds.folded(b.transcript.select("video_id", "t0", "t1", "text", "id"), ["video_id"], "video_id string, t0 double, t1 double, text string", lambda p: folds.group_cues(list(p.sort_values(["t0", "id"])[["t0", "t1", "text"]].itertuples(index=False, name=None)), 45.0))
 
 
-@query("O05_shots")
+_SHOTS = _F.replace("rn FROM frames", "rn, abs(value - lag(value) OVER (PARTITION BY video_id ORDER BY t, event_id)) / 500 AS d FROM frames") + """, s AS (
+    SELECT video_id, rn, t, [coalesce(d, 0)] AS recent, 1 AS since, false AS cut FROM f WHERE rn = 1 UNION ALL
+    SELECT video_id, rn, t, CASE WHEN cut THEN [] ELSE list_slice(list_append(recent, d), -20, -1) END, CASE WHEN cut THEN 0 ELSE since END, cut FROM (
+        SELECT *, d >= 0.25 AND (d >= 0.7 OR odd) AND since > 2 AS cut FROM (
+            SELECT f.video_id, f.rn, f.t, f.d, s.recent, s.since + 1 AS since, CASE WHEN len(s.recent) >= 3 THEN f.d > list_avg(s.recent) + 3 * list_stddev_pop(s.recent) AND f.d > 2.5 * greatest(list_avg(s.recent), 0.02) ELSE f.d >= 0.475 END AS odd
+            FROM s JOIN f ON f.video_id = s.video_id AND f.rn = s.rn + 1))),
+    z AS (SELECT video_id, max(t) + 1 AS z FROM f GROUP BY video_id),
+    b AS (SELECT video_id, CAST(0 AS DOUBLE) AS t0 FROM z UNION SELECT s.video_id, s.t FROM s WHERE cut AND t > 0)"""
+
+
+@query("O05_shots", _SHOTS + " SELECT video_id, round(t0, 6) AS t0, round(coalesce(lead(t0) OVER (PARTITION BY video_id ORDER BY t0), z), 6) AS t1 FROM b JOIN z USING (video_id)")
 def o05(b):
-    return _by_video(b, "video_id string, t0 double, t1 double", lambda p: folds.shots(p.t.tolist(), [0.0, *(p.value.diff().abs().iloc[1:] / 500).tolist()], float(p.t.max()) + 1))
+    out = _by_video(b, "video_id string, t0 double, t1 double", lambda p: folds.shots(p.t.tolist(), [0.0, *(p.value.diff().abs().iloc[1:] / 500).tolist()], float(p.t.max()) + 1))
+    return out.select("video_id", r6("t0", "t0"), r6("t1", "t1"))
 
 
 @query("O09_kept_frames", _F + """, s AS (SELECT video_id, rn, event_id, phash AS kept, true AS keep FROM f WHERE rn = 1 UNION ALL

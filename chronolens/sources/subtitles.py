@@ -55,10 +55,11 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
     return info(raw)
 
 
-def info(raw: DataFrame) -> DataFrame:
+def info(raw: DataFrame, *keys: str) -> DataFrame:
+    """The columns ``keys``, then what is read of a file; chapters that don't end after they start are dropped."""
     day = F.try_to_timestamp("upload_date", F.lit("yyyyMMdd"))
     good = F.filter("chapters", lambda c: c["end_time"] > c["start_time"])
-    return raw.select("title", F.coalesce("channel", "uploader").alias("channel"), F.coalesce(day, F.timestamp_seconds("timestamp")).alias("published_at"), "description", F.col("duration").alias("duration_secs"), good.alias("chapters"))
+    return raw.select(*keys, "title", F.coalesce("channel", "uploader").alias("channel"), F.coalesce(day, F.timestamp_seconds("timestamp")).alias("published_at"), "description", F.col("duration").alias("duration_secs"), good.alias("chapters"))
 
 
 def imported_chapters(infos: DataFrame, by: str) -> DataFrame:
@@ -84,6 +85,19 @@ def write_blobs(rows: DataFrame, content: str, path: str) -> None:
     rows.select(F.sha2(F.col(content), 256).alias("hash"), F.col(content).alias("content")).where("content is not null").dropDuplicates(["hash"]).write.mode("append").parquet(path)
 
 
+def dispatched(source: Column) -> Column:
+    """``dispatch`` of a column."""
+    low = F.lower(source)
+    site = F.when(low.rlike(r"youtube\.com/|youtu\.be/|vimeo\.com/"), "video_site").otherwise("http")
+    return F.when(low.rlike(r"^(s3a?|gs|az|abfss?|r2)://"), "object_store").when(low.rlike("^https?://"), site).otherwise("local_file")
+
+
+def expanded(spark: SparkSession, source: str, pattern: str = "*.{mp4,mkv,webm,mov,avi,m4v}") -> DataFrame:
+    """path, length, modified of the media files that a source holds: the file itself, or all under a folder or an object prefix; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(source)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def dispatch(source: str) -> str:
     """Which reader takes a source."""
     low = source.lower()

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import cut_step
+
 COARSE = ("sample", "shot_boundary", "vad_stream", "asr", "ocr")
 
 
@@ -47,7 +49,6 @@ def within_budget(spend: DataFrame, by: list[str], t: str, cost: str, cap: float
     return trailing_sum(spend, by, t, cost, hour).withColumn("allowed", F.col("trailing") <= cap)
 
 
-UTTERANCE = "user_id long, t0 double, t1 double, n long"
 _STATE = "t0 double, t1 double, n long"
 
 
@@ -70,6 +71,82 @@ def utterances_of(times: list[float], most: float = 15.0, gap: float = 3.0) -> l
     return out + ([open_] if open_ else [])
 
 
+def shot_step(state: tuple, t: float, d: float) -> tuple[tuple, tuple | None]:
+    """(open shot, closed one) after a frame at ``t`` that differs by ``d`` from the one before.
+
+    The open shot is (number, start, latest time, recent distances, frames since its cut); its number is its stable name.
+    """
+    number, t0, _, recent, since = state
+    cut, recent, since = cut_step(recent, since, d)
+    return ((number + 1, t, t, recent, since), (number, t0, t)) if cut else ((number, t0, t, recent, since), None)
+
+
+def shots_by_tick(times: list[float], distances: list[float], tick: float) -> list[tuple[int, float, float, bool, float]]:
+    """(number, start, end, closed, at): a closed shot once, the open one at each tick of stream time and at the end."""
+    out: list[tuple[int, float, float, bool, float]] = []
+    state, due = None, None
+    for t, d in zip(times, distances):
+        if state is None:
+            state, due = (0, t, t, [d], 1), t + tick
+            continue
+        while t >= due:
+            out.append((state[0], state[1], state[2], False, due))
+            due += tick
+        state, closed = shot_step(state, t, d)
+        if closed:
+            out.append((*closed, True, t))
+    if state:
+        out.append((state[0], state[1], state[2], False, times[-1]))
+    return out
+
+
+def latest_shots(upserts: DataFrame, by: list[str]) -> DataFrame:
+    """The shots that a feed of upserts comes to: a closed one is final, else the last written counts."""
+    return upserts.groupBy(*by, "number").agg(F.max_by(F.struct("t0", "t1", "closed"), F.struct("closed", "at")).alias("s")).select(*by, "number", "s.*")
+
+
+def shots(stream: DataFrame, key: str = "video_id", t: str = "t", d: str = "d", ts: str = "ts", tick: float = 5.0) -> DataFrame:
+    """Shots of a stream of frames (key, t, distance, event time) as upserts (key, number, t0, t1, closed, at): closed ones once, the open one a tick.
+
+    Rows of a key must come in order of time over batches.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        held = state.get if state.exists else None
+        open_, due = ((held[0], held[1], held[2], list(held[3]), held[4]), held[5]) if held else (None, 0.0)
+        if state.hasTimedOut:
+            out.append((k[0], open_[0], open_[1], open_[2], False, open_[2]))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(t)
+            for x, dist in zip(rows[t].astype(float), rows[d].astype(float)):
+                if open_ is None:
+                    open_, due = (0, x, x, [dist], 1), x + tick
+                    continue
+                while x >= due:
+                    out.append((k[0], open_[0], open_[1], open_[2], False, due))
+                    due += tick
+                open_, closed = shot_step(open_, x, dist)
+                if closed:
+                    out.append((k[0], *closed, True, x))
+            state.update((*open_, due))
+            state.setTimeoutTimestamp(max(int(rows[ts].max().timestamp() * 1000 + tick * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "number", "t0", "t1", "closed", "at"])
+
+    kept = "number long, t0 double, t1 double"
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, {kept}, closed boolean, at double"
+    return stream.groupBy(key).applyInPandasWithState(step, schema, f"{kept}, recent array<double>, since long, due double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def anchored(rows: DataFrame, by: list[str], order: list[str], t: str, gap: float) -> DataFrame:
+    """``rows`` with the clock anchored anew after each gap: session, since (seconds after its anchor), flush (the last row before a gap, or of all)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    new = F.coalesce(F.col(t) - F.lag(t).over(w) > gap, F.lit(False))
+    rows = rows.withColumn("session", F.sum(new.cast("long")).over(w)).withColumn("flush", F.coalesce(F.lead(t).over(w) - F.col(t) > gap, F.lit(True)))
+    return rows.withColumn("since", F.col(t) - F.min(t).over(Window.partitionBy(*by, "session")))
+
+
 def utterances(stream: DataFrame, key: str = "user_id", t: str = "t", ts: str = "ts", most: float = 15.0, gap: float = 3.0) -> DataFrame:
     """Utterances of a stream of sounds (key, t, event time): closed ones are emitted once; the last when event time passes its gap.
 
@@ -93,9 +170,10 @@ def utterances(stream: DataFrame, key: str = "user_id", t: str = "t", ts: str =
                 state.update(tuple(open_))
                 at = int(rows[ts].max().timestamp() * 1000 + gap * 1000)
                 state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "t0", "t1", "n"])
+        yield pd.DataFrame(out, columns=[key, "t0", "t1", "n"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, UTTERANCE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, {_STATE}"
+    return stream.groupBy(key).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def follow(rows: DataFrame, seen: DataFrame, since: DataFrame) -> DataFrame:

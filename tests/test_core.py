@@ -1,3 +1,4 @@
+import datetime
 import json
 import sqlite3
 
@@ -5,13 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolens import schema, timeq
+from chronolens import providers, schema, timeq
 from chronolens.agent import Library, RetrievalOnly, ask
 from chronolens.functions import numbers, text
+from chronolens.operators import catalog, described, evaluation, folds, hybrid, joins, lexical, mentions, vision, windows
 from chronolens.operators.text_index import TextIndex
-from chronolens.operators import catalog, evaluation, folds, hybrid, joins, lexical, mentions, vision, windows
 from chronolens.plans import jobs, planner
-from chronolens.sources import sampling, subtitles
+from chronolens.sources import questions, sampling, subtitles
 from chronolens.streaming import live
 
 
@@ -321,3 +322,82 @@ def test_jobs(spark, tmp_path):
     done = {"asr": {"state": "done"}, "describe": {"state": "done"}}
     assert jobs.index_state(done, ("describe",)) == "fine" and jobs.index_state(done, ("scenes",)) == "coarse"
     assert jobs.index_state({"asr": {"state": "failed"}}, ()) == "failed"
+
+
+def test_description_text():
+    assert described.description('```json\n{"summary": "A room.", "people": ["a cook"], "objects": [{"name": "chairs", "count": 2}, {"name": "x", "count": 0}, {"name": "pan", "count": 1.6}, "lamp"], "actions": "stirs!", "on_screen_text": null}\n```')[0] == "A room. a cook. 2 chairs, 2 pan, lamp. stirs!"
+    assert described.description('{"topics": ["t", ""], "summary": " s ", "visible": ["a", 3]}') == ("s a; 3 t", '{"topics":["t",""],"summary":" s ","visible":["a",3]}')
+    assert described.description(" just prose ") == ("just prose", None) and described.description(None) == ("", None) and described.description("[1]") == ("[1]", None)
+    assert described.description("{}")[0] == "{}"
+
+
+def test_object_in():
+    assert described.object_in('ok {"a": [1, 2,], "b": "x,}",} bye') == {"a": [1, 2], "b": "x,}"}
+    assert described.object_in('{"a": "q\\",]"}') == {"a": 'q",]'} and described.object_in("[1]") is None and described.object_in(None) is None and described.object_in("} {") is None
+
+
+def test_extraction(spark):
+    asked = spark.createDataFrame([("v", 300.0, '{"entities": [{"name": "Bob  Lee", "kind": "place"}], "events": [{"t0": 301, "t1": 300, "text": "late", "participants": ["ann", "bob lee"]}]}'), ("v", 0.0, '{"entities": [{"name": " bob lee", "kind": "person", "mentions": [{"t0": 1, "t1": 2}]}, {"name": ""}], "events": [{"t0": 1, "t1": 4, "text": "early", "participants": ["Bob Lee", "ann"]}, {"t0": 1}]}'), ("w", 0.0, "no")], "video_id string, w0 double, reply string")
+    found = described.extracted(asked)
+    assert [tuple(r) for r in described.entities(found).collect()] == [("v", "bob lee", "bob lee", "person", 1)]
+    assert sorted(tuple(r)[1:] for r in described.events(found).collect()) == [(1.0, 4.0, "early", ["bob lee"]), (301.0, 301.0, "late", ["bob lee"])]
+    lines = spark.createDataFrame([("v", 310.0, "b"), ("v", 5.0, "a"), ("v", 1.0, "c")], "video_id string, t double, line string")
+    assert [tuple(r) for r in described.prompts(lines).orderBy("w0").collect()] == [("v", 0.0, "c\na"), ("v", 300.0, "b")]
+
+
+def test_described_before(spark):
+    seg = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    d = spark.createDataFrame([("segment", "s1", "p1"), ("segment", "s2", "p2")], "target_kind string, target_id string, provenance_id string")
+    prov = spark.createDataFrame([("p1", "vlm_describe", "h", "o", "m"), ("p2", "vlm_describe", "other", "o", "m")], "id string, operator string, prompt_hash string, provider string, model string")
+    assert [r["id"] for r in described.undescribed(seg, d, prov, "h", "o", "m").collect()] == ["s2"]
+
+
+def test_job_files_take_each_others_place(spark, tmp_path):
+    files = jobs.Files(spark, f"file://{tmp_path}/jobs")
+    for k in range(3):
+        jobs.save(files, "j", {"asr": {"done": k}})
+    assert jobs.load(files, "j") == {"asr": {"done": 2}} and jobs.load(files, "other") == {}
+    assert [p.name for p in (tmp_path / "jobs").iterdir() if not p.name.startswith(".")] == ["job-j.json"]
+
+
+def test_reranked(spark):
+    rows = spark.createDataFrame([("1", "a cat"), ("2", "cat dog"), ("3", None), ("4", "dog cat")], "id string, text string")
+    assert [r["id"] for r in providers.reranked(rows, "dog cat", providers.OverlapReranker(), 3).collect()] == ["2", "4", "1"]
+
+
+def _streamed(spark, tmp_path, make, rows, schema):
+    for k in range(0, len(rows), 4):
+        spark.createDataFrame(rows[k : k + 4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 second")
+    q = make(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+
+
+def test_live_shots_and_utterances(spark, tmp_path):
+    """Streams keyed by strings: the open shot a tick, the closed one once; what they come to equals the batch."""
+    at = lambda t: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t)
+    d = [0.0, 0.01, 0.02, 0.01, 0.9, 0.0, 0.01, 0.02]
+    rows = [("v", float(i), d[i], at(i)) for i in range(8)]
+    schema = "video_id string, t double, d double, ts timestamp"
+    got = _streamed(spark, tmp_path / "a", lambda s: live.shots(s, tick=3.0), rows, schema)
+    closed = [r for r in got if r[4]]
+    assert closed == [("v", 0, 0.0, 4.0, True, 4.0)] and {(r[1], r[5]) for r in got if not r[4]} >= {(0, 3.0), (1, 6.0)}
+    batch = [("v", *r) for r in live.shots_by_tick([r[1] for r in rows], d, 3.0)]
+    ups = spark.createDataFrame(batch, "video_id string, number long, t0 double, t1 double, closed boolean, at double")
+    assert [tuple(r) for r in live.latest_shots(ups, ["video_id"]).orderBy("number").collect()] == [("v", 0, 0.0, 4.0, True), ("v", 1, 4.0, 7.0, False)]
+    rows = [("w", t, at(t)) for t in (0.0, 1.0, 2.0, 9.0, 10.0, 30.0, 60.0, 61.0)]
+    got = _streamed(spark, tmp_path / "b", lambda s: live.utterances(s, "video_id"), rows, "video_id string, t double, ts timestamp")
+    assert set(got) >= {("w", 0.0, 2.0, 3), ("w", 9.0, 10.0, 2)}
+
+
+def test_questions(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps([{"key": "k1", "video_id": "v", "question": "why", "answer_choice_0": "a", "answer_choice_1": "b", "answer": "b"}, {"key": "k2", "question": "x", "answer": "c", "answer_id": 2}, {"key": "k3"}]))
+    got = [tuple(r)[1:6] for r in questions.read(spark, "minerva", f"{tmp_path}/m.json").orderBy("id").collect()]
+    assert got == [("minerva-k1", "v", "why", ["a", "b"], "B"), ("minerva-k2", None, "x", ["c"], "C")]
+    (tmp_path / "h.csv").write_text("video_id,question,options,answer\nv9,\"what, then\",a | b, b)\n")
+    got = [tuple(r)[2:6] for r in questions.read(spark, "onehour_videoqa", f"{tmp_path}/h.csv").collect()]
+    assert got == [("v9", "what, then", ["a", "b"], "B")]
+    (tmp_path / "l.jsonl").write_text(json.dumps({"key": "k", "qa": [{"question": "Q\n(A) one\nmore\n(B) two", "answer": "a"}, {"question": "no options", "answer": "b"}]}) + "\n")
+    got = [tuple(r)[3:6] for r in questions.read(spark, "lvbench", f"{tmp_path}/l.jsonl").orderBy("id").collect()]
+    assert got == [("Q", ["one more", "two"], "A"), ("no options", [], "B")]
