@@ -566,6 +566,16 @@ def test_near_copies_hot_bucket(spark):
     df = spark.createDataFrame(rows, "item long, sig binary, bands array<long>")
     got = {tuple(sorted(r)) for r in near_copies._candidates(df, 0.6, 4).collect()}
     assert got == {(5, 31)}
+    # items that only others of their clusters link, across blocks: a chain, each alike to the next alone
+    base = np.zeros(64, np.uint8)
+    rows = []
+    for i in range(30):
+        sig = base.copy()
+        sig[:] = 200 + i % 3
+        sig[:44] = 7 if i % 2 else 9
+        rows.append((i, sig.tobytes(), [7, *range(5000 + 20 * i, 5015 + 20 * i)]))
+    root = _components(30, [tuple(r) for r in near_copies._candidates(spark.createDataFrame(rows, "item long, sig binary, bands array<long>"), 0.6, 4).collect()])
+    assert len({root[i] for i in range(0, 30, 2)}) == 1 == len({root[i] for i in range(1, 30, 2)}) and root[0] != root[1]
 
 
 def test_near_copies_large_groups(spark):
