@@ -13,6 +13,8 @@ and a quarter before and after such a word; what it aligns is not looked at agai
 
 Marks, words and version numbers that tell licences apart, must all align, and no
 other mark may stand among the aligned words. A notice inside a longer one is part of it.
+A short notice doesn't count where it is denied: by a word such as *not* right before it, or, if some of its words are
+lacking, two words before it or among them.
 
 Every document gives one row. Null and empty texts, and texts without a licence,
 have null license and coverage 0. Of several licences the one of highest
@@ -49,6 +51,7 @@ TEMPLATES = {
 #: words that tell one licence from another, as numbers of versions do: those of the template must align, and none else may stand among what aligns
 MARKS = {"nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs", "lesser", "library", "affero", "neither", "endorse"}
 _BEFORE = {"version", "v", "cc", "by", "nc", "sa", "nd", "license", "attribution", "noncommercial", "sharealike", "noderivatives"}
+_DENIES, _SHORT = {"not", "never", "no", "isn", "aren", "without"}, 30
 LEAST = 0.8
 SCHEMA = "doc_id long, license string, coverage double, n_matched long, n_licenses long"
 _WORD = re.compile(r"[^\W_]+")
@@ -147,6 +150,11 @@ class Scanner:
             return []
         used, first, last = {i + lo for i, _ in pairs}, lo + pairs[0][0], lo + pairs[-1][0]
         # a number or mark right after what aligns goes on with it: version 2.1, by 4 0 is over
+        if len(t) <= _SHORT:
+            near = 1 if len(pairs) == len(t) else 2
+            said = found[max(0, first - near) : first] + ([found[i] for i in range(first, last) if i not in used] if near == 2 else [])
+            if not _DENIES.isdisjoint(said):
+                return []
         end = last + 1 if last + 1 < len(found) and pairs[-1][1] == len(t) - 1 and pairs[-1][1] in own and found[last + 1].isdigit() else last
         return [] if any(marked[i] and i not in used for i in range(first, end + 1)) else pairs
 

@@ -557,6 +557,19 @@ def test_license_texts_and_marks():
     assert name("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
     assert name("Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.") == ["CC-BY-NC-4.0", "CC-BY-SA-4.0"]
     assert name(license_scan.TEMPLATES["BSD"]) == ["BSD"]
+    assert name("This is not under the MIT License at all") == [] == name("code never released under any MIT license") == name("It is not released under the MIT License.")
+    assert name("Do not touch. Released under the MIT License.") == ["MIT"] and name("Not licensed. Licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+
+
+def test_alignment_against_brute_force():
+    """Aligned words rise on both sides, are equal, and are the longest common subsequence where each word stands once."""
+    rng = random.Random(6)
+    for _ in range(200):
+        a = rng.sample("abcdefghijkl", 9)
+        b = rng.sample("abcdefghijkl", 9)
+        pairs = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) == len(license_scan._common(a, b))
 
 
 def test_near_copies_hot_bucket(spark):
