@@ -42,8 +42,9 @@ def pixels(of: Column, width: Column, height: Column) -> Column:
 
     def axis(since: Column, size: Column, whole: Column) -> tuple[Column, Column]:
         a, z = since * whole, (since + size) * whole
-        grow = F.greatest((F.lit(LEAST_CROP) - (z - a)) / 2, F.lit(0.0))
-        a, z = a - grow, z + grow
+        # around the centre, as (a + z) / 2: a side taken off each end would round to another pixel
+        small, centre = z - a < LEAST_CROP, (a + z) / 2
+        a, z = F.when(small, centre - LEAST_CROP / 2).otherwise(a), F.when(small, centre + LEAST_CROP / 2).otherwise(z)
         a, z = F.greatest(a, F.lit(0.0)), z - F.least(a, F.lit(0.0))
         a, z = F.greatest(a - F.greatest(z - whole, F.lit(0.0)), F.lit(0.0)), F.least(z, whole)
         start = F.floor(a)

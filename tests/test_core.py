@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronolens import providers, schema, timeq
 from chronolens.agent import Library, RetrievalOnly, ask
 from chronolens.functions import numbers, text
-from chronolens.operators import catalog, described, evaluation, folds, hybrid, joins, lexical, mentions, vision, windows
+from chronolens.operators import catalog, described, evaluation, folds, hybrid, joins, lexical, mentions, views, vision, windows
 from chronolens.operators.text_index import TextIndex
 from chronolens.plans import jobs, planner
 from chronolens.sources import questions, sampling, subtitles
@@ -401,3 +401,22 @@ def test_questions(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text(json.dumps({"key": "k", "qa": [{"question": "Q\n(A) one\nmore\n(B) two", "answer": "a"}, {"question": "no options", "answer": "b"}]}) + "\n")
     got = [tuple(r)[3:6] for r in questions.read(spark, "lvbench", f"{tmp_path}/l.jsonl").orderBy("id").collect()]
     assert got == [("Q", ["one more", "two"], "A"), ("no options", [], "B")]
+
+
+def test_zoom_pixels_on_an_edge(spark):
+    """A crop widened around its centre begins on the pixel that centre less 32 names, also where that is a whole number."""
+    def axis(since, size, whole):
+        a, z = since * whole, (since + size) * whole
+        if z - a < 64:
+            a, z = (a + z) / 2 - 32, (a + z) / 2 + 32
+        a, z = (0.0, z - a) if a < 0 else (a, z)
+        a, z = (a - (z - whole), float(whole)) if z > whole else (a, z)
+        start = int(max(a, 0.0) // 1)
+        return start, max(min(-int(-z // 1), whole) - start, 1)
+
+    values = [46.05, 42.3, *(i / 20 for i in range(8000))]
+    rows = spark.createDataFrame([(v / 400,) for v in values], "x double")
+    p = views.pixels(views.region(F.col("x"), F.lit(0.1), F.lit(0.001), F.lit(0.5)), F.lit(1280), F.lit(720))
+    got = [tuple(r) for r in rows.select("x", p.alias("p")).select("x", "p.x", "p.w").collect()]
+    assert [r[1:] for r in got[:2]] == [(116, 64), (104, 64)]
+    assert all(r[1:] == axis(min(r[0], 0.999), min(0.001, 1 - min(r[0], 0.999)), 1280) for r in got)
