@@ -4,8 +4,11 @@ A nearest-neighbour graph is made over the whole table: texts of equal sets of
 five-word shingles are one item; items that share any of ``WAYS`` min-hashes of
 the set meet, and each keeps its ``NEIGHBOURS`` nearest by the min-hashes they
 share. Two items of likeness s meet with probability 1 - (1 - s)^16: 0.97 at 0.2.
-A min-hash of more than ``HOT`` items is cut by each of the others, and what is
-still larger is read in blocks of like items.
+Items that share a min-hash of more than ``HOT`` items meet by every two such min-hashes
+they share, and the least items of each fill the places that nothing nearer takes. Where two such
+are shared by more than ``HOT`` items, all of these meet each other block by block, at
+a cost that grows as the square of their number: no pair is left out. Min-hashes are compared by 16 bits each, of
+which two that differ agree once in 65,536 times.
 
 Each item hangs together with its nearest one, and what hangs together with the
 nearest of the others; in the order of all, such groups stand together, those that
@@ -33,16 +36,16 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import dropped, released, written
 from .components import components
 from .near_copies import _runs
 from .shingling import band_keys, lists, min_hashes, shingle_sets, sliced
@@ -196,41 +199,159 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, item long, bands array<long>, sig binary, k1 long, k2 long, size long")
 
 
-def _nearest(items: DataFrame, hot: int = HOT) -> DataFrame:
-    """(item, near, share): the nearest other items of each, nearest first, over the whole table."""
-    rows = items.select("item", "sig", "bands", F.explode("bands").alias("key"))
-    count = items.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(count, "key")
-    other = F.filter("bands", lambda x: x != F.col("key"))
-    cut = F.when(F.col("n") > hot, F.transform(other, lambda x: F.xxhash64(F.least(F.col("key"), x), F.greatest(F.col("key"), x)))).otherwise(F.array("key"))
-    keyed = rows.select("item", "sig", F.explode(cut).alias("key")).distinct()
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many min-hashes each signature of ``a`` has in common with each of ``b``."""
+    if len(a) * len(b) < 4096:
+        return (a[:, None] == b[None]).sum(2, dtype=np.int8)
+    out = np.zeros((len(a), len(b)), np.int8)
+    for x, y in zip(a.T, b.T):
+        out += x[:, None] == y[None]
+    return out
+
+
+def _sigs(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), -1)
+
+
+PAIRS = "a long, b long, share float"
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    """(a, b, share): the nearest of each item among all rows (key, item, sig) of its key, which fit one task; of ties the least items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in _runs(batches, "key", 20_000):
-            item, key = whole["item"].to_numpy(), whole["key"].to_numpy()
-            sig = np.frombuffer(b"".join(whole["sig"]), "<u2").reshape(len(item), -1)
+            item, key, sig = whole["item"].to_numpy(), whole["key"].to_numpy(), _sigs(whole["sig"])
             first = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             size = np.diff(first)
             two = first[:-1][size == 2]
             same = (sig[two] == sig[two + 1]).mean(1)
             out = [(item[two], item[two + 1], same), (item[two + 1], item[two], same)]
             for start, n in zip(first[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                at = start + np.lexsort(sig[start : start + n].T) if n > hot else np.arange(start, start + n)
-                for lo in range(0, n, hot):
-                    # a block of a larger bucket is at least half of ``hot``
-                    own = at[max(0, min(lo, n - hot // 2)) : lo + hot]
-                    k = min(NEIGHBOURS, len(own) - 1)
-                    for x in range(0, len(own), 64) if k > 0 else ():
-                        share = (sig[own[x : x + 64], None] == sig[own][None]).mean(2, dtype=np.float32)
-                        share[np.arange(len(share)), np.arange(x, x + len(share))] = -1
-                        best = np.argpartition(-share, k - 1, axis=1)[:, :k]
-                        out.append((np.repeat(item[own[x : x + 64]], k), item[own[best]].ravel(), np.take_along_axis(share, best, 1).ravel()))
+                own, names = sig[start : start + n], item[start : start + n]
+                k = min(NEIGHBOURS, n - 1)
+                # places break ties: rows are sorted by item
+                order = _shared(own, own).astype(np.int32) * n - np.arange(n, dtype=np.int32)
+                np.fill_diagonal(order, -(1 << 30))
+                best = np.argpartition(-order, k - 1, axis=1)[:, :k]
+                out.append((np.repeat(names, k), names[best].ravel(), (np.take_along_axis(order, best, 1) + best).ravel() / (n * WAYS)))
             a, b, share = (np.concatenate(x) for x in zip(*out))
             yield pd.DataFrame({"a": a, "b": b, "share": share.astype(np.float32)})
 
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, share float")
+    return rows.select("key", "item", "sig").repartition("key").sortWithinPartitions("key", "item").mapInPandas(run, PAIRS)
+
+
+class _Block:
+    """The nearest so far of a block of items, while others pass by in the order of items."""
+
+    def __init__(self, key: int):
+        self.key, self.rows, self.share = key, [], None
+
+    def meet(self, item: np.ndarray, sig: np.ndarray) -> None:
+        if self.share is None:
+            self.item, self.sig = (np.concatenate(x) for x in zip(*self.rows))
+            self.share, self.near = np.zeros((len(self.item), NEIGHBOURS), np.int8), np.zeros((len(self.item), NEIGHBOURS), np.int64)
+        for lo in range(0, len(item), 500):
+            b = item[lo : lo + 500]
+            share = _shared(self.sig, sig[lo : lo + 500])
+            at = np.minimum(np.searchsorted(self.item, b), len(self.item) - 1)
+            own = np.flatnonzero(self.item[at] == b)
+            share[at[own], own] = 0
+            q, c = np.nonzero(share > self.share[:, -1:])
+            if not len(q):
+                continue
+            rows = q[np.append(True, q[1:] != q[:-1])]
+            of = np.concatenate([np.repeat(rows, NEIGHBOURS), q])
+            more = np.concatenate([self.share[rows].ravel(), share[q, c]])
+            near = np.concatenate([self.near[rows].ravel(), b[c]])
+            order = np.lexsort((near, -more, of))
+            best = order[np.searchsorted(of[order], rows)[:, None] + np.arange(NEIGHBOURS)]
+            self.share[rows], self.near[rows] = more[best], near[best]
+
+    def found(self) -> pd.DataFrame:
+        some = self.share > 0
+        return pd.DataFrame({"a": np.repeat(self.item, some.sum(1)), "b": self.near[some], "share": (self.share[some] / WAYS).astype(np.float32)})
+
+
+def _met(rows: DataFrame, others: DataFrame, hot: int) -> DataFrame:
+    """(a, b, share): the nearest of each of ``rows`` among all ``others`` (key, item, sig) of its key. ``rows`` are dealt into
+    blocks of about ``hot``; ``others`` pass by each block, so that a task holds one block whatever the key's size."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("long").alias("blocks"))
+    block = F.xxhash64("key", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", j)))
+    own = rows.join(blocks, "key").select(block.alias("key"), F.lit(0).alias("passing"), "item", "sig")
+    all_ = own.unionByName(others.join(blocks, "key").select(each.alias("key"), F.lit(1).alias("passing"), "item", "sig"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for x in batches:
+            key, passing, item, sig = x["key"].to_numpy(), x["passing"].to_numpy(), x["item"].to_numpy(), _sigs(x["sig"])
+            new = np.append(True, (key[1:] != key[:-1]) | (passing[1:] != passing[:-1]))
+            first = np.flatnonzero(new)[: len(key)].tolist()
+            for lo, hi in zip(first, [*first[1:], len(key)]):
+                if held is None or held.key != key[lo]:
+                    if held is not None and held.share is not None:
+                        yield held.found()
+                    held = _Block(key[lo])
+                if not passing[lo]:
+                    held.rows.append((item[lo:hi], sig[lo:hi]))
+                elif held.rows:  # a block may have been dealt nothing
+                    held.meet(item[lo:hi], sig[lo:hi])
+        if held is not None and held.share is not None:
+            yield held.found()
+
+    return all_.repartition("key").sortWithinPartitions("key", "passing", "item").mapInPandas(run, PAIRS)
+
+
+def _in_hot(rows: DataFrame, hot: int) -> list[DataFrame]:
+    """Tables (a, b, share) that hold the nearest of each item among all rows (key, item, sig) of keys that are each too large for one task.
+
+    Items that share two of these keys or more meet in a bucket of the two. Those that share just one are as near as
+    any other such pair, so the least few items of a key serve all of it: a place that nothing nearer
+    takes falls to them. Where the bucket of two is too large as well, all its items meet, block by block; buckets
+    that overlap are made one group where that takes fewer comparisons.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy("item"))
+    few = rows.withColumn("place", place).where(F.col("place") <= NEIGHBOURS + 1).drop("place")
+    out = [written(_met(rows, few, hot), "hot-near")]
+    several = rows.groupBy("item").agg(F.first("sig").alias("sig"), F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(WAYS)), lambda y: F.xxhash64(x, y))))
+    two = written(several.select("item", "sig", F.explode(twos).alias("key")), "hot-pairs")
+    count = written(two.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "hot-counts")
+    out.append(written(_in_buckets(two.join(count.where(F.col("n") <= hot), "key")), "hot-near"))
+    large = count.where(F.col("n") > hot)
+    if large.limit(1).count():
+        rest = written(two.join(large, "key"), "hot-rest")
+        roots = components(rest.select(F.col("item").alias("a"), "key").join(rest.groupBy("key").agg(F.min("item").alias("b")), "key").select("a", "b"), "hot-groups")
+        of = written(rest.join(roots, F.col("item") == F.col("node")).select("key", "item", "sig", "n", "root"), "hot-rooted")
+        each = of.groupBy("root", "key").agg(F.first("n").alias("n")).groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("each"))
+        whole = of.select("root", "item").distinct().groupBy("root").agg(F.count("*").cast("double").alias("n")).select("root", (F.col("n") * F.col("n")).alias("whole"))
+        group = F.when(F.col("whole") <= F.col("each"), F.xxhash64("root", F.lit(0))).otherwise(F.xxhash64("key", F.lit(1)))
+        groups = written(of.join(each, "root").join(whole, "root").select(group.alias("key"), "item", "sig").distinct(), "hot-grouped")
+        out.append(written(_met(groups, groups, hot), "hot-near"))
+        for t in (rest, roots, of, groups):
+            dropped(t)
+    dropped(two)
+    dropped(count)
+    return out
+
+
+def _nearest(items: DataFrame, hot: int = HOT) -> DataFrame:
+    """(item, near, share): the nearest other items of each, nearest first, among all that share a min-hash with it; of ties the least items."""
+    rows = items.select("item", "sig", F.explode("bands").alias("key"))
+    count = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    pairs = _in_buckets(rows.join(count.where(F.col("n") <= hot), "key"))
+    large = written(count.where(F.col("n") > hot), "hot-min-hashes")
+    tables = []
+    if large.limit(1).count():
+        hot_rows = written(rows.join(large, "key").select("key", "item", "sig"), "hot-items")
+        tables = [*_in_hot(hot_rows, hot), hot_rows]
+        pairs = reduce(DataFrame.unionByName, tables[:-1], pairs)
     near = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("share")).alias("s"), F.col("b").alias("b")))), 1, NEIGHBOURS).alias("x"))
-    return near.select(F.col("a").alias("item"), F.col("x.b").alias("near"), F.transform("x.s", lambda s: -s).alias("share"))
+    out = written(near.select(F.col("a").alias("item"), F.col("x.b").alias("near"), F.transform("x.s", lambda s: -s).alias("share")), "near")
+    for t in (large, *tables):
+        dropped(t)
+    return out
 
 
 def _grouped(near: DataFrame) -> DataFrame:
@@ -252,7 +373,7 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(key, item, root, at, range) with the place ``at`` in characters, one row a key; (item, near, share); the number of ranges."""
     features = written(_features(_keyed(docs)), "features")
     items = features.groupBy("item").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    near = written(_nearest(items), "near")
+    near = _nearest(items)
     of = written(features.groupBy("item").agg(F.sum("size").alias("size"), F.min(F.struct("k1", "k2")).alias("k")).join(_grouped(near), "item", "left").select("item", "size", "k", F.coalesce("r1", "item").alias("r1"), F.coalesce("r2", "item").alias("r2")), "items")
     place = of.groupBy("r2").agg(F.min("k").alias("k"))
     order = ["k1", "k2", "r2", "r1", "item"]

@@ -645,3 +645,37 @@ def test_one_of_each_repeated_id(spark):
     assert got == sorted([(1, a), (1, b)])
     df = spark.createDataFrame([(5, a), (5, b), (4, b)], DOCS)
     assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()) == sorted([(4, b), (5, a)])
+
+
+def _near_by_brute_force(rows):
+    """item -> the (share, item) of its nearest among all that share a min-hash with it, from (item, bands, sig)."""
+    item = np.array([r[0] for r in rows])
+    bands = np.array([r[1] for r in rows])
+    sig = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), -1)
+    out = {}
+    for i in range(len(rows)):
+        share, meet = (sig == sig[i]).mean(1), (bands == bands[i]).any(1)
+        meet[i] = False
+        best = sorted(zip((-share[meet]).tolist(), item[meet].tolist()))[: packing.NEIGHBOURS]
+        if best:
+            out[int(item[i])] = [(-s, b) for s, b in best]
+    return out
+
+
+@pytest.mark.parametrize("hot", [4, 25, 10_000])
+def test_packing_hot_min_hashes(spark, hot):
+    """Nearest ones are the same whatever is too large for one task: pairs that share one hot min-hash, two of them, or most."""
+    g = np.random.default_rng(3)
+    rows = []
+    for i in range(240):
+        band = g.integers(1 << 20, 1 << 60, 16)
+        sig = g.integers(0, 1 << 16, 16)
+        # 80 that share one, 80 that share some of four, 60 near copies that share most, the rest nothing
+        shared = [0] if i < 80 else [k for k in range(4) if g.random() < 0.5] if i < 160 else [k for k in range(16) if g.random() < 0.8] if i < 220 else []
+        for k in shared:
+            which = 0 if i < 80 else 1 if i < 160 else 2
+            band[k], sig[k] = 1000 * which + k, 100 * which + k
+        rows.append((int(g.integers(-(1 << 62), 1 << 62)), [int(x) for x in band], bytearray(sig.astype("<u2").tobytes())))
+    items = spark.createDataFrame(rows, "item long, bands array<long>, sig binary")
+    got = {r["item"]: list(zip(r["share"], r["near"])) for r in packing._nearest(items, hot).collect()}
+    assert got == _near_by_brute_force(rows)
