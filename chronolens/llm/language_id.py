@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_BREAK = re.compile(r"[\s\d]")
+STRETCH = 1 << 20
 UNKNOWN = "und"
 _LEAD = bytes(192)
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean, margin_bytes double"
@@ -60,9 +62,25 @@ class Settings:
     languages: int = 256
 
 
+def _stretches(text: str) -> Iterator[str]:
+    """Parts of a text of about ``STRETCH`` characters, cut before a blank or digit, where no word and no rule for lower case goes on."""
+    at = 0
+    while len(text) - at > STRETCH and (cut := _BREAK.search(text, at + STRETCH)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def letters(text: str | None) -> str:
-    """Words of letters, lower-cased; a word said again at once counts once."""
-    return " ".join([w for w, _ in groupby(_LETTERS.findall(text.lower()))]) if text else ""
+    """Words of letters, lower-cased; a word said again at once counts once. A long text's words are not all held as objects."""
+    out, last = [], None
+    for part in _stretches(text or ""):
+        words = [w for w, _ in groupby(_LETTERS.findall(part.lower()))]
+        if words:
+            # the part may begin with the word that the one before ended with
+            again, last = words[0] == last, words[-1]
+            out.append(" ".join(words[again:]))
+    return " ".join(filter(None, out))
 
 
 def held_out(doc_id, parts: int = 4, part: int = 2):

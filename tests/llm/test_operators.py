@@ -679,3 +679,20 @@ def test_packing_hot_min_hashes(spark, hot):
     items = spark.createDataFrame(rows, "item long, bands array<long>, sig binary")
     got = {r["item"]: list(zip(r["share"], r["near"])) for r in packing._nearest(items, hot).collect()}
     assert got == _near_by_brute_force(rows)
+
+
+def test_letters_of_long_texts(monkeypatch):
+    """Stretches change nothing, also around repeated words and final sigmas, and a long text's words are not all held at once."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = ["", "1 2", "ΑΣ'Α ΑΣ 7ΑΣ", "x", "a a a a", "1" * 50 + " a a 1 a"] + [" ".join(rng.choice(["a", "a", "Bb", "ΑΣ", "ΑΣ'", "7", "ß-é", "\n"]) for _ in range(200)) for _ in range(20)]
+    whole = [language_id.letters(t) for t in texts]
+    long = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(600_000))
+    tracemalloc.start()
+    language_id.letters(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7 * len(long)
+    monkeypatch.setattr(language_id, "STRETCH", 7)
+    assert [language_id.letters(t) for t in texts] == whole

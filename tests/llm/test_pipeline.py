@@ -1,6 +1,9 @@
 """The pipeline's stages against brute force on the driver's small tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from chronolens.llm import packing
 from chronolens.llm.common import table, written
 
 
@@ -38,3 +41,12 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count()
+
+
+def test_packing_drops_no_partners(spark, sf):
+    """The graph that the packing stage walks is the same whether its min-hashes count as hot or not."""
+    docs = table(spark, sf, "documents")
+    features = written(packing._features(packing._keyed(docs)), "features")
+    items = features.groupBy("item").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    few, many = ({r["item"]: (list(r["near"]), list(r["share"])) for r in packing._nearest(items, hot).collect()} for hot in (3, 100_000))
+    assert few == many
