@@ -30,15 +30,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, written
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[\s\d]")
 STRETCH = 1 << 20
 UNKNOWN = "und"
 _LEAD = bytes(192)
+LINES = "lang string, at double, tie long, row long, pos long, line string"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean, margin_bytes double"
 
 
@@ -91,9 +96,9 @@ def held_out(doc_id, parts: int = 4, part: int = 2):
 def learn(docs: DataFrame, settings: Settings = Settings()) -> dict[str, list[bytes]]:
     """Dictionaries by language, from a bounded sample of the rows of ``docs`` (doc_id, text, lang).
 
-    The sample is the rows of lowest hash of each language: a count of languages
-    sets each one's limit, so what comes to the driver is bounded by
-    ``languages`` times ``sample_docs``, and does not depend on the order of rows.
+    The sample is the rows of lowest hash of each language, whatever the order of rows. It stays on
+    the executors, a language's share in one task; dictionaries alone come to the driver, at most
+    ``languages`` times those of one.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
@@ -103,26 +108,38 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> dict[str, list[by
     at = F.xxhash64(F.col("doc_id"), F.lit("language")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
     # a text beyond a dictionary's size could fill it alone: its first part serves
     part = F.substring("text", 1, settings.dictionary_bytes // 4).alias("text")
-    sample = rows.where(at < share[F.col("lang")]).select("lang", part, at.alias("at")).toPandas()
-    spoken: dict[str, set[str]] = {}
-    for lang, text in zip(sample["lang"], sample["text"]):
-        for line in text.split("\n"):
-            spoken.setdefault(letters(line), set()).add(lang)
-    out = {}
-    for lang, part in sample.groupby("lang"):
-        # a line found in several languages, as a licence line, speaks for none
-        lines = [[x for x in map(letters, t.split("\n")) if len(spoken[x]) == 1] for t in part.sort_values(["at", "text"])["text"]]
-        texts = [" ".join(x) for x in lines]
+    sample = rows.where(at < share[F.col("lang")]).select("lang", at.alias("at"), part)
+    lines = written(sample.select("lang", "at", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_lines, LINES), "language-lines")
+    # a line found in several languages, as a licence line, speaks for none
+    shared = lines.groupBy("line").agg(F.min("lang").alias("a"), F.max("lang").alias("b")).where("a <> b").select("line", F.lit(True).alias("shared"))
+
+    def dictionaries(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["at", "tie", "row", "pos"])
+        texts = [" ".join(g["line"][g["shared"].isna()]) for _, g in own.groupby(["at", "tie", "row"])]
         piles: list[bytearray] = [bytearray() for _ in range(settings.shards)]
         for k, t in enumerate(texts):
             piles[k % settings.shards] += (t + " ").encode()
         whole = [bytes(p[: settings.dictionary_bytes]) for p in piles if len(p) >= 8]
-        if whole:
-            out[str(lang)] = [*(whole[k % len(whole)] for k in range(settings.shards)), common(texts, settings.common_bytes)]
+        made = [*(whole[k % len(whole)] for k in range(settings.shards)), common(texts, settings.common_bytes)] if whole else []
+        return pd.DataFrame({"lang": own["lang"].iloc[0], "k": np.arange(len(made)), "dictionary": made})
+
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(lines.join(shared, "line", "left").groupBy("lang").applyInPandas(dictionaries, "lang string, k long, dictionary binary").collect(), key=lambda r: r["k"]):
+        out.setdefault(r["lang"], []).append(bytes(r["dictionary"]))
+    dropped(lines)
     # where sizes tie, the commoner language wins
     return {k: out[k] for k in sorted(out, key=lambda k: (-sizes[k], k))}
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each text, their letters alone."""
+    for batch in batches:
+        found = [[letters(x) for x in t.split("\n")] for t in batch.column(4).to_pylist()]
+        of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        pos = [k for x in found for k in range(len(x))]
+        yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[:4]), pa.array(pos, pa.int64()), pa.array([x for y in found for x in y], pa.string())], names=["lang", "at", "tie", "row", "pos", "line"])
+
+
 def common(texts: list[str], size: int) -> bytes:
     """The commonest words, the most common last: near the text its references are short, which tells short texts apart."""
     best = sorted(Counter(w for t in texts for w in t.split()).items(), key=lambda x: (-x[1], x[0]))

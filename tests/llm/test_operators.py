@@ -636,6 +636,25 @@ def test_language_of_long_texts_only(spark):
     assert language_id.Classifier(model, language_id.Settings()).predict("gamma delta epsilon alpha")[0] == "aa"
 
 
+def test_language_learns_on_executors(spark, sf, monkeypatch):
+    """Dictionaries of the sample in its order, shared lines out; the sample's texts don't come to the driver."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    at = F.xxhash64(F.col("doc_id"), F.lit("language")).bitwiseAND((1 << 53) - 1)
+    rows = docs.withColumn("text", F.substring("text", 1, 28_160)).orderBy(at, "text").collect()
+    assert max(collections.Counter(r["lang"] for r in rows).values()) <= 400
+    spoken = collections.defaultdict(set)
+    for r in rows:
+        for line in r["text"].split("\n"):
+            spoken[language_id.letters(line)].add(r["lang"])
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("texts come to the driver"))
+    model = language_id.learn(docs, language_id.Settings(sample_docs=10**6))
+    assert set(model) == {r["lang"] for r in rows}
+    for lang, got in model.items():
+        texts = [" ".join(x for x in map(language_id.letters, r["text"].split("\n")) if len(spoken[x]) == 1) for r in rows if r["lang"] == lang]
+        assert got[:2] == ["".join(t + " " for t in texts[k::2]).encode()[:112_640] for k in (0, 1)]
+        assert got[2] == language_id.common(texts, 3_072)
+
+
 def test_one_of_each_repeated_id(spark):
     """A repeated id with another text is another document; near copies of either don't merge through it."""
     rng = random.Random(5)
