@@ -8,14 +8,18 @@ looked for by min-hashes of the shingles and decided by the shingles themselves:
     joined by one edge an item, never as all pairs. Two items at 0.8 miss every
     one of the 16 bands once in 4,600 pairs, and the cut of the min-hashes once in 8,400;
   * candidates that hang together meet once more with their shingles, and pairs
-    at ``LEAST`` or more are linked. What isn't linked falls apart again.
+    at ``LEAST`` or more are linked. What isn't linked falls apart again;
+  * what the bands and the cut have missed is found by prefixes, which miss nothing: under any one
+    order of all shingles, two sets at ``LEAST`` share one of the first ``1 - LEAST`` of each, and one more. Shingles
+    that a sample finds common come last in the order, so that few sets meet by them. Clusters meet
+    where they share such a shingle: items of small meetings by pairs, those of over ``FEW`` in groups, block by block.
 No task holds more than two blocks: ``HOT`` items of a bucket, or ``BLOCK`` candidates or
 ``BLOCK_BYTES`` of their shingles. A larger bucket or group of candidates is linked within each
 block first; then one item of each cluster stands for it, and these are dealt
 into blocks anew and linked in turn, for ``ROUNDS`` or for as long as anything is linked. Large
 groups of copies are one cluster by then, at a cost in proportion to their rows. Where several clusters are
-left, each block of all the items meets each other, so that every two items still meet; there rows
-grow as the square of the group by the block.
+left, what isn't of the largest meets all items of the group block by block, so that every two items of different
+clusters still meet; there rows grow as the group times the rest of it by the block (buckets: as the square of the group by the block).
 
 Words are those of ``shingling``: letters, digits and what is not ASCII, in lower
 case. A text of fewer words than a shingle is one shingle, all of it; texts without
@@ -25,6 +29,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,6 +51,9 @@ HOT = 2_000
 ROUNDS = 4
 BLOCK = 1_000
 BLOCK_BYTES = 8 << 20
+#: items that meet by pairs; what the order of shingles is taken from: so many rows, the least shingles of each
+FEW = 64
+SAMPLE, SAMPLE_BYTES = 2_000, 1 << 14
 FEATURES = "item long, bands array<long>, sig binary, shingles binary"
 
 
@@ -255,28 +263,132 @@ def _verified(some: DataFrame, least: float, block: int) -> list[DataFrame]:
         then = written(label.join(merged.select(F.col("item").alias("label"), F.col("label").alias("to")), "label").select("item", F.col("to").alias("label")), "labels")
         dropped(label)
         label = then
-    # roots of several clusters: each block of all the items meets each other
-    named = large.join(label, "item")
-    split = named.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("root")
-    rest = named.join(split, "root", "left_semi").withColumn("key", F.col("root"))
-    out.append(written(_in_groups(rest.select("item", "label", "shingles", F.explode(_meetings(F.col("blocks"))).alias("key")), least), "links"))
+    out.append(written(_across(large.select("root", "item", "shingles").join(label, "item"), least, block), "links"))
     dropped(label)
     dropped(rows)
     return out
 
 
+def _across(named: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b): what is linked between the clusters of each root of ``named`` (root, item, label, shingles). What
+    isn't of the root's largest cluster meets all items of the root, block by block, so that every two items of different clusters meet."""
+    size = named.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    largest = F.max(F.struct("n", "label", "bytes")).alias("main")
+    of = size.groupBy("root").agg(largest, F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / BLOCK_BYTES)).cast("long")
+    of = of.select("root", F.col("main.label").alias("main"), blocks(F.col("n"), F.col("bytes")).alias("blocks"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("rest"))
+    rows = named.join(of, "root").withColumn("i", F.pmod(F.xxhash64("item"), F.col("blocks"))).withColumn("j", F.pmod(F.xxhash64("item"), F.col("rest")))
+    all_ = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1), lambda j: F.xxhash64("root", "i", j))
+    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.xxhash64("root", i, "j"))
+    columns = ["item", "label", "shingles"]
+    return _in_groups(rows.select(*columns, F.explode(all_).alias("key")).unionByName(rows.where("label <> main").select(*columns, F.explode(rest).alias("key"))), least)
+
+
 def _labels(items: DataFrame, edges: DataFrame) -> DataFrame:
     """(item, label): edges of one round are stars, so one step finds each one's head."""
     return items.join(edges.select(F.col("a").alias("item"), "b"), "item", "left").select("item", F.coalesce("b", "item").alias("label"))
 
 
-def links(found: DataFrame, least: float = LEAST, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def _common(found: DataFrame) -> np.ndarray:
+    """Shingles of several rows of a bounded sample, sorted. They come last in the order; any choice gives the same links."""
+    n = found.count()
+    some = found.where(F.pmod(F.xxhash64("item", F.lit("sample")), F.lit(max(1, n // SAMPLE))) == 0).select("item", F.expr(f"substring(shingles, 1, {SAMPLE_BYTES})").alias("x"))
+    sets = [np.frombuffer(r["x"], np.uint32) for r in some.dropDuplicates(["item"]).limit(SAMPLE).collect()]
+    values, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint32)]), return_counts=True)
+    return values[count > 2]
+
+
+def _prefix(raw: bytes, least: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set: sets at ``least`` or more share one of them."""
+    v = np.frombuffer(raw, np.uint32)
+    late = np.zeros(len(v), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, v), len(common) - 1)] == v
+    return np.concatenate([v[~late], v[late]])[: len(v) - math.ceil(least * len(v) - 1e-6) + 1]
+
+
+def _prefixes(items: DataFrame, least: float, common: np.ndarray) -> DataFrame:
+    """(key, item, label, n): a row for each shingle of the prefix of each of ``items`` (item, label, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(2).to_pylist()
+            firsts = [_prefix(x, least, common) for x in sets]
+            of = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in firsts]))
+            n = pa.array([len(x) // 4 for x in sets], pa.int64())
+            key = np.concatenate([*firsts, np.zeros(0, np.uint32)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(of), batch.column(1).take(of), n.take(of)], names=["key", "item", "label", "n"])
+
+    return items.select("item", "label", "shingles").mapInArrow(run, "key long, item long, label long, n long")
+
+
+def _apart(rows: DataFrame, least: float, few: int) -> DataFrame:
+    """(hot, a, b): pairs of other labels that meet in a key and are alike in size; for keys of more than ``few`` rows an edge from each item to one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _runs(batches, "key", 100_000):
+            key, item, label, n = (whole[c].to_numpy() for c in ("key", "item", "label", "n"))
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            open_ = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+            for k in np.unique(size[open_ & (size <= few)]).tolist():
+                at = first[open_ & (size == k)][:, None]
+                i, j = np.triu_indices(k, 1)
+                i, j = (at + i).ravel(), (at + j).ravel()
+                go = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6)
+                i, j = item[i[go]], item[j[go]]
+                yield pd.DataFrame({"hot": False, "a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
+            for lo, k in zip(first[open_ & (size > few)].tolist(), size[open_ & (size > few)].tolist()):
+                yield pd.DataFrame({"hot": True, "a": item[lo : lo + k], "b": item[lo]})
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "hot boolean, a long, b long")
+
+
+def _pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets (item, shingles) are alike to ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, other = (sets.select(F.col("item").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _missed(found: DataFrame, edges: DataFrame, least: float, block: int, few: int) -> list[DataFrame]:
+    """Tables of edges (a, b) that link all that is alike among ``found`` and that ``edges`` leave apart."""
+    known = components(edges, "known")
+    items = found.select("item", "shingles").join(known.hint("merge"), F.col("item") == F.col("node"), "left").groupBy("item").agg(F.first("shingles").alias("shingles"), F.first(F.coalesce("root", "item")).alias("label"))
+    apart = written(_apart(_prefixes(items, least, _common(found)), least, few), "apart")
+    released(found.sparkSession)
+    pairs = written(apart.where("not hot").select("a", "b").distinct(), "pairs")
+    roots = components(apart.where("hot").select("a", "b"), "hot-prefixes")
+    named = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).union(roots.select("node")).distinct()
+    sets = written(found.select("item", "shingles").join(named.hint("merge"), "item", "left_semi").groupBy("item").agg(F.first("shingles").alias("shingles")), "sets")
+    out = [written(_pairs(pairs, sets, least), "pair-links")]
+    if roots.limit(1).count():
+        named = sets.join(roots, F.col("item") == F.col("node")).join(known.select(F.col("node").alias("of"), F.col("root").alias("label")), F.col("item") == F.col("of"), "left")
+        out.append(written(_across(named.select(roots["root"], "item", F.coalesce("label", "item").alias("label"), "shingles"), least, block), "hot-links"))
+    for t in (known, apart, pairs, roots, sets):
+        dropped(t)
+    return out
+
+
+def links(found: DataFrame, least: float = LEAST, hot: int = HOT, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(a, b): edges among the items of ``found`` (``features``) that link what shares ``least`` of its shingles."""
     roots = components(_candidates(found, least - 0.2, hot), "alike")
     some = found.join(roots, found["item"] == roots["node"]).groupBy("root", "item").agg(F.first("shingles").alias("shingles"))
     tables = _verified(some, least, block)
+    dropped(roots)
+    released(found.sparkSession)
+    tables += _missed(found, _all(tables), least, block, few)
     out = written(_all(tables), "near-links")
-    for t in (roots, *tables):
+    for t in tables:
         dropped(t)
     return out
 

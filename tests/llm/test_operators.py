@@ -655,6 +655,31 @@ def test_language_learns_on_executors(spark, sf, monkeypatch):
         assert got[2] == language_id.common(texts, 3_072)
 
 
+@pytest.mark.parametrize("few", [near_copies.FEW, 1])
+def test_near_copies_that_bands_miss(spark, few):
+    """Two texts at 0.8 that share no band are linked all the same; those below aren't, though a sample finds their shingles common."""
+
+    def pair(i, more):
+        words = [f"w{i}x{k}" for k in range(44)]
+        return [" ".join(words), " ".join(words + [f"v{i}x{k}" for k in range(more)])]
+
+    two = pair(1188, 10)  # 40 of 50 shingles
+    values, count, _ = shingling.shingle_sets(two)
+    assert count.tolist() == [40, 50]
+    bands = shingling.band_keys(shingling.min_hashes(values, count, near_copies.BANDS * near_copies.ROWS), near_copies.ROWS)
+    assert not (bands[0] == bands[1]).any()
+    other = [f"{' '.join(f'c{k}' for k in range(30))} {' '.join(f'o{i}x{k}' for k in range(9))}" for i in range(6)]
+    rows = list(enumerate(two + pair(1188, 11)[1:] + pair(7, 11) + other))
+    got = {r["doc_id"]: r["group"] for r in near_copies.groups(spark.createDataFrame(rows, DOCS)).collect()} if few > 1 else None
+    found = near_copies.written(near_copies.features(spark.createDataFrame(rows, DOCS), ["doc_id"]), "shingles")
+    name = {r["item"]: r["doc_id"] for r in found.collect()}
+    edges = [(name[r["a"]], name[r["b"]]) for r in near_copies.links(found, few=few).collect()]
+    sets = [set(v.tolist()) for v in np.split(*(lambda v, c: (v, np.cumsum(c)[:-1]))(*shingling.shingle_sets([t for _, t in rows])[:2]))]
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert (1, 0) in want and _components(len(rows), edges) == _components(len(rows), want)
+    assert got is None or [got[i] for i in range(len(rows))] == _components(len(rows), want)
+
+
 def test_one_of_each_repeated_id(spark):
     """A repeated id with another text is another document; near copies of either don't merge through it."""
     rng = random.Random(5)
