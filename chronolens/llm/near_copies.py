@@ -53,7 +53,7 @@ BLOCK = 1_000
 BLOCK_BYTES = 8 << 20
 #: items that meet by pairs; what the order of shingles is taken from: so many rows, the least shingles of each
 FEW = 64
-SAMPLE, SAMPLE_BYTES = 2_000, 1 << 14
+SAMPLE, SAMPLE_BYTES = 10_000, 1 << 12
 FEATURES = "item long, bands array<long>, sig binary, shingles binary"
 
 
@@ -295,7 +295,7 @@ def _common(found: DataFrame) -> np.ndarray:
     some = found.where(F.pmod(F.xxhash64("item", F.lit("sample")), F.lit(max(1, n // SAMPLE))) == 0).select("item", F.expr(f"substring(shingles, 1, {SAMPLE_BYTES})").alias("x"))
     sets = [np.frombuffer(r["x"], np.uint32) for r in some.dropDuplicates(["item"]).limit(SAMPLE).collect()]
     values, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint32)]), return_counts=True)
-    return values[count > 2]
+    return values[count > 1]
 
 
 def _prefix(raw: bytes, least: float, common: np.ndarray) -> np.ndarray:
