@@ -12,7 +12,10 @@ looked for by min-hashes of the shingles and decided by the shingles themselves:
   * what the bands and the cut have missed is found by prefixes, which miss nothing: under any one
     order of all shingles, two sets at ``LEAST`` share one of the first ``1 - LEAST`` of each, and one more. Shingles
     that a sample finds common come last in the order, so that few sets meet by them. Clusters meet
-    where they share such a shingle: items of small meetings by pairs, those of over ``FEW`` in groups, block by block.
+    where they share such a shingle: items of small meetings by pairs, those of over ``FEW`` block by block. Only what sizes, places
+    in the prefixes and sketches leave possible is compared by shingles. A sketch has a bit for the parity of
+    the shingles that fall on it, about one bit a shingle: two sketches differ in at most as many bits as shingles are in one set alone,
+    so that no pair at ``LEAST`` is ruled out, and the shingles of few others move.
 No task holds more than two blocks: ``HOT`` items of a bucket, or ``BLOCK`` candidates or
 ``BLOCK_BYTES`` of their shingles. A larger bucket or group of candidates is linked within each
 block first; then one item of each cluster stands for it, and these are dealt
@@ -270,9 +273,14 @@ def _verified(some: DataFrame, least: float, block: int) -> list[DataFrame]:
 
 
 def _across(named: DataFrame, least: float, block: int) -> DataFrame:
-    """(a, b): what is linked between the clusters of each root of ``named`` (root, item, label, shingles). What
+    """(a, b): what is linked between the clusters of each root of ``named`` (root, item, label, shingles)."""
+    return _in_groups(_crossing(named, block, "shingles"), least)
+
+
+def _crossing(named: DataFrame, block: int, raw: str) -> DataFrame:
+    """The rows of ``named`` (root, item, label, ...) by the key of each meeting they are in, blocks being bounded by rows and bytes of ``raw``. What
     isn't of the root's largest cluster meets all items of the root, block by block, so that every two items of different clusters meet."""
-    size = named.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    size = named.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum(F.length(raw)).alias("bytes"))
     largest = F.max(F.struct("n", "label", "bytes")).alias("main")
     of = size.groupBy("root").agg(largest, F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
     blocks = lambda n, size: F.ceil(F.greatest(n / block, size / BLOCK_BYTES)).cast("long")
@@ -280,8 +288,8 @@ def _across(named: DataFrame, least: float, block: int) -> DataFrame:
     rows = named.join(of, "root").withColumn("i", F.pmod(F.xxhash64("item"), F.col("blocks"))).withColumn("j", F.pmod(F.xxhash64("item"), F.col("rest")))
     all_ = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1), lambda j: F.xxhash64("root", "i", j))
     rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.xxhash64("root", i, "j"))
-    columns = ["item", "label", "shingles"]
-    return _in_groups(rows.select(*columns, F.explode(all_).alias("key")).unionByName(rows.where("label <> main").select(*columns, F.explode(rest).alias("key"))), least)
+    columns = [c for c in named.columns if c != "root"]
+    return rows.select(*columns, F.explode(all_).alias("key")).unionByName(rows.where("label <> main").select(*columns, F.explode(rest).alias("key")))
 
 
 def _labels(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -308,26 +316,27 @@ def _prefix(raw: bytes, least: float, common: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(items: DataFrame, least: float, common: np.ndarray) -> DataFrame:
-    """(key, item, label, n): a row for each shingle of the prefix of each of ``items`` (item, label, shingles)."""
+    """(key, item, label, n, at): a row for each shingle of the prefix of each of ``items`` (item, label, shingles), the at-th of n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = batch.column(2).to_pylist()
             firsts = [_prefix(x, least, common) for x in sets]
             of = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in firsts]))
-            n = pa.array([len(x) // 4 for x in sets], pa.int64())
+            n = pa.array([len(x) // 4 for x in sets], pa.int32())
             key = np.concatenate([*firsts, np.zeros(0, np.uint32)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(of), batch.column(1).take(of), n.take(of)], names=["key", "item", "label", "n"])
+            at = np.concatenate([*(np.arange(len(x)) for x in firsts), np.zeros(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(of), batch.column(1).take(of), n.take(of), pa.array(at)], names=["key", "item", "label", "n", "at"])
 
-    return items.select("item", "label", "shingles").mapInArrow(run, "key long, item long, label long, n long")
+    return items.select("item", "label", "shingles").mapInArrow(run, "key long, item long, label long, n int, at int")
 
 
 def _apart(rows: DataFrame, least: float, few: int) -> DataFrame:
-    """(hot, a, b): pairs of other labels that meet in a key and are alike in size; for keys of more than ``few`` rows an edge from each item to one."""
+    """(hot, key, a, b): pairs of other labels that meet in a key and, by sizes and places, may be alike; of keys of more than ``few`` rows (item, label) as a, b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in _runs(batches, "key", 100_000):
-            key, item, label, n = (whole[c].to_numpy() for c in ("key", "item", "label", "n"))
+            key, item, label, n, at_ = (whole[c].to_numpy() for c in ("key", "item", "label", "n", "at"))
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(first, len(key)))
             open_ = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
@@ -336,12 +345,100 @@ def _apart(rows: DataFrame, least: float, few: int) -> DataFrame:
                 i, j = np.triu_indices(k, 1)
                 i, j = (at + i).ravel(), (at + j).ravel()
                 go = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6)
+                # at the first shingle that two sets share, all that they share is still to come
+                go &= np.minimum(n[i] - at_[i], n[j] - at_[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-6
                 i, j = item[i[go]], item[j[go]]
-                yield pd.DataFrame({"hot": False, "a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
+                yield pd.DataFrame({"hot": False, "key": 0, "a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
             for lo, k in zip(first[open_ & (size > few)].tolist(), size[open_ & (size > few)].tolist()):
-                yield pd.DataFrame({"hot": True, "a": item[lo : lo + k], "b": item[lo]})
+                yield pd.DataFrame({"hot": True, "key": key[lo : lo + k], "a": item[lo : lo + k], "b": label[lo : lo + k]})
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "hot boolean, key long, a long, b long")
+
+
+def _sketch(raw: bytes) -> bytes:
+    """The parity of the shingles that fall on each bit; as many bits as shingles or more, a power of two."""
+    v = np.frombuffer(raw, np.uint32)
+    width = max(64, 1 << (len(v) - 1).bit_length())
+    return np.packbits(np.bincount(v & np.uint32(width - 1), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> bytes:
+    """The sketch of as many bytes that the same set has."""
+    x = np.frombuffer(sketch, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0).tobytes()
+
+
+def _may(differ, n, least: float):
+    """Whether sets of ``n`` shingles together may be alike to ``least`` if ``differ`` or more are in one alone."""
+    return differ <= n * ((1 - least) / (1 + least)) + 1e-3
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "hot boolean, a long, b long")
+
+def _sketches(items: DataFrame) -> DataFrame:
+    """(item, n, bits): the number of shingles and the sketch of each of ``items`` (item, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in sets], pa.int32()), pa.array(map(_sketch, sets), pa.binary())], names=["item", "n", "bits"])
+
+    made = items.select("item", "shingles").mapInArrow(run, "item long, n int, bits binary")
+    return made.groupBy("item").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that ``sketches`` don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip((batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                size = min(len(x), len(y))
+                x, y = (int.from_bytes(_folded(z, size) if len(z) > size else z) for z in (x, y))
+                keep.append(_may((x ^ y).bit_count(), n, least))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, other = (sketches.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _sketch_links(label: np.ndarray, n: np.ndarray, bits: list[bytes], least: float) -> np.ndarray:
+    """The index of one set, the same for all, of what each is linked with by pairs of other labels that sketches don't rule out."""
+    order = np.argsort(n, kind="stable")
+    label, n, bits = label[order], n[order], [bits[i] for i in order.tolist()]
+    size = np.array([len(x) for x in bits])
+    end = np.searchsorted(n, (n + 1e-6) / least, side="right")
+    root, ea, eb, held = np.arange(len(n)), [], [], 0
+    for width in np.unique(size).tolist():
+        # sizes rise with n, so that no later set has a shorter sketch
+        lo, up = np.searchsorted(size, [width, width + 1]).tolist()
+        words = np.frombuffer(b"".join(_folded(x, width) for x in bits[lo : end[up - 1]]), np.uint64).reshape(-1, width // 8)
+        for i in range(lo, up):
+            differ = np.bitwise_count(words[i - lo] ^ words[i + 1 - lo : end[i] - lo]).sum(1, dtype=np.int64)
+            near = i + 1 + np.flatnonzero(_may(differ, n[i] + n[i + 1 : end[i]].astype(np.int64), least) & (label[i + 1 : end[i]] != label[i]))
+            ea.append(np.full(len(near), i))
+            eb.append(near)
+            held += len(near)
+            if held > 1 << 20:
+                root = _unions(len(n), np.concatenate([np.arange(len(n)), *ea]), np.concatenate([root, *eb]))
+                ea, eb, held = [], [], 0
+    root = _unions(len(n), np.concatenate([np.arange(len(n)), *ea]), np.concatenate([root, *eb]))
+    out = np.empty_like(root)
+    out[order] = order[root]
+    return out
+
+
+def _possible_in_groups(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): an edge an item and key at most, that links what sketches don't rule out among the rows (key, item, label, n, bits) of each key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _runs(batches, "key", 500):
+            for _, g in whole.groupby("key", sort=False):
+                item = g["item"].to_numpy()
+                root = _sketch_links(g["label"].to_numpy(), g["n"].to_numpy(), g["bits"].tolist(), least)
+                own = np.flatnonzero(root != np.arange(len(item)))
+                yield pd.DataFrame({"a": item[own], "b": item[root[own]]})
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
 def _pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -366,15 +463,20 @@ def _missed(found: DataFrame, edges: DataFrame, least: float, block: int, few: i
     items = found.select("item", "shingles").join(known.hint("merge"), F.col("item") == F.col("node"), "left").groupBy("item").agg(F.first("shingles").alias("shingles"), F.first(F.coalesce("root", "item")).alias("label"))
     apart = written(_apart(_prefixes(items, least, _common(found)), least, few), "apart")
     released(found.sparkSession)
-    pairs = written(apart.where("not hot").select("a", "b").distinct(), "pairs")
-    roots = components(apart.where("hot").select("a", "b"), "hot-prefixes")
+    sketches = written(_sketches(found), "sketches")
+    pairs = written(_possible(apart.where("not hot").select("a", "b").distinct(), sketches, least), "pairs")
+    hot = written(apart.where("hot").select(F.col("key").alias("root"), F.col("a").alias("item"), F.col("b").alias("label")).join(sketches.hint("merge"), "item"), "hot-prefixes")
+    roots = components(_possible_in_groups(_crossing(hot, HOT, "bits"), least), "hot-possible")
+    for t in (apart, sketches, hot):
+        dropped(t)
+    released(found.sparkSession)
     named = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).union(roots.select("node")).distinct()
     sets = written(found.select("item", "shingles").join(named.hint("merge"), "item", "left_semi").groupBy("item").agg(F.first("shingles").alias("shingles")), "sets")
     out = [written(_pairs(pairs, sets, least), "pair-links")]
     if roots.limit(1).count():
         named = sets.join(roots, F.col("item") == F.col("node")).join(known.select(F.col("node").alias("of"), F.col("root").alias("label")), F.col("item") == F.col("of"), "left")
         out.append(written(_across(named.select(roots["root"], "item", F.coalesce("label", "item").alias("label"), "shingles"), least, block), "hot-links"))
-    for t in (known, apart, pairs, roots, sets):
+    for t in (known, pairs, roots, sets):
         dropped(t)
     return out
 

@@ -680,6 +680,71 @@ def test_near_copies_that_bands_miss(spark, few):
     assert got is None or [got[i] for i in range(len(rows))] == _components(len(rows), want)
 
 
+@pytest.mark.parametrize("few", [near_copies.FEW, 1])
+def test_near_copies_rule_out_by_sketches(spark, monkeypatch, few):
+    """Without any band, prefixes link all that is alike; texts that meet there and are far from alike are ruled out before shingles move."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(50):
+        own = words[: rng.choice([50, 70, 90])]
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            own[rng.randrange(len(own))] = f"x{rng.random()}"
+        rows.append((i, " ".join(own)))
+    rows += [(i, " ".join(words[:50] + [f"y{i}z{k}" for k in range(60)])) for i in range(50, 70)]
+    found = near_copies.written(near_copies.features(spark.createDataFrame(rows, DOCS), ["doc_id"]), "shingles")
+    name = {r["item"]: r["doc_id"] for r in found.collect()}
+    same = [(name[r["item"]], r["doc_id"]) for r in found.collect()]
+    moved = set()
+    pairs, across = near_copies._pairs, near_copies._across
+
+    def seen(run, items, *more):
+        moved.update(r[0] for r in items.collect())
+        return run
+
+    monkeypatch.setattr(near_copies, "_common", lambda found: np.zeros(0, np.uint32))
+    monkeypatch.setattr(near_copies, "_candidates", lambda found, least, hot: found.select(F.col("item").alias("a"), F.col("item").alias("b")).where("false"))
+    monkeypatch.setattr(near_copies, "_pairs", lambda p, *more: seen(pairs, p.select("a").union(p.select("b")))(p, *more))
+    monkeypatch.setattr(near_copies, "_across", lambda named, *more: seen(across, named.select("item"))(named, *more))
+    edges = [(name[r["a"]], name[r["b"]]) for r in near_copies.links(found, few=few).collect()] + same
+    sets = [set(v.tolist()) for v in np.split(*(lambda v, c: (v, np.cumsum(c)[:-1]))(*shingling.shingle_sets([t for _, t in rows])[:2]))]
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    low = lambda e: _components(len(rows), [(min(x), max(x)) for x in e])
+    assert low(edges) == low(want) and 2 < len(set(low(want)[:50])) < 50
+    assert moved and max(name[x] for x in moved) < 50
+
+
+def test_sketches():
+    """Sketches, folded or not, differ in at most as many bits as shingles are in one set alone; blocks link the same as pairs."""
+    rng = np.random.default_rng(3)
+    sets, label = [], []
+    for base in range(6):
+        most = np.unique(rng.integers(0, 1 << 32, rng.integers(60, 140), dtype=np.uint32))
+        for k in range(12):
+            keep = rng.random(len(most)) < rng.choice([0.8, 0.95, 1.0])
+            sets.append(np.union1d(most[keep], rng.integers(0, 1 << 32, rng.integers(0, 9), dtype=np.uint32)).astype(np.uint32))
+            label.append(base * 12 + k - k % 2)
+    sets.append(np.zeros(0, np.uint32))
+    label.append(999)
+    bits = [near_copies._sketch(x.tobytes()) for x in sets]
+    assert len({len(x) for x in bits}) > 1
+    pairs = []
+    for i in range(len(sets)):
+        for j in range(i):
+            size = min(len(bits[i]), len(bits[j]))
+            x, y = (int.from_bytes(near_copies._folded(z, size)) for z in (bits[i], bits[j]))
+            alone = len(np.setxor1d(sets[i], sets[j]))
+            assert (x ^ y).bit_count() <= alone
+            n = len(sets[i]) + len(sets[j])
+            both = (n - alone) // 2
+            go = near_copies._may((x ^ y).bit_count(), n, 0.8)
+            assert go or both < 0.8 * (n - both)
+            if go and label[i] != label[j] and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])):
+                pairs.append((j, i))
+    root = near_copies._sketch_links(np.array(label), np.array([len(x) for x in sets], np.int32), bits, 0.8).tolist()
+    assert pairs and _components(len(sets), [(min(i, r), max(i, r)) for i, r in enumerate(root)]) == _components(len(sets), pairs)
+
+
 def test_one_of_each_repeated_id(spark):
     """A repeated id with another text is another document; near copies of either don't merge through it."""
     rng = random.Random(5)
