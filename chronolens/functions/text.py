@@ -34,8 +34,8 @@ STOPWORDS = frozenset(
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the marks of Latin letters, as one character or as several."""
-    return F.lower(F.translate(text, _MARKED, _PLAIN))
+    """Lower case without the marks of Latin letters, as one character or as several. ASCII text has none to look for."""
+    return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, _MARKED, _PLAIN)))
 
 
 def fold_text(text: str) -> str:

@@ -1,8 +1,8 @@
 """Lexical retrieval: BM25 over postings, of a stored index or of evidence as it is.
 
 Statistics (rows, mean length, rows per term) are those of a kind's whole table,
-so filters do not change scores. They are sums that a write leaves behind, and one aggregate of the
-postings of the query's words: texts are never read.
+so filters do not change scores. Of a stored index they are sums that a write leaves behind, and one aggregate of the
+postings of the query's words: texts are never read. Of evidence as it is they are one pass over the texts, and hits are another.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ def bm25(source: Source, query: str, videos: list[str] | None = None, kinds: lis
     terms, index = free_text_terms(query), index_of(source)
     if not terms:
         return index.rows().withColumn("score", F.lit(0.0)).where(F.lit(False))
-    every = selected(matched(index, terms), None, kinds)
-    having = [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
     # a row a kind, of which there are three
-    stats = F.broadcast(every.groupBy("kind").agg(*having).join(index.sizes(), "kind"))
+    stats = F.broadcast(index.statistics(terms, kinds))
     f = [F.col(f"f{i}").cast("double") for i in range(len(terms))]
     some, score = F.lit(False), F.lit(0.0)
     mean = F.coalesce(F.nullif(F.col("total") / F.col("rows"), F.lit(0.0)), F.lit(1.0))
@@ -35,7 +33,7 @@ def bm25(source: Source, query: str, videos: list[str] | None = None, kinds: lis
         idf = F.greatest(F.log((F.col("rows") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
         some = some | (f[i] > 0)
         score = score + idf * f[i] * (K1 + 1) / (f[i] + K1 * (1 - B + B * F.col("dl") / mean))
-    return selected(every, videos, None, window).where(some).join(stats, "kind").select(*HIT, score.alias("score"))
+    return selected(matched(index, terms), videos, kinds, window).where(some).join(stats, "kind").select(*HIT, score.alias("score"))
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:

@@ -15,7 +15,7 @@ FOUND = "term_i int, term string, kind string, id string, video_id string, t0 do
 def mentions(source: Source, terms: list[str], prefix: bool = False, videos: list[str] | None = None, kinds: list[str] | None = None, window: tuple[float, float] | None = None) -> DataFrame:
     """Rows that hold a term as a phrase: term_i, term, kind, id, video_id, t0, t1; OCR text repeated within a minute counts once.
 
-    One read of the postings for all terms. Lines of on-screen text are known by a 64-bit hash and their length.
+    One read of the postings, or of the texts, for all terms. Lines of on-screen text are known by a 64-bit hash and their length.
     """
     index = index_of(source)
     asked = [(i, t, query_tokens(t)) for i, t in enumerate(terms)]

@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import fold, phrase_count, tokens
 from ..session import ready
+from .catalog import selected
 
 ROW = ["kind", "id", "video_id", "t0", "t1", "line", "dl"]
 FOLDERS = 256
@@ -30,6 +32,7 @@ _GONE = "kind string, id string, seq int"
 _SIZES = "kind string, rows long, total long"
 
 Word = tuple[str, bool]
+Phrase = tuple[list[str], bool]
 
 
 def _folder(term: Column) -> Column:
@@ -46,7 +49,7 @@ def _rows(evidence: DataFrame) -> DataFrame:
     return evidence.select("kind", "id", "video_id", "t0", "t1", F.xxhash64("text").alias("line"), "text", tok.alias("tok")).withColumn("dl", F.size("tok").cast("long"))
 
 
-def _posted(rows: DataFrame, words: list[Word] | None = None) -> DataFrame:
+def _posted(rows: DataFrame) -> DataFrame:
     """A row per row of evidence and term: its places. Arrow batches, a row's tokens together, so nothing is shuffled."""
     ready(rows.sparkSession)
 
@@ -65,28 +68,34 @@ def _posted(rows: DataFrame, words: list[Word] | None = None) -> DataFrame:
             pos = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(whose) for i in range(len(ROW))), flat.dictionary.take(pa.array(code[order[first]])), pos], names=[*ROW, "term", "pos"])
 
-    each = rows.select(*ROW, "tok").mapInArrow(run, "kind string, id string, video_id string, t0 double, t1 double, line long, dl long, term string, pos array<int>")
-    return each if words is None else each.where(_any(words))
+    return rows.select(*ROW, "tok").mapInArrow(run, "kind string, id string, video_id string, t0 double, t1 double, line long, dl long, term string, pos array<int>")
 
 
-def _any(words: list[Word]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | _matches(w, F.col("term"))
-    return out
+def _counted(evidence: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """Each row of evidence with ``f0``, ``f1``, ...: how often each phrase occurs. Texts stay where they are.
+
+    The counts are made as one value, which a generator hands on: a filter on a plain column would move below it and cut the text into tokens again.
+    """
+    f = [phrase_count(F.col("tok"), p, prefix).alias(f"f{i}") for i, (p, prefix) in enumerate(phrases)]
+    rows = _rows(evidence).select(*ROW, "tok")
+    return rows.select(*ROW[:-1], F.explode(F.array(F.struct("dl", *f))).alias("x")).select(*ROW[:-1], "x.*")
 
 
 class Unstored:
-    """What an index answers, worked out from evidence when it is asked for."""
+    """What an index answers, worked out from evidence when it is asked for: by passes over the texts, of which nothing is shuffled or written."""
 
     def __init__(self, evidence: DataFrame):
         self.evidence = evidence
 
-    def postings(self, words: list[Word]) -> DataFrame:
-        return _posted(_rows(self.evidence), words)
+    def matched(self, phrases: list[Phrase]) -> DataFrame:
+        # a token is a part of the folded text: only rows that hold all words of a phrase somewhere are cut into tokens
+        text = fold(F.coalesce(F.col("text"), F.lit("")))
+        may = [reduce(Column.__and__, [F.contains(text, F.lit(w)) for w in p]) for p, _ in phrases]
+        some = [F.col(f"f{i}") > 0 for i in range(len(phrases))]
+        return _counted(self.evidence.where(reduce(Column.__or__, may)), phrases).where(reduce(Column.__or__, some))
 
-    def sizes(self) -> DataFrame:
-        return _rows(self.evidence).groupBy("kind").agg(F.count("*").alias("rows"), F.sum("dl").alias("total"))
+    def statistics(self, phrases: list[Phrase], kinds: list[str] | None = None) -> DataFrame:
+        return _counted(selected(self.evidence, None, kinds), phrases).groupBy("kind").agg(F.count("*").alias("rows"), F.sum("dl").alias("total"), *_holding(phrases))
 
     def rows(self) -> DataFrame:
         return self.evidence.select("kind", "id", "video_id", "t0", "t1")
@@ -159,6 +168,33 @@ class TextIndex:
     def sizes(self) -> DataFrame:
         return self._read("sizes", _SIZES).groupBy("kind").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
 
+    def matched(self, phrases: list[Phrase]) -> DataFrame:
+        """One read of the postings for all phrases."""
+        of = [[(w, prefix and i == len(p) - 1) for i, w in enumerate(p)] for p, prefix in phrases]
+        words = sorted({w for p in of for w in p})
+        placed = {w for p in of if len(p) > 1 for w in p}
+        name = {w: f"w{i}" for i, w in enumerate(words)}
+        agg = []
+        for w in words:
+            hit = _matches(w, F.col("term"))
+            agg.append((F.flatten(F.collect_list(F.when(hit, F.col("pos")))) if w in placed else F.sum(F.when(hit, F.size("pos")).otherwise(0))).alias(name[w]))
+        rows = self.postings(words).groupBy(*ROW).agg(*agg)
+        count = []
+        for i, p in enumerate(of):
+            at = F.col(name[p[0]])
+            if len(p) == 1:
+                n = F.size(at) if p[0] in placed else at
+            else:
+                for k, w in enumerate(p[1:], 1):
+                    at = F.array_intersect(at, _moved(F.col(name[w]), k))
+                n = F.size(at)
+            count.append(n.cast("long").alias(f"f{i}"))
+        return rows.select(*ROW, *count)
+
+    def statistics(self, phrases: list[Phrase], kinds: list[str] | None = None) -> DataFrame:
+        every = selected(self.matched(phrases), None, kinds)
+        return every.groupBy("kind").agg(*_holding(phrases)).join(self.sizes(), "kind")
+
     def rows(self) -> DataFrame:
         return self._live(self._read("rows", _ROWS)).select("kind", "id", "video_id", "t0", "t1")
 
@@ -182,28 +218,14 @@ def _moved(places: Column, by: int) -> Column:
     return F.transform(places, lambda x: x - by)
 
 
-def matched(source: Source, phrases: list[tuple[list[str], bool]]) -> DataFrame:
-    """Rows of evidence that hold any word of the phrases, with ``f0``, ``f1``, ...: how often each phrase occurs.
+def _holding(phrases: list[Phrase]) -> list[Column]:
+    """``n0``, ``n1``, ...: the rows that hold each phrase."""
+    return [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]
+
+
+def matched(source: Source, phrases: list[Phrase]) -> DataFrame:
+    """Rows of evidence that hold a phrase, with ``f0``, ``f1``, ...: how often each phrase occurs; of a stored index also rows that hold words of one.
 
-    The last token of a phrase may be a prefix. One read of the postings for all.
+    The last token of a phrase may be a prefix.
     """
-    of = [[(w, prefix and i == len(p) - 1) for i, w in enumerate(p)] for p, prefix in phrases]
-    words = sorted({w for p in of for w in p})
-    placed = {w for p in of if len(p) > 1 for w in p}
-    name = {w: f"w{i}" for i, w in enumerate(words)}
-    agg = []
-    for w in words:
-        hit = _matches(w, F.col("term"))
-        agg.append((F.flatten(F.collect_list(F.when(hit, F.col("pos")))) if w in placed else F.sum(F.when(hit, F.size("pos")).otherwise(0))).alias(name[w]))
-    rows = index_of(source).postings(words).groupBy(*ROW).agg(*agg)
-    count = []
-    for i, p in enumerate(of):
-        at = F.col(name[p[0]])
-        if len(p) == 1:
-            n = F.size(at) if p[0] in placed else at
-        else:
-            for k, w in enumerate(p[1:], 1):
-                at = F.array_intersect(at, _moved(F.col(name[w]), k))
-            n = F.size(at)
-        count.append(n.cast("long").alias(f"f{i}"))
-    return rows.select(*ROW, *count)
+    return index_of(source).matched(phrases)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolens import providers, schema, timeq
+from chronolens import providers, queries, schema, timeq
 from chronolens.agent import Library, RetrievalOnly, ask
 from chronolens.functions import numbers, text
 from chronolens.operators import catalog, described, evaluation, folds, hybrid, joins, lexical, mentions, views, vision, windows
@@ -420,3 +420,29 @@ def test_zoom_pixels_on_an_edge(spark):
     got = [tuple(r) for r in rows.select("x", p.alias("p")).select("x", "p.x", "p.w").collect()]
     assert [r[1:] for r in got[:2]] == [(116, 64), (104, 64)]
     assert all(r[1:] == axis(min(r[0], 0.999), min(0.001, 1 - min(r[0], 0.999)), 1280) for r in got)
+
+
+def test_search_without_index(spark, sf, tmp_path):
+    """A search in a session that has written no index passes over the texts: it writes none, sends none to Python and shuffles none, and answers as the index does."""
+    b = queries.base(spark, sf)
+    known = spark.sparkContext.__dict__.setdefault("_chronolens_indexes", {})
+    before = dict(known)
+    known.clear()
+    try:
+        source = b.index()
+        hits = lexical.bm25(source, queries.QUERY)
+        found = mentions.mentions(source, queries.TERMS)
+        assert not known
+        for df in (hits, found):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" not in plan and "text-index" not in plan
+            assert not any("Exchange" in line and "text" in line.split("Exchange")[1] for line in plan.splitlines())
+        index = TextIndex(spark, f"file://{tmp_path}/i").append(b.evidence, 0)
+        key = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+        assert key(hits) == key(lexical.bm25(index, queries.QUERY)) and key(hits)
+        assert key(found) == key(mentions.mentions(index, queries.TERMS)) and key(found)
+        known[sf] = index
+        assert b.index() is index
+    finally:
+        known.clear()
+        known.update(before)
