@@ -86,11 +86,11 @@ def grouped(hits: DataFrame, k: int, per_video: int | None = None, most_evidence
     return g.orderBy(F.desc("score"), "video_id", "unit").limit(k)
 
 
-def search(source: Source, units: DataFrame, query: str, k: int = 8, videos: list[str] | None = None, kinds: list[str] | None = None, per_video: int | None = None, until: float | None = None, embeddings: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
-    """Lexical lists by kind and, given a query vector and embeddings (id, vector), a vector list; fused and grouped."""
+def search(source: Source, units: DataFrame, query: str, k: int = 8, videos: list[str] | None = None, kinds: list[str] | None = None, per_video: int | None = None, until: float | None = None, embeddings: DataFrame | None = None, vector: list[float] | None = None, depth: int | None = None) -> DataFrame:
+    """Lexical lists by kind and, given a query vector and embeddings (id, vector), a vector list; fused and grouped. ``depth`` of the lists: by ``k``, if not given."""
     window = (0.0, until) if until is not None else None
     wanted = kinds or ["transcript", "ocr", "description"]
-    depth = list_depth(k)
+    depth = list_depth(k) if depth is None else depth
     scored = lexical.bm25(source, query, videos, wanted, window)
     lists = [ranked_by_kind(scored, depth)]
     if vector is not None and embeddings is not None:

@@ -87,7 +87,8 @@ def u04(b):
 
 @query("R10_search_tool", _BM25 + _UNITS + " SELECT video_id, unit, round(score, 6) AS score, least(n_hits, 4) AS n_evidence FROM g2 WHERE n <= 3 ORDER BY g2.score DESC, video_id, unit LIMIT 5")
 def r10(b):
-    return hybrid.search(b.index(), units(b), QUERY, k=5, per_video=3).select("video_id", F.col("unit").cast("long").alias("unit"), r6("score", "score"), F.size("evidence").cast("long").alias("n_evidence"))
+    # its SQL gives the first five of lists as deep as those of the tool's own eight
+    return hybrid.search(b.index(), units(b), QUERY, k=5, per_video=3, depth=hybrid.list_depth(8)).select("video_id", F.col("unit").cast("long").alias("unit"), r6("score", "score"), F.size("evidence").cast("long").alias("n_evidence"))
 
 
 @query("R12_nearest_thumbnail", "+ p AS (SELECT event_id AS pid, video_id, t + 0.5 AS t FROM frames), c AS (SELECT pid, f.event_id AS near, abs(f.t - p.t) AS d, f.t AS ft FROM p JOIN frames f ON f.video_id = p.video_id AND f.kind <> 'error' AND f.t >= greatest(p.t - 2, 0) AND f.t < p.t + 2) SELECT p.pid, (SELECT 'b' || arg_min(near, (d, ft)) FROM c WHERE c.pid = p.pid) AS thumbnail_blob FROM p")

@@ -47,3 +47,18 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns and df.count()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_search_tool_reads_lists_as_deep_as_its_sql(spark, sf, tmp_path):
+    """The 26th to 40th of a list count in the units of better hits."""
+    for t in TABLES:
+        if t != "conversations":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    # in each of 20 scenes one hit of rank i and one of rank 39 - i
+    talk = [(i, turn, "user", "ering" + " pad" * (i if turn == 0 else 39 - i)) for i in range(20) for turn in (0, 1)]
+    spark.createDataFrame(talk, spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").schema).toPandas().to_parquet(tmp_path / "conversations.parquet")
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = queries.QUERIES["R10_search_tool"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.sql(queries.ORACLE["R10_search_tool"]).df()) and (got["n_evidence"] == 2).any()
