@@ -9,6 +9,11 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: threads of the driver that hand on exchanges, where the session names no limit of its own. Spark's pools make a new one for every exchange, up to
+#: 1,024, and keep it for a minute: operators of many small steps would hold hundreds
+THREADS = {"spark.sql.shuffleExchange.maxThreadThreshold": "16", "spark.sql.resultQueryStage.maxThreadThreshold": "16", "spark.sql.broadcastExchange.maxThreadThreshold": "32"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -27,10 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session: they need not have it installed."""
+    """Send this package to the executors, once a session: they need not have it installed. Limit the driver's threads."""
     context = spark.sparkContext
     if getattr(context, "_chronolens_sent", False):
         return
+    _few_threads(spark)
     here = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="chronolens-"), "chronolens.zip")
     with zipfile.ZipFile(path, "w") as z:
@@ -40,3 +46,11 @@ def ready(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(here)))
     context.addPyFile(path)
     context._chronolens_sent = True
+
+
+def _few_threads(spark: SparkSession) -> None:
+    """Set ``THREADS``. Each pool reads its limit when the first query needs it; in a session that has run queries before nothing changes."""
+    own, conf = spark.sparkContext.getConf(), spark._jsparkSession.sessionState().conf()
+    for k, v in THREADS.items():
+        if not own.contains(k):
+            conf.setConfString(k, v)

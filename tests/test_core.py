@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolens import providers, queries, schema, timeq
+from chronolens import providers, queries, schema, session, timeq
 from chronolens.agent import Library, RetrievalOnly, ask
 from chronolens.functions import numbers, text
 from chronolens.operators import catalog, described, evaluation, folds, hybrid, joins, lexical, mentions, views, vision, windows
@@ -446,3 +446,11 @@ def test_search_without_index(spark, sf, tmp_path):
     finally:
         known.clear()
         known.update(before)
+
+
+def test_threads_of_the_driver_are_few(spark):
+    """Spark's pools for exchanges are limited before the first query needs them, unless the session names limits of its own."""
+    spark.sparkContext._chronolens_sent = False
+    session.ready(spark)
+    limits = [int(spark.conf.get(k)) for k in session.THREADS]
+    assert limits == [int(v) for v in session.THREADS.values()] and max(limits) <= 32
